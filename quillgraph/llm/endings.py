@@ -23,7 +23,7 @@ from quillgraph.plans.runtime import cut, join_sized
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 9)
 LEAST = 4
 #: Widths counted at every position; the others only for a window that begins with its line.
-EVERYWHERE = (1, 2, 3, 4, 6, 9)
+EVERYWHERE = (1, 2, 3, 4, 6)
 #: A closing line or phrase (signature, page footer) recurs in this share of all texts, and at least so often.
 CLOSER_SHARE, CLOSER_LEAST, CLOSER_WORDS = 0.001, 5, 9
 #: A single line of so few words may be a heading, whose colon says nothing.
@@ -31,7 +31,10 @@ HEADING_WORDS = 9
 #: Bits of the largest bitmap of wanted contexts (16 MB).
 MOST_BITS = 1 << 27
 
-_TOKEN = re.compile(r"\n|[^\W\d_]+|\d[\d.,]*(?<=\d)|[^\w\s]|_")
+#: Characters of a text's end that are looked at for how it ends, and tokens hashed at a time.
+TAIL, CHUNK = 700, 200_000
+
+_TOKEN = re.compile(r"[^\W\d_]+|\d[\d.,]*(?<=\d)|\n|[^\w\s]|_")
 _ENTITY = re.compile(r"(?:\s|&(?:[a-zA-Z]{2,8}|#\d{2,6}|#x[0-9a-fA-F]{2,5});|</?[a-zA-Z][^<>]{0,80}>|[​‌‍⁠﻿*_~|])+$")
 _HALF = re.compile(r"(?:&[a-zA-Z]{0,8}|&#\w{0,6}|</?[a-zA-Z][^<>\n]{0,40}|�+)$")
 _MOJIBAKE = re.compile("[\u00c3\u00c2][\u0080-\u00bf\u0152-\u0178\u2013-\u203a\u20ac\u2122]|\u00e2\u20ac")
@@ -39,51 +42,60 @@ _STOP = ".?!"
 # fixed values: phrases that end a list without naming the rest; a text ending in one is whole
 _AND_SO_ON = re.compile(r"\b(?:etc|usw|and so on|and so forth|and the like|et ainsi de suite|y así sucesivamente|und so weiter|und dergleichen|e così via)\W*$", re.IGNORECASE)
 _CLOSE = "\"'»”’)]"
-_M = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _id(token: str) -> int:
-    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
+_M, _MIX, _ALL = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
+#: Low bits of a token's id: it opens a sentence, ends one, closes a bracket or quotation, is a line break, ends the text.
+_UP, _STOPS, _SHUTS, _LINE, _END = 1, 2, 4, 8, 16
 
 
 class _Ids(dict):
     def __missing__(self, token: str) -> int:
-        self[token] = v = _id("0") if token[0].isdigit() else _id(token)
+        kind = _UP if token[0].isupper() or token in "\"“«„[*•-–\n\x00" else 0
+        kind |= (_STOPS if token in _STOP else 0) | (_SHUTS if token in _CLOSE else 0) | (_LINE if token == "\n" else 0) | (_END if token == "\x00" else 0)
+        name = "0" if token[0].isdigit() else token
+        h = int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self[token] = v = (h & ~31) | kind
         return v
 
 
 def _hashes(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each width the hash of the window ending at every position; windows cross no array start."""
-    h, power, upto = ids.copy(), np.ones(1, np.uint64), 1
+    """For each width the hash of the window ending at every position, counted back from it; windows cross no array start."""
+    h, power = ids.copy(), 1
     for width in WIDTHS:
-        while upto < width:
-            power = power * _M
-            moved = np.zeros_like(ids)
-            moved[upto:] = ids[:-upto] * power
-            h = h + moved
-            upto += 1
-        with np.errstate(over="ignore"):
-            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(width)
-        yield width, mixed
+        if width > 1:
+            power = power * _M & _ALL
+            h[width - 1 :] += ids[: len(ids) - width + 1] * np.uint64(power)
+        yield width, (h ^ (h >> np.uint64(29))) * np.uint64(_MIX) + np.uint64(width)
+
+
+def _tail_hashes(ids: list[int]) -> list[int]:
+    """The same hashes for the last position alone, as signed integers."""
+    h, power, out = 0, 1, []
+    for width, x in zip(WIDTHS, reversed(ids), strict=False):
+        if width > 1:
+            power = power * _M & _ALL
+        h = h + x * power & _ALL
+        v = ((h ^ (h >> 29)) * _MIX + width) & _ALL
+        out.append(v - (1 << 64) if v >> 63 else v)
+    return out
 
 
 def visible_end(text: str) -> tuple[str, bool]:
     """The text without trailing white space and whole entities or tags, and whether an entity, tag or character is cut."""
-    head, text = text[:-700], text[-700:]
+    head, text = text[:-120], text[-120:]
     if _MOJIBAKE.search(text):
         try:
             text = text.encode("cp1252").decode("utf-8")
         except UnicodeError:
             pass
     text = _ENTITY.sub("", text)
-    if half := _HALF.search(text):
+    if half := _HALF.search(text, max(0, len(text) - 50)):
         return head + text[: half.start()], True
     return head + text if text else head.rstrip(), False
 
 
 def _last_piece(text: str) -> str:
     """What follows the last line break or sentence end, digits masked; empty if long."""
-    line = text[text.rfind("\n") + 1 :]
+    line = text[max(text.rfind("\n") + 1, len(text) - 300) :]
     at = max((line.rfind(s + " ") + 1 for s in (".", "?", "!")), default=0)
     piece = line[at:].strip()
     return "" if len(piece) > 120 or not 0 < len(piece.split()) <= CLOSER_WORDS else re.sub(r"\d+", "0", piece)
@@ -103,19 +115,18 @@ def strip_closers(text: str, closers: frozenset[str]) -> tuple[str, bool, bool]:
 
 
 def _tail_tokens(text: str) -> list[str]:
-    return _TOKEN.findall("\n" + text[-400:] if len(text) > 400 else "\n" + text)[-max(WIDTHS) - 1 :]
+    return _TOKEN.findall(text[-200:] if len(text) > 200 else "\n" + text)[-max(WIDTHS) :]
 
 
-def closers(texts: DataFrame, text: str) -> frozenset[str]:
-    """Closing lines and phrases of the corpus. At most 1 / CLOSER_SHARE of them can exist, so the driver may hold them."""
+def closers(ends: DataFrame, n: int) -> frozenset[str]:
+    """Closing lines and phrases of n texts. At most 1 / CLOSER_SHARE of them can exist, so the driver may hold them."""
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             out = [p for t in b.column(0).to_pylist() if t and (p := _last_piece(visible_end(t)[0]))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["piece"])
 
-    counted = texts.select(text).mapInArrow(pieces, "piece string").groupBy("piece").count()
-    n = texts.count()
+    counted = ends.select("tail").mapInArrow(pieces, "piece string").groupBy("piece").count()
     least = max(CLOSER_LEAST, CLOSER_SHARE * n)
     return frozenset(r.piece for r in counted.where(F.col("count") >= least).collect() if not _opens(r.piece))
 
@@ -125,48 +136,50 @@ def _opens(piece: str) -> bool:
     return piece[-1] in ".?!,;:" or bool(re.search(r"[\d)]\)+$", piece)) or bool(re.match(r"0?\(", piece))
 
 
-def tails(texts: DataFrame, key: str, text: str, known: frozenset[str]) -> DataFrame:
-    """``key, ends, hashes``: per text how it ends, and the hash of its last tokens for each width.
+def tails(ends: DataFrame, known: frozenset[str]) -> DataFrame:
+    """``key, ends, closed, words, chars, bytes, hashes`` of (key, tail, chars, bytes): how each text ends, and its last contexts.
 
-    ends is ``none`` (null or blank), ``half`` (a cut entity, tag or character), ``stop`` or ``open``.
+    ends is ``none`` (null or blank), ``half`` (a cut entity, tag or character), ``dots``, ``stop`` or ``open``.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids()
         for b in parts:
-            ends, hashes, words, closed, chars, octets = [], [], [], [], [], []
-            for t in b.column(1).to_pylist():
-                body, _ = visible_end(t or "")
-                rest, had, half = strip_closers(t or "", known)
+            kinds, hashes, words, closed, chars, octets = [], [], [], [], [], []
+            for t, n_chars, n_bytes in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                t = t or ""
+                rest, had, half = strip_closers(t, known)
                 if had and not rest.strip():
-                    rest = body
-                chars.append(len(rest) if had else len(t or ""))
-                octets.append(len((rest if had else t or "").encode("utf-8", "surrogatepass")))
+                    rest, had = visible_end(t)[0], False
+                if had:
+                    n_chars -= len(t) - len(rest)
+                    n_bytes -= len(t[len(rest) :].encode("utf-8", "surrogatepass"))
+                blank = not half and not rest.strip() and (n_chars or 0) <= TAIL
                 bare = rest.rstrip(_CLOSE + " ")
-                if "\n" not in rest.strip() and len(rest.split()) <= HEADING_WORDS:
+                few = len(rest.split(None, HEADING_WORDS + 1)) if (n_chars or 0) <= TAIL else TAIL
+                if few <= HEADING_WORDS and "\n" not in rest.strip():
                     rest = rest.rstrip(" :")
                 if _AND_SO_ON.search(rest[-60:]):
                     rest = bare = "."
                 ellipsis = rest.endswith(("…", "..."))
                 if ellipsis:
-                    rest = rest.rstrip("….").rstrip() if not rest.endswith(" …") else rest.rstrip("…. ")
-                tokens = _tail_tokens(rest)
-                ends.append("none" if not body.strip() and not half else "half" if half else "dots" if ellipsis else "stop" if bare[-1:] in _STOP and bare else "open")
+                    rest = rest.rstrip("….").rstrip()
+                kinds.append("none" if blank else "half" if half else "dots" if ellipsis else "stop" if bare[-1:] in _STOP and bare else "open")
                 closed.append(had)
-                words.append(len(rest.split()))
-                x = np.array([ids[k] for k in tokens], np.uint64)
-                hs = [int(h[-1].astype(np.int64)) if len(x) >= w else None for w, h in _hashes(x)] if len(x) else []
-                hashes.append([h for h in hs if h is not None])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends), pa.array(closed), pa.array(words, pa.int32()), pa.array(chars, pa.int64()), pa.array(octets, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "ends", "closed", "words", "chars", "bytes", "hashes"])
+                words.append(few)
+                chars.append(n_chars)
+                octets.append(n_bytes)
+                hashes.append(_tail_hashes([ids[k] for k in _tail_tokens(rest)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds), pa.array(closed), pa.array(words, pa.int32()), pa.array(chars, pa.int64()), pa.array(octets, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "ends", "closed", "words", "chars", "bytes", "hashes"])
 
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInArrow(run, f"key {kind}, ends string, closed boolean, words int, chars bigint, bytes bigint, hashes array<bigint>")
+    kind = ends.schema["key"].dataType.simpleString()
+    return ends.select("key", "tail", "chars", "bytes").mapInArrow(run, f"key {kind}, ends string, closed boolean, words int, chars bigint, bytes bigint, hashes array<bigint>")
 
 
 def _bits(wanted: DataFrame, n: int) -> np.ndarray:
     """A bitmap of n bits with the wanted hashes set, built as bitmaps of ranges and never longer than MOST_BITS."""
     span = 32768
-    at = F.pmod(F.col("hash"), F.lit(n))
+    at = F.col("hash").bitwiseAND(F.lit(n - 1).cast("bigint"))  # n is a power of two
     rows = wanted.groupBy(F.floor(at / span).cast("long").alias("r")).agg(F.bitmap_construct_agg(at % span).alias("b")).collect()
     out = np.zeros(n // 8, np.uint8)
     for r in rows:
@@ -174,6 +187,11 @@ def _bits(wanted: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _summed(h: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    u, where = np.unique(h, return_inverse=True)
+    return u, *(np.bincount(where, weights=x, minlength=len(u)).astype(np.int64) for x in sums)
+
+
 def context_counts(texts: DataFrame, text: str, wanted: DataFrame, known: frozenset[str]) -> DataFrame:
     """``hash, uses, ended``: how often each wanted context stands inside a text and how often something ends there.
 
@@ -187,67 +205,48 @@ def context_counts(texts: DataFrame, text: str, wanted: DataFrame, known: frozen
     bitmap = spark.sparkContext.broadcast(_bits(wanted, n))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = bitmap.value
-        ids = _Ids()
-        nl, size = np.uint64(_id("\n")), np.int64(n)
-        upper: dict[int, bool] = {}
-        held: dict[str, list] = {"h": [], "e": []}
-
-        def flush() -> pa.RecordBatch | None:
-            if not held["h"]:
-                return None
-            h, e = np.concatenate(held["h"]), np.concatenate(held["e"])
-            held["h"], held["e"] = [], []
-            u, where = np.unique(h, return_inverse=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(u), pa.array(np.bincount(where, minlength=len(u)).astype(np.int64)), pa.array(np.bincount(where, weights=e, minlength=len(u)).astype(np.int64))], names=["hash", "uses", "ended"]
-            )
-
-        stops = np.array([_id(c) for c in _STOP], np.uint64)
-        closing = np.array([_id(c) for c in _CLOSE], np.uint64)
-        held_n = 0
-        for b in parts:
-            tokens: list[str] = []
-            for t in b.column(0).to_pylist():
-                if t:
-                    tokens.append("\n")
-                    tokens += _TOKEN.findall(strip_closers(t, known)[0])
-                    tokens.append("\x00")
-            if not tokens:
-                continue
+        mask, ids, low = bitmap.value, _Ids(), np.uint64(n - 1)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        tokens: list[str] = []
+
+        def count() -> None:
             x = np.fromiter(map(ids.__getitem__, tokens), np.uint64, len(tokens))
-            for k in set(tokens):
-                upper[ids[k]] = k[0].isupper() or k in "\"“«„[*•-–" or k == "\n"
-            ups = np.array(sorted(k for k, v in upper.items() if v), np.uint64)
-            eot = x == np.uint64(ids["\x00"])
-            line = x == nl
-            stop = np.isin(x, stops)
-            up = np.zeros(len(x), bool)
-            if len(ups):
-                at = np.searchsorted(ups, x)
-                at[at == len(ups)] = 0
-                up = ups[at] == x
-            shut = np.isin(x, closing)
+            tokens.clear()
+            kind = (x & np.uint64(31)).astype(np.uint8)
+            line, stop, shut, eot = ((kind & k) > 0 for k in (_LINE, _STOPS, _SHUTS, _END))
+            up = (kind & (_UP | _LINE | _END)) > 0
             nxt = lambda a, k=1: np.concatenate([a[k:], np.zeros(k, bool)])
-            opens = nxt(up | line | eot) | (nxt(shut) & nxt(up | line | eot, 2))
+            opens = nxt(up) | (nxt(shut) & nxt(up, 2))
             after_stop = stop & opens  # a stop here, and a new sentence, line or end behind it
             ended = nxt(line) | np.where(stop, opens, nxt(after_stop)) | (shut & nxt(after_stop))
             inner = ~eot & ~nxt(eot) & ~line  # the end of a text tells nothing: it may be the cut
             inner |= stop & nxt(eot)
+            every = np.flatnonzero(inner)
             for width, h in _hashes(x):
-                at = np.flatnonzero(inner) if width in EVERYWHERE else np.flatnonzero(inner[width - 1 :] & line[: len(x) - width + 1]) + width - 1
-                s = h[at].astype(np.int64)
-                slot = s % size
+                at = every if width in EVERYWHERE else np.flatnonzero(inner[width - 1 :] & line[: len(x) - width + 1]) + width - 1
+                h = h[at]
+                slot = (h & low).astype(np.int64)
                 keep = ((mask[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
-                held["h"].append(s[keep])
-                held["e"].append(ended[at[keep]].astype(np.float64))
-                held_n += int(keep.sum())
-            if held_n > 2_000_000:
-                held_n = 0
-                if (out := flush()) is not None:
-                    yield out
-        if (out := flush()) is not None:
-            yield out
+                held.append(_summed(h[keep].astype(np.int64), np.ones(int(keep.sum()), np.int64), ended[at[keep]].astype(np.int64)))
+            if len(held) > 40 * len(WIDTHS):
+                held[:] = [_summed(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+
+        for b in parts:
+            for t in b.column(0).to_pylist():
+                if t:
+                    tail = t[-TAIL:]
+                    rest = strip_closers(tail, known)[0]
+                    tokens.append("\n")
+                    tokens += _TOKEN.findall(t[: len(t) - len(tail)] + rest if len(rest) < len(tail) else t)
+                    tokens.append("\x00")
+                    if len(tokens) > CHUNK:
+                        count()
+        if tokens:
+            count()
+        if held:
+            h, u, e = _summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            for i in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in (h, u, e)], names=["hash", "uses", "ended"])
 
     return texts.select(text).mapInArrow(run, "hash bigint, uses bigint, ended bigint").groupBy("hash").agg(F.sum("uses").alias("uses"), F.sum("ended").alias("ended"))
 
@@ -259,8 +258,9 @@ def ending_scores(texts: DataFrame, key: str, text: str) -> DataFrame:
     it never uses after the word before it, speaks for a cut word. Null or blank texts get ``ends`` = none and a null
     ``whole``. Repeated keys give repeated rows. Other columns are not read.
     """
-    known = closers(texts, text)
-    ends = cut(tails(texts, key, text, known))
+    ends = texts.select(F.col(key).alias("key"), F.right(text, F.lit(TAIL)).alias("tail"), F.char_length(text).alias("chars"), F.octet_length(text).alias("bytes"))
+    known = closers(ends, texts.count())
+    ends = cut(tails(ends, known))
     # full stops are nearly always real; the last two tokens tell an abbreviation
     each = ends.where(F.col("ends").isin("open", "stop", "dots")).select("key", "ends", F.posexplode("hashes").alias("w", "hash")).where((F.col("ends") != "stop") | (F.col("w") <= 2))
     wanted = each.select("hash").distinct()
