@@ -5,10 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.unicode import WHITE_SPACE
+from quillgraph.llm.answers import defects
+from quillgraph.llm.linking import NONE, link_spans
+from quillgraph.llm.splitting import limit, split_texts
 from quillgraph.llm.truncation import truncation
 from quillgraph.plans.runtime import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_spans(table(spark, sf_dir, "linked_spans"), table(spark, sf_dir, "graph_nodes"))
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of spans that mean no entry: each distinct one and how many ids typed it."""
+    spans = table(spark, sf_dir, "linked_spans")
+    none = link_spans(spans, table(spark, sf_dir, "graph_nodes")).where(F.col("canonical_name") == NONE)
+    typed = spans.where(F.col("span").isNotNull()).groupBy("span_id").agg(F.min("span").alias("span"))
+    return none.join(typed, "span_id").groupBy("span").agg(F.count("*").alias("n_spans"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects(table(spark, sf_dir, "answers"))
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity, overlap = limit(table(spark, sf_dir, "size_limits"), "chunk_words")
+    return split_texts(table(spark, sf_dir, "chunks"), "chunk_id", "text", capacity, overlap)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that come out in more than one piece."""
+    return p6_pieces(spark, sf_dir).where((F.col("piece") == 0) & (F.col("pieces") > 1)).select("chunk_id").distinct()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
 
@@ -19,5 +49,17 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation(table(spark, sf_dir, "documents")).groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("truncated").alias("n_truncated"), F.count_if(cut_at_limit).alias("n_at_limit"), F.round(F.avg(F.col("truncated").cast("int")), 6).alias("rate"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates}
-ORACLE: dict[str, str] = {}
+_WORDS = "[^" + "".join(f"\\x{{{ord(c):X}}}" for c in WHITE_SPACE) + "]+"
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_unmatched": p3_unmatched,
+    "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
+}
+ORACLE: dict[str, str] = {
+    "p6_found": f"SELECT chunk_id FROM chunks, (SELECT max(capacity) AS most FROM size_limits WHERE limit_name = 'chunk_words') WHERE len(regexp_extract_all(text, '{_WORDS}')) > most",
+}
