@@ -7,10 +7,42 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.unicode import WHITE_SPACE
 from quillgraph.llm.answers import defects
+from quillgraph.llm.consensus import consensus
 from quillgraph.llm.linking import NONE, link_spans
+from quillgraph.llm.mixing import mix
+from quillgraph.llm.packing import pack_items
+from quillgraph.llm.quantiles import EPS, day_summaries, rollup, run_values
 from quillgraph.llm.splitting import limit, split_texts
+from quillgraph.llm.tokens import count_tokens
 from quillgraph.llm.truncation import truncation
-from quillgraph.plans.runtime import table
+from quillgraph.plans.runtime import cut, table
+
+
+def _consensus(spark: SparkSession, sf_dir: str):
+    return consensus(table(spark, sf_dir, "bench_verdicts"), table(spark, sf_dir, "judge_agreement"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).items.select("id", "verdict")
+
+
+def p1_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run_tag its votes, its smoothed reliability without its own say, and how independent its mistakes are."""
+    return _consensus(spark, sf_dir).annotators
+
+
+def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _consensus(spark, sf_dir)
+    return spark.createDataFrame([(c.alpha, c.n_items, c.n_votes)], "alpha double, n_items bigint, n_votes bigint").select(F.round("alpha", 6).alias("alpha"), "n_items", "n_votes")
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup(table(spark, sf_dir, "ask_runs"))
+
+
+def p2_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mergeable form: one rank-interval summary per day, route and metric."""
+    return day_summaries(run_values(table(spark, sf_dir, "ask_runs")), EPS)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +71,30 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).where((F.col("piece") == 0) & (F.col("pieces") > 1)).select("chunk_id").distinct()
 
 
+def _sized(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
+    """Documents in tokens, written once: packing and mixing read the counts more than once."""
+    return cut(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", *kept))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = table(spark, sf_dir, "size_limits").where(F.col("unit") == "tokens").select("capacity").distinct().limit(1000).collect()
+    return pack_items(_sized(spark, sf_dir), "doc_id", "n_tokens", [r.capacity for r in limits])
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity its containers, their tokens and the share of space left unused."""
+    boxes = p7_containers(spark, sf_dir).where(F.col("container").isNotNull()).groupBy("container", "capacity").agg(F.sum("n").alias("n"))
+    return boxes.groupBy("capacity").agg(F.count("*").alias("n_containers"), F.sum("n").alias("tokens"), F.round(1 - F.sum("n") / F.sum("capacity"), 6).alias("unused_share"))
+
+
+def p8_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_sized(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_sized(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
 
@@ -52,14 +108,32 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "[^" + "".join(f"\\x{{{ord(c):X}}}" for c in WHITE_SPACE) + "]+"
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_annotators": p1_annotators,
+    "p1_agreement": p1_agreement,
+    "p2_percentiles": p2_percentiles,
+    "p2_summaries": p2_summaries,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p7_containers": p7_containers,
+    "p7_report": p7_report,
+    "p8_collection": p8_collection,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_rates": p9_rates,
 }
+_VERDICT = "regexp_replace(regexp_replace(lower(verdict), '[^a-z]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
 ORACLE: dict[str, str] = {
+    "p1_agreement": f"""
+WITH v AS (SELECT id, run_tag, list_position(['correct', 'partially_correct', 'wrong', 'correct_refusal'], {_VERDICT}) AS vote, graded_at FROM bench_verdicts),
+one AS (SELECT id, run_tag, arg_max(vote, (graded_at, -vote)) AS vote FROM v WHERE vote > 0 GROUP BY id, run_tag),
+per AS (SELECT id, vote, count(*) AS n FROM one GROUP BY id, vote), m AS (SELECT id, sum(n) AS m FROM per GROUP BY id),
+paired AS (SELECT * FROM per JOIN m USING (id) WHERE m > 1), t AS (SELECT vote, sum(n) AS t FROM paired GROUP BY vote), total AS (SELECT sum(t) AS total FROM t)
+SELECT round(CAST(1 - (1 - (SELECT sum(n * (n - 1) / (m - 1)) FROM paired) / total) / ((SELECT sum(t * (total - t)) FROM t) / (total * (total - 1))) AS DOUBLE), 6) AS alpha,
+  CAST((SELECT count(*) FROM m) AS BIGINT) AS n_items, CAST((SELECT sum(m) FROM m) AS BIGINT) AS n_votes FROM total""",
     "p6_found": f"SELECT chunk_id FROM chunks, (SELECT max(capacity) AS most FROM size_limits WHERE limit_name = 'chunk_words') WHERE len(regexp_extract_all(text, '{_WORDS}')) > most",
 }
