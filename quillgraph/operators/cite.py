@@ -40,6 +40,11 @@ def fan_out(kept: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFra
     return kept.join(each, ["qid", "document_id"]).join(labels.select("chunk_id", "citation_label"), "chunk_id", "left")
 
 
+def citation_defect(stratum: Column, must_cite: Column, n_citations: Column) -> Column:
+    """What is wrong with the number of citations: some where a refusal is due, or none where one must be; else null."""
+    return F.when(stratum.isin("out-of-scope", "unanswerable") & (n_citations > 0), "cited a refusal").when(~stratum.isin("out-of-scope", "unanswerable") & must_cite & (n_citations == 0), "uncited")
+
+
 def cap_verdict(verdict: Column, defect: Column) -> Column:
-    """A correct answer whose citations are defective is only partially correct."""
-    return F.when((verdict == "correct") & defect.isNotNull() & (defect != ""), "partially_correct").otherwise(verdict)
+    """A right verdict with a citation defect is at most partially correct."""
+    return F.when(verdict.isin("correct", "correct_refusal") & defect.isNotNull(), "partially_correct").otherwise(verdict)

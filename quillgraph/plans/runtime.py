@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per session; a cluster need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillgraph_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    where = Path(tempfile.mkdtemp(prefix="quillgraph-"), "quillgraph.zip")
+    with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(where))
+    sc._quillgraph_shipped = True
+
+
 def _remove_all() -> None:
     for spark, path in _written:
         try:

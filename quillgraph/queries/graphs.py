@@ -239,7 +239,7 @@ SELECT statement, p[1].c AS chunk_id, len(p) AS n_chunks, statement || ' (' || a
     "plurals": f"""WITH n AS (SELECT DISTINCT key FROM (SELECT {_k("span")} AS key FROM linked_spans WHERE span IS NOT NULL UNION SELECT {_k("canonical_name")} FROM graph_nodes) WHERE key <> ''),
 t AS (SELECT key, 0 AS r, left(key, length(key) - 1) AS s FROM n WHERE key LIKE '%s' UNION ALL SELECT key, 1, left(key, length(key) - 3) || 'y' FROM n WHERE key LIKE '%ies' UNION ALL SELECT key, 2, left(key, length(key) - 2) FROM n WHERE key LIKE '%es')
 SELECT t.key AS plural, arg_min(s, r) AS singular FROM t JOIN n ON n.key = s WHERE s <> '' GROUP BY t.key""",
-    "confidence_levels": "SELECT CASE WHEN confidence IS NULL THEN 'null' WHEN confidence = 'nan'::DOUBLE THEN 'nan' WHEN confidence < 0 OR confidence > 1 THEN 'out of range' ELSE printf('%.1f', floor(confidence * 10) / 10) END AS bucket, count(*) AS n FROM relationships GROUP BY 1",
+    "confidence_levels": "SELECT CASE WHEN confidence IS NULL THEN 'null' WHEN CAST(confidence AS VARCHAR) = 'nan' THEN 'nan' WHEN confidence < 0 OR confidence > 1 THEN 'out of range' ELSE printf('%.1f', floor(confidence * 10) / 10) END AS bucket, count(*) AS n FROM relationships GROUP BY 1",
     "question_shapes": f"""WITH {_Q}, x AS (SELECT *, lower(question) AS l FROM q), y AS (SELECT *, CASE WHEN regexp_matches(l, '\\bgdpr\\b') THEN 'GDPR' ELSE 'AIA' END AS reg, regexp_extract(l, '\\bannex\\s+([ivx]+)\\b', 1) AS an, regexp_extract(l, '\\barticles?\\s+(\\d+)\\b', 1) AS ar FROM x)
 SELECT qid, regexp_matches(question, '{W.ENUMERATIVE}') AS enumerative, regexp_matches(question, '{W.SECOND_ASK}') AS second_ask, regexp_matches(question, '{W.ENUMERATES}') AS enumerates, regexp_matches(question, '{W.DEFINITIONAL}') AS definitional, regexp_matches(question, '{W.CROSS_INSTRUMENT}') AS cross_instrument,
 CASE WHEN an IN ('i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii','xiii') THEN reg || ' annex ' || upper(an) WHEN ar <> '' THEN reg || ' article ' || ar END AS target FROM y""",
