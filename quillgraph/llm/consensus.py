@@ -70,6 +70,41 @@ def _log_posterior(b: pa.RecordBatch, weights: np.ndarray, trust: np.ndarray, pr
     return stratum, item, tag, vote, said, score
 
 
+#: Partners of an annotator whose agreements its first skill is read from.
+PARTNERS = 40
+#: Agreement beyond that of independent annotators, as a share of what is possible, that counts as copying.
+COPYING = 0.5
+
+
+def first_skills(both: np.ndarray, agree: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(skill, trust)`` from pairwise agreement alone, before there is any consensus.
+
+    Corrected for chance, two independent annotators agree as the product of their skills; the median over triples of
+    sqrt(k_ab * k_ac / k_bc) is a's skill as long as copies of each other are a minority. What a pair agrees beyond that is dependence.
+    """
+    n = len(both)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m = margin / np.maximum(margin.sum(axis=1, keepdims=True), 1)
+        e = m @ m.T
+        kappa = np.where((both >= 20) & (e < 0.999), (agree / both - e) / (1 - e), np.nan)
+    np.fill_diagonal(kappa, np.nan)
+    skill = np.full(n, 0.5)
+    for a in range(n):
+        near = [b for b in np.argsort(-both[a], kind="stable")[: PARTNERS + 1] if b != a and not np.isnan(kappa[a, b])]
+        k = np.clip(kappa[np.ix_(near, near)], 0.02, 1)
+        own = np.clip(kappa[a, near], 0.0, 1)
+        upper = np.triu_indices(len(near), 1)
+        values = np.sqrt(np.outer(own, own)[upper] / k[upper])
+        values = values[~np.isnan(values) & (k[upper] > 0.05)]  # two that hardly agree tell nothing of a third
+        if len(values):
+            skill[a] = float(np.clip(np.median(values), 0.0, 0.98))
+    product = np.outer(skill, skill)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        excess = (kappa - product) / (1 - product)
+        excess = np.where(excess > np.maximum(COPYING, 4 / np.sqrt(both)), excess, 0.0)
+    return skill, 1 / (1 + np.nan_to_num(excess).sum(axis=1))
+
+
 def _soft(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -102,8 +137,34 @@ def consensus(verdicts: DataFrame, hand: DataFrame | None = None) -> Consensus:
     items = cut(items.select("id", number("stratum", strata, "stratum"), F.coalesce("votes", F.array().cast("array<struct<tag:int,vote:int>>")).alias("votes")))
     nt, ns = max(1, len(tags)), max(1, len(strata))
 
-    weights = np.tile(np.log(np.eye(k) * 0.6 + 0.1), (nt, 1, 1))  # [annotator, vote, label]
-    trust, prior = np.ones(nt), np.zeros((ns, k))
+    def pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, agree, margin = np.zeros((nt, nt)), np.zeros((nt, nt)), np.zeros((nt, k))
+        for b in parts:
+            if not b.num_rows:
+                continue
+            _, item, tag, vote, _, _ = _log_posterior(b, np.zeros((nt, k, k)), np.ones(nt), np.zeros((ns, k)))
+            cast = np.zeros((k, b.num_rows, nt), np.float32)
+            cast[vote, item, tag] = 1
+            seen = cast.sum(axis=0)
+            both += seen.T @ seen
+            agree += sum(c.T @ c for c in cast)
+            margin += cast.sum(axis=1).T
+        flat = np.concatenate([x.ravel() for x in (both, agree, margin)])
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "x"])
+
+    def gathered(run, size: int) -> np.ndarray:
+        """Sums over all partitions of a vector whose size the bounds above limit."""
+        sums = np.zeros(size)
+        for r in items.select("id", "stratum", "votes").mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            sums[r["at"]] = r["x"]
+        return sums
+
+    both, agree, margin = np.split(gathered(pairs, 2 * nt * nt + nt * k), [nt * nt, 2 * nt * nt])
+    skill, first_trust = first_skills(both.reshape(nt, nt), agree.reshape(nt, nt), margin.reshape(nt, k))
+    hit = np.clip(skill + (1 - skill) / k, 0.02, 0.98)[:, None, None]
+    weights = np.log(np.eye(k) * hit + (1 - np.eye(k)) * (1 - hit) / (k - 1))  # [annotator, vote, label]
+    trust, prior = first_trust, np.zeros((ns, k))
     pairs_both, rounds, discounted = np.zeros((nt, nt)), 0, False
     for rounds in range(1, ROUNDS + 1):
         state = spark.sparkContext.broadcast((weights, trust, prior))
@@ -133,9 +194,7 @@ def consensus(verdicts: DataFrame, hand: DataFrame | None = None) -> Consensus:
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "x"])
 
-        sums = np.zeros(nt * k * k + ns * k + 3 * nt * nt)
-        for r in items.select("id", "stratum", "votes").mapInArrow(tally, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-            sums[r["at"]] = r["x"]
+        sums = gathered(tally, nt * k * k + ns * k + 3 * nt * nt)
         cuts = np.cumsum([nt * k * k, ns * k, nt * nt, nt * nt])
         said_by, in_stratum, both, err_a, err_ab = np.split(sums, cuts)
         said_by, in_stratum = said_by.reshape(nt, k, k) + SMOOTH, in_stratum.reshape(ns, k) + SMOOTH
@@ -155,7 +214,7 @@ def consensus(verdicts: DataFrame, hand: DataFrame | None = None) -> Consensus:
             if discounted:
                 break
             # mistakes are known only once the consensus is stable; then dependent annotators share one say
-            trust, discounted = 1 / (1 + np.nan_to_num(corr).sum(axis=1)), True
+            trust, discounted = np.minimum(first_trust, 1 / (1 + np.nan_to_num(corr).sum(axis=1))), True
     final = spark.sparkContext.broadcast((weights, trust, prior))
 
     def decide(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

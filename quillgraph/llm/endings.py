@@ -61,6 +61,8 @@ def _hashes(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each width the hash of the window ending at every position, counted back from it; windows cross no array start."""
     h, power = ids.copy(), 1
     for width in WIDTHS:
+        if width > len(ids):
+            return
         if width > 1:
             power = power * _M & _ALL
             h[width - 1 :] += ids[: len(ids) - width + 1] * np.uint64(power)
