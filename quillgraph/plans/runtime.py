@@ -72,6 +72,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in few files spread over all cores before a stage that is heavy on each row; large ones stay."""
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if len(df.inputFiles()) < least and df.rdd.getNumPartitions() < least else df
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more of it than needed to tell."""
     return df.limit(rows + 1).count() <= rows
