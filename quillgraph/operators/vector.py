@@ -72,3 +72,57 @@ def similar_pairs(rows: DataFrame, group: str, threshold: float, key: str = "vec
     """Candidate merges: pairs a < b of one group with a cosine of at least threshold, for review, never applied."""
     a, b = (rows.select(F.col(group).alias("g"), F.col(key).alias(x), F.col(vector).alias(f"v_{x}")) for x in ("a", "b"))
     return a.join(b, "g").where(F.col("a") < F.col("b")).withColumn("similarity", F.round(cosine("v_a", "v_b"), 6)).where(F.col("similarity") >= threshold).select(F.col("g").alias(group), "a", "b", "similarity")
+
+
+def fit_cells(base: DataFrame, n_cells: int, sample: int = 20_000, key: str = "vec_id", vector: str = "embedding", rounds: int = 12) -> np.ndarray:
+    """Unit centroids by spherical k-means on a bounded sample: the ``sample`` rows whose keys hash lowest."""
+    rows = base.where(F.col(vector).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(vector).alias("v")).orderBy("h", "k").limit(sample).toArrow().combine_chunks()
+    v = rows.column("v")
+    m = _matrix(v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v)
+    if not len(m):
+        return np.zeros((0, 0))
+    c = m[np.linspace(0, len(m) - 1, min(n_cells, len(m))).astype(int)]
+    for _ in range(rounds):
+        at = (m @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, m)
+        n = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(n > 0, sums / np.maximum(n, 1e-12), c)
+    return c
+
+
+def top_k_cells(base: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray, probes: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Approximate ``top_k``: every row belongs to its nearest cell, a query meets the rows of its ``probes`` nearest cells.
+
+    Rows are assigned as they are read, so nothing is shuffled but each task's k best rows per query.
+    """
+    spark = base.sparkSession
+    asked = queries.select(F.col(key).alias("qid"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
+    rows = base.select(F.col(key).alias("key"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
+    blocks = max(1, -(-asked.count() // BLOCK))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    out = spark.createDataFrame([], "qid bigint, key bigint, similarity double")
+    for i in range(blocks):
+        held = asked.where(F.col("block") == i).select("qid", "v").toArrow().combine_chunks()
+        if not held.num_rows or not len(centroids):
+            continue
+        v = held.column("v")
+        ids, q = held.column("qid").to_numpy(), _matrix(v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v)
+        near = np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes]
+        asks = np.zeros((len(ids), len(centroids)), bool)
+        np.put_along_axis(asks, near, True, axis=1)
+        shared = spark.sparkContext.broadcast((ids, q, asks, centroids))
+
+        def best(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, asks, centroids = shared.value
+            for b in parts:
+                m, keys = _matrix(b.column(1)), b.column(0).to_numpy()
+                sim = np.where(asks[:, (m @ centroids.T).argmax(axis=1)], np.round(q @ m.T, 6), -np.inf)
+                order = np.lexsort((np.broadcast_to(keys, sim.shape), -sim), axis=1)[:, : min(k, len(keys))]
+                r, c = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
+                met = np.isfinite(sim[r, c])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r[met]]), pa.array(keys[c[met]]), pa.array(sim[r[met], c[met]])], names=["qid", "key", "similarity"])
+
+        out = out.unionByName(rows.mapInArrow(best, "qid bigint, key bigint, similarity double"))
+    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "key")
+    return out.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("qid", "pos", "key", "similarity")

@@ -79,6 +79,29 @@ def vector_topk(spark, d):
     return V.top_k(e, e.where(F.col("vec_id") % 20 == 0), 10).withColumnRenamed("key", "vec_id")
 
 
+def vector_index(spark, d):
+    """Approximate search through cells, and how much of the exact result it finds."""
+    e = table(spark, d, "embeddings")
+    q = e.where(F.col("vec_id") % 20 == 0)
+    cells = max(1, int(e.count() ** 0.5))
+    found = V.top_k_cells(e, q, 10, V.fit_cells(e, cells), max(1, -(-2 * cells // 3)))
+    exact = V.top_k(e, q, 10)
+    both = exact.join(found.select("qid", "key", F.lit(1).alias("hit")), ["qid", "key"], "left")
+    return both.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), (F.count("hit") >= 0.9 * F.count("*")).alias("good"))
+
+
+def fulltext_topk(spark, d):
+    return L.full_text(table(spark, d, "chunks"), "chunk_id", "text", _questions(spark, d), 10).withColumnRenamed("key", "chunk_id")
+
+
+def retention_curve(spark, d):
+    """How many of a question's lexically best provisions survive a budget of the first n documents, for several n."""
+    ranked = L.bm25(table(spark, d, "chunks"), "chunk_id", "text", _questions(spark, d), 50)
+    gold = L.full_text(table(spark, d, "chunks"), "chunk_id", "text", _questions(spark, d), 10).select("qid", "key")
+    kept = ranked.join(gold, ["qid", "key"], "left_semi").select("pos", F.explode(F.array(*map(F.lit, (1, 2, 3, 5, 10, 25, 50)))).alias("n"))
+    return kept.groupBy("n").agg(F.count_if(F.col("pos") <= F.col("n")).alias("kept"))
+
+
 def similar_vectors(spark, d):
     return V.similar_pairs(table(spark, d, "embeddings"), "label", 0.3)
 
@@ -170,6 +193,15 @@ def _bm25_sql(name: str, docs: str, k: int) -> str:
 {name} AS (SELECT * FROM (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS pos FROM {name}_r) WHERE pos <= {k})"""
 
 
+def _stem(x: str) -> str:
+    for pattern, to in (("sses$", "ss"), ("ies$", "i"), ("([^su])s$", "\\1"), ("^(.*[aeiou].*[a-z].*?)(?:ing|ed)$", "\\1"), ("([^aeiou])y$", "\\1i")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}')"
+    return x
+
+
+_FULL = f"""fa AS (SELECT DISTINCT qid, {_stem("term")} AS term FROM (SELECT qid, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM q) WHERE length(term) >= 3),
+fp AS (SELECT chunk_id AS key, {_stem("term")} AS term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks) WHERE length(term) >= 3 GROUP BY ALL),
+ft AS (SELECT * FROM (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS pos FROM (SELECT qid, key, round(sum(tf) * 0.1, 6) AS score FROM fa JOIN fp USING (term) GROUP BY qid, key)) WHERE pos <= 10)"""
 _CHUNKS, _TITLES = "SELECT chunk_id AS key, text FROM chunks", "SELECT chunk_id AS key, coalesce(article_title, annex_title) AS text FROM chunks WHERE coalesce(article_title, annex_title) IS NOT NULL"
 _DOCS = "docs AS (SELECT regulation AS qid, coalesce(article, definition, 0) AS call, chunk_id AS pos, text FROM chunks)"
 _SIM = "sims AS (SELECT q.vec_id AS qid, e.vec_id AS key, q.label, e.label AS other, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0), top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, key) AS pos FROM sims)"
@@ -187,7 +219,7 @@ def _first_seen(x: str) -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (chunk_keys, chunk_violations, chunk_status, provisions, chunk_entity_index, entity_sources_differ, bm25_topk, term_statistics, lexical_union, augmented, modal_provision, vector_topk, similar_vectors, vector_recall, vector_losses, hydrated, citations_valid, prose_labels, prose_labels_not_asked, text_sizes, interleaved, distinct_texts, first_budget, anchor_budget)
+    for f in (chunk_keys, chunk_violations, chunk_status, provisions, chunk_entity_index, entity_sources_differ, bm25_topk, term_statistics, lexical_union, augmented, modal_provision, vector_topk, vector_index, fulltext_topk, retention_curve, similar_vectors, vector_recall, vector_losses, hydrated, citations_valid, prose_labels, prose_labels_not_asked, text_sizes, interleaved, distinct_texts, first_budget, anchor_budget)
 }
 _ROMAN = "list_position(['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII'], annex)"
 ORACLE = {
@@ -209,6 +241,8 @@ m AS (SELECT qid, key, min((arm, pos)) AS w FROM u GROUP BY qid, key) SELECT qid
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY arm, pos) AS pos, key AS chunk_id, arm FROM u""",
     "modal_provision": f"""WITH {_QUESTIONS}, {_bm25_sql("b", _CHUNKS, 10)}, v AS (SELECT qid, regexp_extract(key, '^[a-z0-9]+-(art|annex)\\d+') AS provision, count(*) AS votes, min(pos) AS best FROM b GROUP BY ALL)
 SELECT qid, arg_min(provision, (-votes, best, provision)) AS provision, max(votes) AS votes FROM v GROUP BY qid""",
+    "fulltext_topk": f"WITH {_QUESTIONS}, {_FULL} SELECT qid, pos, key AS chunk_id, score FROM ft",
+    "retention_curve": f"WITH {_QUESTIONS}, {_bm25_sql('b', _CHUNKS, 50)}, {_FULL}, k AS (SELECT b.pos FROM b JOIN ft USING (qid, key)) SELECT n, count(*) FILTER (pos <= n) AS kept FROM k, (VALUES (1), (2), (3), (5), (10), (25), (50)) t(n) GROUP BY n",
     "vector_topk": f"WITH {_SIM} SELECT qid, pos, key AS vec_id, similarity FROM top WHERE pos <= 10",
     "similar_vectors": "SELECT * FROM (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE similarity >= 0.3",
     "vector_recall": f"WITH {_SIM}, p AS (SELECT qid, count(*) FILTER (label = other) AS gold, count(*) FILTER (label = other AND pos <= 10) AS hits FROM top GROUP BY qid) SELECT sum(gold) AS gold, sum(hits) AS hits, round(sum(hits) / sum(gold), 6) AS recall, round(avg((hits > 0)::INT), 6) AS hit_rate FROM p",

@@ -108,3 +108,18 @@ def test_ordered_union(spark):
     a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "qid int, pos int, key string")
     b = spark.createDataFrame([(1, 1, "y"), (1, 2, "z")], "qid int, pos int, key string")
     assert [r.key for r in L.ordered_union(a, b).orderBy("pos").collect()] == ["x", "y", "z"]
+
+
+def test_cells_find_most_and_full_text_stems(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 12))
+    m = centres[rng.integers(0, 8, 800)] + 0.3 * rng.normal(size=(800, 12))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id bigint, embedding array<float>")
+    q = df.where("vec_id % 20 = 0")
+    exact = {(r.qid, r.key) for r in V.top_k(df, q, 10).collect()}
+    found = {(r.qid, r.key) for r in V.top_k_cells(df, q, 10, V.fit_cells(df, 16), 4).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    assert V.top_k_cells(df, q, 3, V.fit_cells(df.limit(0), 4), 2).count() == 0
+    docs = spark.createDataFrame([("a", "duties applied twice, duty"), ("b", "processing of classes"), ("c", None)], "k string, t string")
+    asked = spark.createDataFrame([(1, "applying a duty"), (2, "class processes"), (3, "of a")], "qid int, question string")
+    assert [(r.qid, r.key, r.score) for r in L.full_text(docs, "k", "t", asked, 5).orderBy("qid").collect()] == [(1, "a", 0.3), (2, "b", 0.2)]
