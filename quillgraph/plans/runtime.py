@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,3 +96,14 @@ def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     repeated = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its counts and positions as bigint, as SQL returns them."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.withColumns({f.name: F.col(f.name).cast("bigint") for f in df.schema if f.dataType.simpleString() == "int"})
+
+    return run

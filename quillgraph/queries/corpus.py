@@ -12,7 +12,7 @@ from quillgraph.operators.assembly import augment, budget_anchor, budget_first,
 from quillgraph.operators.cite import uncited
 from quillgraph.operators.resolve import chunk_entities
 from quillgraph.operators.scores import loss_split, recall_at
-from quillgraph.plans.runtime import join_sized, table
+from quillgraph.plans.runtime import join_sized, table, wide
 
 
 def chunk_keys(spark, d):
@@ -221,6 +221,8 @@ QUERIES = {
     f.__name__: f
     for f in (chunk_keys, chunk_violations, chunk_status, provisions, chunk_entity_index, entity_sources_differ, bm25_topk, term_statistics, lexical_union, augmented, modal_provision, vector_topk, vector_index, fulltext_topk, retention_curve, similar_vectors, vector_recall, vector_losses, hydrated, citations_valid, prose_labels, prose_labels_not_asked, text_sizes, interleaved, distinct_texts, first_budget, anchor_budget)
 }
+for _name in ("chunk_keys", "provisions", "entity_sources_differ", "bm25_topk", "lexical_union", "augmented", "fulltext_topk", "vector_topk", "hydrated", "text_sizes", "interleaved", "first_budget", "anchor_budget", "retention_curve"):
+    QUERIES[_name] = wide(QUERIES[_name])
 _ROMAN = "list_position(['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII'], annex)"
 ORACLE = {
     "chunk_keys": f"""SELECT chunk_id, {_SHAPE} AS shape, CASE {_SHAPE} WHEN 'annex' THEN lower(regulation) || '-annex' || {_ROMAN} || coalesce('-section' || section, '') || '-point' || point WHEN 'definition' THEN lower(regulation) || '-art' || article || '-def' || definition ELSE lower(regulation) || '-art' || article || '-para' || paragraph END AS derived_id,
@@ -258,3 +260,8 @@ SELECT CASE WHEN grouping(stratum) = 1 THEN '(all)' ELSE stratum END AS stratum,
     "first_budget": f"WITH {_DOCS} SELECT qid, pos AS chunk_id, \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS \"at\" FROM docs) WHERE \"at\" <= 50",
     "anchor_budget": f"WITH {_DOCS} SELECT qid, pos AS chunk_id, hit, \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hit DESC, pos) AS \"at\" FROM (SELECT *, qid IN ('AIA', 'GDPR') AND (contains(lower(text), 'technical data sheet') OR contains(lower(text), 'audit trail')) AS hit FROM docs)) WHERE \"at\" <= 20",
 }
+for _name, _text, _sums in (("vector_recall", "recall, hit_rate", "gold hits"), ("vector_losses", "stratum", "gold cap oracle found retrieval_loss cap_loss order_loss")):
+    ORACLE[_name] = f"SELECT {_text}, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _sums.split())} FROM ({ORACLE[_name]})"
+for _name, _ints in (("lexical_union", ("arm",)), ("augmented", ("arm",)), ("interleaved", ("call",)), ("retention_curve", ("n",)), ("chunk_keys", ())):
+    ORACLE[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _ints)}) FROM ({ORACLE[_name]})" if _ints else ORACLE[_name]
+ORACLE["fulltext_topk"] = f"SELECT * REPLACE (CAST(score AS DOUBLE) AS score) FROM ({ORACLE['fulltext_topk']})"

@@ -8,7 +8,7 @@ from quillgraph.functions.text import name_key
 from quillgraph.operators import graph as G
 from quillgraph.operators import resolve as R
 from quillgraph.operators import route as W
-from quillgraph.plans.runtime import cut, join_sized, table
+from quillgraph.plans.runtime import cut, join_sized, table, wide
 from quillgraph.schemas import AUTHORITY_WORDS, ENDPOINTS, TYPE_PRIORITY
 
 
@@ -211,6 +211,8 @@ QUERIES = {
     f.__name__: f
     for f in (graph_edges, skipped_edges, graph_bridges, graph_stats, isolated_nodes, component_sizes, roles, systems, enforcement, definitions, interactions, paths, definition_statements, type_votes, reconciled_types, resolved_nodes, display_names, plurals, confidence_levels, linked_entities, routes, template_plans, question_shapes, unlinked_ends)
 }
+for _name in ("roles", "systems", "enforcement", "interactions"):
+    QUERIES[_name] = wide(QUERIES[_name])
 ORACLE = {
     "graph_edges": f"WITH {_BASE} SELECT type, head, tail, source_chunk_id, round(confidence, 6) AS confidence, violation FROM edges",
     "skipped_edges": f"WITH {_BASE} SELECT DISTINCT rel_id, type, concat_ws('|', CASE WHEN hn IS NULL THEN head END, CASE WHEN tn IS NULL THEN tail END) AS missing FROM res WHERE hn IS NULL OR tn IS NULL",
