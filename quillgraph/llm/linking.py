@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.unicode import DASHES, WHITE_SPACE
-from quillgraph.plans.runtime import cut
+from quillgraph.plans.runtime import cut, spread
 
 NONE = "(none)"
 #: The list is broadcast; it may hold this many entries.
@@ -369,5 +369,5 @@ def link_spans(spans: DataFrame, entries: DataFrame) -> DataFrame:
             linked = [index.link(s, t) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.string())], names=["span", "type", "canonical_name"])
 
-    found = one.select("span", "type").distinct().mapInArrow(run, "span string, type string, canonical_name string")
+    found = spread(cut(one.select("span", "type").distinct())).mapInArrow(run, "span string, type string, canonical_name string")
     return one.join(found, ["span", "type"]).select("span_id", "canonical_name")
