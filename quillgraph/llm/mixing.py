@@ -52,14 +52,14 @@ def due(tokens: dict[str, int], targets: dict[str, tuple[float, int]], block: in
     if not most:
         return {}
     weight = sum(targets[s][0] for s in most)
-    share = {s: targets[s][0] / weight for s in most}
-    want = min(int(most[s] / share[s]) for s in most) if total is None else max(1, total // block)
+    share = {s: max(targets[s][0] / weight, 1e-300) for s in most}
+    want = int(min(most[s] / share[s] if share[s] * 1e15 > most[s] else 1e15 for s in most)) if total is None else max(1, total // block)
     out, open_, left = {}, dict(share), want
     while open_:
-        scale = left / sum(open_.values())
-        short = [s for s in open_ if most[s] < int(open_[s] * scale)]
+        whole = sum(open_.values())
+        short = [s for s in open_ if most[s] < int(open_[s] / whole * left)]
         if not short:
-            exact = {s: open_[s] * scale for s in open_}
+            exact = {s: open_[s] / whole * left for s in open_}
             out |= {s: int(x) for s, x in exact.items()}
             for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: left - sum(int(x) for x in exact.values())]:
                 out[s] += out[s] < most[s]
