@@ -1,9 +1,11 @@
 """Defective question-answer pairs: empty, copied, refused, foreign or cut answers.
 
-Openings of answers are clustered by MinHash over five-word shingles and verified (Jaccard of 0.8). A template that
-opens answers to several unrelated questions and declines in most of them is a refusal template; an answer is a
-refusal when it opens with one, or declines in its last telling sentence, and nothing of substance follows. Copy,
-language and termination checks label the rest.
+Openings (whole first telling sentences) that name nothing of what the questions are about are clustered by MinHash
+over three-word shingles and verified (Jaccard of 0.5). A cluster that opens answers to several unrelated questions,
+in most of which nothing of substance follows, is a refusal template, whatever its words. An answer is a refusal when
+it opens with one and nothing of substance follows. A lexicon adds what the clusters cannot judge: phrases of up to
+three words, declining in the last sentence, and openings that do not recur. Copy, language and termination checks
+label the rest.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ from quillgraph.llm.endings import HEADING_WORDS, ending_scores
 from quillgraph.llm.truncation import _posteriors
 from quillgraph.plans.runtime import cut, join_sized, spread
 
-SHINGLE, SIMILAR = 5, 0.8
-OPENING_WORDS = 12
-BANDS, ROWS = 16, 4
+#: A refusal varies in a phrase of two to four words before and after its core of four to eight ("With regret, ... at
+#: present"): two such sentences share about half of their shingles of three, hardly any of five, and never 0.8 of them.
+SHINGLE, SIMILAR = 3, 0.5
+#: Pairs at SIMILAR meet in a band with a probability of 0.9999.
+BANDS, ROWS = 32, 2
+#: An opening shorter than this cannot be told from a brief answer; a word is topical if this share of the questions, and so many, use it; a sentence is bare up to this share of topical words.
+OPENING_LEAST, TOPIC_SHARE, TOPIC_LEAST, BARE_SHARE = 4, 0.0005, 3, 0.15
 #: Unrelated questions a template must answer before it counts as one.
 TEMPLATE_PROMPTS = 3
 
@@ -150,7 +156,33 @@ def declines(answer: str) -> tuple[bool, bool]:
 
 
 def opening(answer: str) -> str:
-    return " ".join(re.sub(r"\d+", "0", w) for w in _WORD.findall(plain(answer))[:OPENING_WORDS])
+    """The first sentence, and the next ones until it has four words, digits masked."""
+    words: list[str] = []
+    for s in _SENTENCE.split(plain(answer)):
+        words += _WORD.findall(s)
+        if len(words) >= OPENING_LEAST:
+            break
+    return " ".join(re.sub(r"\d+", "0", w) for w in words)
+
+
+def is_bare(sentence: str, topics: frozenset[str]) -> bool:
+    """Whether the sentence has no number and hardly a word that questions are about."""
+    words = _WORD.findall(sentence)
+    return not any(c.isdigit() for c in sentence) and sum(w in topics for w in words) <= BARE_SHARE * len(words)
+
+
+def topical_words(questions: DataFrame) -> frozenset[str]:
+    """Words a share of TOPIC_SHARE of the questions use, function words apart; so at most a question's words / TOPIC_SHARE."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        for b in parts:
+            for q in b.column(0).to_pylist():
+                n.update({w for w in _WORD.findall(plain(q or "")) if len(w) > 3 and w not in _SPOKEN})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+
+    least = max(TOPIC_LEAST, TOPIC_SHARE * questions.count())
+    return frozenset(r.word for r in questions.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect())
 
 
 def _brief(answer: str) -> bool:
@@ -159,15 +191,18 @@ def _brief(answer: str) -> bool:
     return 0 < len(words) <= 4 and not any(words[-1] in s for s in _SETS.values())
 
 
-def _checked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _checked(parts: Iterator[pa.RecordBatch], topics: frozenset[str]) -> Iterator[pa.RecordBatch]:
     for b in parts:
-        out: dict[str, list] = {"empty": [], "copied": [], "foreign": [], "first": [], "last": [], "only": [], "brief": [], "opening": []}
+        out: dict[str, list] = {"empty": [], "copied": [], "foreign": [], "first": [], "last": [], "only": [], "bare": [], "alone": [], "brief": [], "opening": []}
         for q, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             q, a = q or "", a or ""
             empty = is_empty(a)
             first, last = declines(a)
             n = len([s for s in _SENTENCE.split(a) if len(_WORD.findall(s)) >= 3 and not ASIDE.search(s)])
-            for k, v in (("empty", empty), ("copied", not empty and copies(q, a)), ("foreign", not empty and foreign(q, a)), ("first", first), ("last", last), ("only", n <= 1), ("brief", _brief(a)), ("opening", opening(a))):
+            start = opening(a)
+            bare = start.count(" ") >= OPENING_LEAST - 1 and is_bare(start, topics)
+            telling = [s for s in _SENTENCE.split(plain(a)) if len(_WORD.findall(s)) >= 3 and not is_bare(s, topics) and not ASIDE.search(s)] if bare else []
+            for k, v in (("empty", empty), ("copied", not empty and copies(q, a)), ("foreign", not empty and foreign(q, a)), ("first", first), ("last", last), ("only", n <= 1), ("bare", bare), ("alone", bare and not telling), ("brief", _brief(a)), ("opening", start)):
                 out[k].append(v)
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[k], pa.string() if k == "opening" else pa.bool_()) for k in out)], names=["key", *out])
 
@@ -192,11 +227,13 @@ def _signed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def opening_templates(checked: DataFrame) -> DataFrame:
-    """``opening, prompts, declining``: of each opening's cluster the distinct prompts and the share that declines.
+    """``opening, prompts, declining, alone``: of each opening's cluster the distinct prompts, the share that declines by the lexicon, and the share after which nothing of substance follows (null without a column ``alone``).
 
     One row per distinct opening, so equal openings are never paired; links between different openings are all kept.
     """
-    each = checked.where(F.col("opening") != "").groupBy("opening").agg(F.countDistinct("prompt").alias("prompts"), F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("d"))
+    alone = F.sum(F.col("alone").cast("int")) if "alone" in checked.columns else F.lit(None).cast("bigint")
+    checked = checked.where(F.col("opening") != "")
+    each = checked.groupBy("opening").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("d"), alone.alias("x"))
     signed = cut(each.join(each.select("opening").mapInArrow(_signed, "opening string, shingles array<bigint>, bands array<bigint>"), "opening"))
     banded = signed.select("opening", "shingles", F.explode("bands").alias("band"))
     a, b = (banded.select(F.col("opening").alias(x), F.col("shingles").alias(f"s_{x}"), "band") for x in ("a", "b"))
@@ -205,14 +242,16 @@ def opening_templates(checked: DataFrame) -> DataFrame:
     links = cut(a.join(b, "band").where(F.col("a") < F.col("b")).where(alike).select("a", "b").distinct())
     edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = signed.select("opening", F.col("opening").alias("label"))
-    for _ in range(OPENING_WORDS):  # least opening of the cluster; openings differ by at most a few words, so chains are short
+    while True:  # least opening of the cluster, until none moves
         near = edges.join(label, edges["b"] == label["opening"]).groupBy("a").agg(F.min("label").alias("least"))
         new = cut(label.join(near, label["opening"] == near["a"], "left").select("opening", F.least("label", F.coalesce("least", "label")).alias("label"), (F.col("least") < F.col("label")).alias("moved")))
         label = new.select("opening", "label")
         if not new.where("moved").limit(1).count():
             break
-    sums = signed.join(label, "opening").groupBy("label").agg(F.sum("prompts").alias("prompts"), (F.sum("d") / F.sum("n")).alias("declining"))
-    return label.join(sums, "label").select("opening", "prompts", "declining")
+    sums = signed.join(label, "opening").groupBy("label").agg((F.sum("d") / F.sum("n")).alias("declining"), (F.sum("x") / F.sum("n")).alias("alone"))
+    # a question answered with two openings of a cluster counts once
+    prompts = checked.select("opening", "prompt").join(label, "opening").groupBy("label").agg(F.countDistinct("prompt").alias("prompts"))
+    return label.join(sums, "label").join(prompts, "label").select("opening", "prompts", "declining", "alone")
 
 
 def finish_class(reason: str = "finish_reason"):
@@ -230,10 +269,12 @@ def defects(answers: DataFrame) -> DataFrame:
     """
     rows = answers.select(F.col("answer_id").alias("key"), "question", "answer", "stratum", finish_class().alias("finish")).dropDuplicates(["key"])
     rows = spread(cut(rows))
-    marks = rows.select("key", "question", "answer").mapInArrow(_checked, f"key {rows.schema['key'].dataType.simpleString()}, empty boolean, copied boolean, foreign boolean, first boolean, last boolean, only boolean, brief boolean, opening string")
+    topics = topical_words(rows.select("question"))
+    marks = rows.select("key", "question", "answer").mapInArrow(lambda parts: _checked(parts, topics), f"key {rows.schema['key'].dataType.simpleString()}, empty boolean, copied boolean, foreign boolean, first boolean, last boolean, only boolean, bare boolean, alone boolean, brief boolean, opening string")
     marks = cut(marks.join(rows.select("key", F.xxhash64(F.lower(F.coalesce("question", F.lit("")))).alias("prompt"), F.coalesce(F.lower(F.trim("stratum")), F.lit("")).alias("stratum"), "finish"), "key"))
-    recurring = opening_templates(marks).where(F.col("prompts") >= TEMPLATE_PROMPTS)
-    templates = recurring.select("opening", (F.col("declining") >= 0.5).alias("template"), F.lit(True).alias("recurs"))
+    # an opening with substance is no template; brief ones tell which short answers recur
+    recurring = opening_templates(marks.where(F.col("bare") | F.col("brief") | F.col("first"))).where(F.col("prompts") >= TEMPLATE_PROMPTS)
+    templates = recurring.select("opening", (F.col("declining") >= 0.5).alias("template"), (F.col("alone") >= 0.5).alias("stands"), F.lit(True).alias("recurs"))
     judged = join_sized(marks, templates, ["opening"], "left")
     # marks of citations behind the last sentence are no part of its end
     bare = rows.where(F.col("answer").isNotNull()).select("key", F.regexp_replace("answer", r"(?:\s*(?:\[\d{1,3}\]|(?<=[.?!\]”\"])\s*\([^()\n]{0,60}(?:\([^()]{0,8}\)[^()\n]{0,20})*\)))+\s*$", "").alias("text"))
@@ -245,7 +286,8 @@ def defects(answers: DataFrame) -> DataFrame:
     post = bins.groupBy("source").applyInPandas(lambda g: _posteriors(g), "source string, open boolean, cut_word boolean, bin double, prior double, posterior double, theta double, alpha double")
     post = cut(post.select(F.col("source").alias("group"), "open", "cut_word", "bin", "posterior"))
     stops = join_sized(ends, post, ["group", "open", "cut_word", "bin"]).select("key", "posterior")
-    declined = F.col("last") | (F.coalesce("template", F.lit(False)) & F.col("only"))
+    # the clusters judge by content; the lexicon adds closings, phrases too short to tell and openings that do not recur
+    declined = (F.coalesce("stands", F.lit(False)) & F.col("alone")) | F.col("last") | (F.coalesce("template", F.lit(False)) & F.col("only"))
     stopped = (F.col("posterior") >= 0.5) & ~(F.col("brief") & F.coalesce("recurs", F.lit(False)))  # a brief answer given to many questions is whole
     excused = F.regexp_replace("stratum", r"[^a-z]+", "").isin("outofscope", "unanswerable")
     defect = F.when(F.col("empty"), "empty").when(F.col("copied"), "copies_question").when(declined, F.when(~excused, "refusal").otherwise("(excused)")).when(F.col("foreign"), "other_language").when(stopped, "truncated")

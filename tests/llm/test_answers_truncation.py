@@ -139,6 +139,29 @@ def test_templates_link_similar_openings(spark):
     assert t[long] == (3, 0.67) == t[" ".join(long.split()[:11])] and t["yes"] == (2, 0.0)
 
 
+def test_refusals_in_words_no_lexicon_has(spark):
+    rng = random.Random(5)
+    rows = [(i, f"Which duty has the {rng.choice(WHO)} number {i} regarding the {rng.choice(NOUNS)}?", " ".join(sentence(rng) for _ in range(3))) for i in range(200)]
+    ask = lambda i: rows[i][1]
+    starts, stops = ("", "Sadly, ", "To my regret, ", "As things are, "), ("", " just now", " in such a case", " on this basis")
+    refused = [f"{a}my hands are tied and nothing useful comes to mind{b}." for a in starts for b in stops]
+    assert not any(any(A.declines(a)) for a in refused)
+    rows += [(1000 + i, ask(i), a) for i, a in enumerate(refused)]
+    rows += [(2000 + i, ask(20 + i), f"This one is easy once you look. {sentence(rng)} {sentence(rng)}") for i in range(12)]  # a bare opening with an answer behind it
+    rows += [(3000 + i, ask(40 + i), a) for i, a in enumerate(["30 days"] * 4 + ["Only if agreed."] * 4)]
+    rows.append((4000, ask(60), "That would be a matter of taste."))  # bare, but no template
+    df = spark.createDataFrame([(*r, "COMPLETE", "two-hop") for r in rows], "answer_id bigint, question string, answer string, finish_reason string, stratum string")
+    assert {r.answer_id for r in A.defects(df).collect() if r.defect == "refusal"} == {1000 + i for i in range(len(refused))}
+
+
+def test_openings_differing_at_both_ends_link(spark):
+    core = "i am not in a position to say anything useful"
+    texts = [f"With regret, {core}.", f"{core} at present.", f"To be candid, {core} in this form.", "Three things count here: the log, the file and the reply."]
+    df = spark.createDataFrame([(i, "one question" if i < 2 else f"p{i}", A.opening(t), False, True) for i, t in enumerate(texts)], "key int, prompt string, opening string, first boolean, alone boolean")
+    t = {r.opening: (r.prompts, r.alone) for r in A.opening_templates(df).collect()}
+    assert [t[A.opening(x)] for x in texts] == [(2, 1.0)] * 3 + [(1, 1.0)]
+
+
 def test_ending_scores_repeat_keys(spark):
     df = spark.createDataFrame([(1, "The end of it."), (1, "The end of it."), (2, None)], "k int, t string")
     assert {(r.key, r.ends) for r in ending_scores(df, "k", "t").collect()} == {(1, "stop"), (2, "none")}
