@@ -22,8 +22,6 @@ from quillgraph.plans.runtime import cut, join_sized
 #: Context lengths in tokens, and the uses a context needs before it is believed.
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 9)
 LEAST = 4
-#: Widths counted at every position; the others only for a window that begins with its line.
-EVERYWHERE = (1, 2, 3, 4, 6)
 #: A closing line or phrase (signature, page footer) recurs in this share of all texts, and at least so often.
 CLOSER_SHARE, CLOSER_LEAST, CLOSER_WORDS = 0.001, 5, 9
 #: A single line of so few words may be a heading, whose colon says nothing.
@@ -225,7 +223,7 @@ def context_counts(texts: DataFrame, text: str, wanted: DataFrame, known: frozen
             inner |= stop & nxt(eot)
             every = np.flatnonzero(inner)
             for width, h in _hashes(x):
-                at = every if width in EVERYWHERE else np.flatnonzero(inner[width - 1 :] & line[: len(x) - width + 1]) + width - 1
+                at = every[np.searchsorted(every, width - 1) :]
                 h = h[at]
                 slot = (h & low).astype(np.int64)
                 keep = ((mask[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
@@ -270,13 +268,14 @@ def ending_scores(texts: DataFrame, key: str, text: str) -> DataFrame:
     seen = join_sized(each.withColumnRenamed("key", "k"), counts, ["hash"], "left")
     uses, ended = F.coalesce(F.col("uses"), F.lit(0)), F.coalesce(F.col("ended"), F.lit(0))
     per = seen.groupBy("k").agg(
-        F.max_by(F.struct((ended + 0.02).alias("e"), (uses + 0.2).alias("u")), F.when(uses >= LEAST, F.col("w"))).alias("best"),
+        F.sort_array(F.collect_list(F.when(uses >= LEAST, F.struct("w", ended.alias("e"), uses.alias("u"))))).alias("used"),
         F.max(F.when(F.col("w") == 0, uses)).alias("one"),
         F.max(F.when(F.col("w") == 1, uses)).alias("two"),
         F.max(F.when(uses >= LEAST, F.col("w"))).alias("width"),
     )
     out = ends.drop("hashes").dropDuplicates(["key"]).join(per.withColumnRenamed("k", "key"), "key", "left")
-    rate: Column = F.col("best.e") / F.col("best.u")
+    # each context is smoothed towards the next shorter one, so a few uses that agree with many do not weaken them
+    rate: Column = F.when(F.size("used") > 0, F.aggregate("used", F.lit(0.1), lambda shorter, x: (x["e"] + 0.2 * shorter) / (x["u"] + 0.2)))
     one, two, width = (F.coalesce(F.col(c), F.lit(d)) for c, d in (("one", 0), ("two", 0), ("width", -1)))
     # the corpus never or hardly uses the last word, or never after the word before it
     cut_word = F.col("ends").isin("open", "dots") & ((one < LEAST) | ((two == 0) & (width < 1) & (F.col("words") > HEADING_WORDS)))

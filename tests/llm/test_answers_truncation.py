@@ -166,3 +166,11 @@ def test_ending_scores_repeat_keys(spark):
     df = spark.createDataFrame([(1, "The end of it."), (1, "The end of it."), (2, None)], "k int, t string")
     assert {(r.key, r.ends) for r in ending_scores(df, "k", "t").collect()} == {(1, "stop"), (2, "none")}
     assert closers(spark.createDataFrame([("x",)], "tail string"), 1) == frozenset()
+
+
+def test_long_contexts_count_in_mid_line(spark):
+    six = "must file it by the panel"
+    rows = [(i, f"note n{chr(97 + i % 26)} says alpha {six} and then it goes on.\nnote n{chr(97 + i % 26)} says beta {six}\nMore follows here.") for i in range(20)]
+    rows += [(100, f"Some other text here has alpha {six}"), (101, f"Some other text here has beta {six}")]
+    got = {r.key: r for r in ending_scores(spark.createDataFrame(rows, "k int, t string"), "k", "t").where("key >= 100").collect()}
+    assert got[100].width == got[101].width == 6 and got[100].whole < 0.1 and got[101].whole > 0.9
