@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.endings import HEADING_WORDS, ending_scores
+from quillgraph.llm.endings import HEADING_WORDS, SHORT_TEXTS, ending_scores
 from quillgraph.llm.truncation import _posteriors
 from quillgraph.plans.runtime import cut, join_sized, spread
 
@@ -278,7 +278,7 @@ def defects(answers: DataFrame) -> DataFrame:
     judged = join_sized(marks, templates, ["opening"], "left")
     # marks of citations behind the last sentence are no part of its end
     bare = rows.where(F.col("answer").isNotNull()).select("key", F.regexp_replace("answer", r"(?:\s*(?:\[\d{1,3}\]|(?<=[.?!\]”\"])\s*\([^()\n]{0,60}(?:\([^()]{0,8}\)[^()\n]{0,20})*\)))+\s*$", "").alias("text"))
-    ends = ending_scores(bare, "key", "text").where(F.col("ends") != "none")
+    ends = ending_scores(bare, "key", "text", SHORT_TEXTS).where(F.col("ends") != "none")
     w = F.col("whole")
     ends = ends.join(rows.select("key", "finish"), "key").withColumn("open", F.col("ends").isin("open", "dots", "half") | (w < 0.5)).withColumn("cut_word", F.col("cut_word") | (F.col("ends") == "half"))
     ends = cut(ends.withColumn("bin", F.round(F.log((1 - w) / w) * 2) / 2).withColumn("group", F.when(F.col("words") <= HEADING_WORDS, F.concat(F.lit("short "), "finish")).otherwise(F.col("finish"))))

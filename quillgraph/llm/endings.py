@@ -22,6 +22,9 @@ from quillgraph.plans.runtime import cut, join_sized
 #: Context lengths in tokens, and the uses a context needs before it is believed.
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 9)
 LEAST = 4
+#: Widths counted at every position for short texts such as answers, the others only from a line's beginning: there
+#: the longer ones took 64 whole answers without a full stop for cut ones.
+SHORT_TEXTS = (1, 2, 3, 4, 6)
 #: A closing line or phrase (signature, page footer) recurs in this share of all texts, and at least so often.
 CLOSER_SHARE, CLOSER_LEAST, CLOSER_WORDS = 0.001, 5, 9
 #: A single line of so few words may be a heading, whose colon says nothing.
@@ -192,7 +195,7 @@ def _summed(h: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
     return u, *(np.bincount(where, weights=x, minlength=len(u)).astype(np.int64) for x in sums)
 
 
-def context_counts(texts: DataFrame, text: str, wanted: DataFrame, known: frozenset[str]) -> DataFrame:
+def context_counts(texts: DataFrame, text: str, wanted: DataFrame, known: frozenset[str], everywhere: tuple[int, ...] = WIDTHS) -> DataFrame:
     """``hash, uses, ended``: how often each wanted context stands inside a text and how often something ends there.
 
     Closers are taken off first, as what stands before them may be cut.
@@ -223,7 +226,7 @@ def context_counts(texts: DataFrame, text: str, wanted: DataFrame, known: frozen
             inner |= stop & nxt(eot)
             every = np.flatnonzero(inner)
             for width, h in _hashes(x):
-                at = every[np.searchsorted(every, width - 1) :]
+                at = every[np.searchsorted(every, width - 1) :] if width in everywhere else np.flatnonzero(inner[width - 1 :] & line[: len(x) - width + 1]) + width - 1
                 h = h[at]
                 slot = (h & low).astype(np.int64)
                 keep = ((mask[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
@@ -251,7 +254,7 @@ def context_counts(texts: DataFrame, text: str, wanted: DataFrame, known: frozen
     return texts.select(text).mapInArrow(run, "hash bigint, uses bigint, ended bigint").groupBy("hash").agg(F.sum("uses").alias("uses"), F.sum("ended").alias("ended"))
 
 
-def ending_scores(texts: DataFrame, key: str, text: str) -> DataFrame:
+def ending_scores(texts: DataFrame, key: str, text: str, everywhere: tuple[int, ...] = WIDTHS) -> DataFrame:
     """``key, ends, closed, words, chars, bytes, width, cut_word, whole``: the probability that a text of the corpus may end where this one ends.
 
     The longest context with LEAST uses decides; a last word the corpus never uses in the middle of a text, or one
@@ -264,7 +267,7 @@ def ending_scores(texts: DataFrame, key: str, text: str) -> DataFrame:
     # full stops are nearly always real; the last two tokens tell an abbreviation
     each = ends.where(F.col("ends").isin("open", "stop", "dots")).select("key", "ends", F.posexplode("hashes").alias("w", "hash")).where((F.col("ends") != "stop") | (F.col("w") <= 2))
     wanted = each.select("hash").distinct()
-    counts = cut(context_counts(texts, text, wanted, known))
+    counts = cut(context_counts(texts, text, wanted, known, everywhere))
     seen = join_sized(each.withColumnRenamed("key", "k"), counts, ["hash"], "left")
     uses, ended = F.coalesce(F.col("uses"), F.lit(0)), F.coalesce(F.col("ended"), F.lit(0))
     per = seen.groupBy("k").agg(
@@ -275,7 +278,8 @@ def ending_scores(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
     out = ends.drop("hashes").dropDuplicates(["key"]).join(per.withColumnRenamed("k", "key"), "key", "left")
     # each context is smoothed towards the next shorter one, so a few uses that agree with many do not weaken them
-    rate: Column = F.when(F.size("used") > 0, F.aggregate("used", F.lit(0.1), lambda shorter, x: (x["e"] + 0.2 * shorter) / (x["u"] + 0.2)))
+    last = F.try_element_at("used", F.lit(-1))
+    rate: Column = (last["e"] + 0.02) / (last["u"] + 0.2) if everywhere != WIDTHS else F.when(F.size("used") > 0, F.aggregate("used", F.lit(0.1), lambda shorter, x: (x["e"] + 0.2 * shorter) / (x["u"] + 0.2)))
     one, two, width = (F.coalesce(F.col(c), F.lit(d)) for c, d in (("one", 0), ("two", 0), ("width", -1)))
     # the corpus never or hardly uses the last word, or never after the word before it
     cut_word = F.col("ends").isin("open", "dots") & ((one < LEAST) | ((two == 0) & (width < 1) & (F.col("words") > HEADING_WORDS)))
