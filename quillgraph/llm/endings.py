@@ -34,6 +34,8 @@ MOST_BITS = 1 << 27
 
 #: Characters of a text's end that are looked at for how it ends, and tokens hashed at a time.
 TAIL, CHUNK = 700, 200_000
+#: White space behind a whole text, and how much of it still counts as length: a limit may fall on a blank or a paragraph break.
+_PADDING, PADDING_COUNTED = r"(?U)(?<![\s\x1c-\x1f])[\s\x1c-\x1f]+\z", 2
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d[\d.,]*(?<=\d)|\n|[^\w\s]|_")
 _ENTITY = re.compile(r"(?:\s|&(?:[a-zA-Z]{2,8}|#\d{2,6}|#x[0-9a-fA-F]{2,5});|</?[a-zA-Z][^<>]{0,80}>|[​‌‍⁠﻿*_~|])+$")
@@ -261,7 +263,10 @@ def ending_scores(texts: DataFrame, key: str, text: str, everywhere: tuple[int,
     it never uses after the word before it, speaks for a cut word. Null or blank texts get ``ends`` = none and a null
     ``whole``. Repeated keys give repeated rows. Other columns are not read.
     """
-    ends = texts.select(F.col(key).alias("key"), F.right(text, F.lit(TAIL)).alias("tail"), F.char_length(text).alias("chars"), F.octet_length(text).alias("bytes"))
+    bare = F.regexp_replace(text, _PADDING, "")
+    counted = F.substring(F.col(text), F.lit(1), F.char_length(bare) + PADDING_COUNTED)
+    ends = texts.select(F.col(key).alias("key"), F.right(bare, F.lit(TAIL)).alias("tail"), F.char_length(counted).alias("chars"), F.octet_length(counted).alias("bytes"))
+    texts = texts.select(bare.alias(text))
     known = closers(ends, texts.count())
     ends = cut(tails(ends, known))
     # full stops are nearly always real; the last two tokens tell an abbreviation

@@ -174,3 +174,11 @@ def test_long_contexts_count_in_mid_line(spark):
     rows += [(100, f"Some other text here has alpha {six}"), (101, f"Some other text here has beta {six}")]
     got = {r.key: r for r in ending_scores(spark.createDataFrame(rows, "k int, t string"), "k", "t").where("key >= 100").collect()}
     assert got[100].width == got[101].width == 6 and got[100].whole < 0.1 and got[101].whole > 0.9
+
+
+def test_long_padding_is_no_part_of_a_text(spark):
+    rows = [(i, f"The log number {i} is kept by the panel.") for i in range(40)]
+    rows += [(100, rows[0][1] + " \n\t\u00a0" * 300), (101, rows[0][1] + "\n"), (102, "\n " * 900), (103, rows[0][1])]
+    got = {r.key: r for r in ending_scores(spark.createDataFrame(rows, "k int, t string"), "k", "t").where("key >= 100").collect()}
+    assert got[100].ends == got[101].ends == "stop" and got[102].ends == "none" and got[100].whole == got[103].whole
+    assert (got[100].chars, got[101].chars, got[103].chars) == (len(rows[0][1]) + 2, len(rows[0][1]) + 1, len(rows[0][1]))
