@@ -10,11 +10,14 @@ from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only when its counted rows stay under this bound; beyond it operators shuffle.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when its counted rows and bytes stay under these bounds; beyond them operators shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: A key with this share of a table's rows is salted when joined.
+HOT_SHARE = 0.02
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -80,21 +83,45 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(least) if len(df.inputFiles()) < least and df.rdd.getNumPartitions() < least else df
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more of it than needed to tell."""
-    return df.limit(rows + 1).count() <= rows
+_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values: fixed widths, lengths of strings, and of other values their length as JSON."""
+    size = F.lit(0).cast("bigint")
+    for f in df.schema:
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        size += F.lit(_WIDTHS.get(kind, 8)) if not isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) else F.coalesce(F.octet_length(c) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return size
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows of ``most`` bytes together; reads no more of it than needed to tell."""
+    r = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    return r.n <= rows and (r.b or 0) <= most
+
+
+def hot_keys(df: DataFrame, key: Column, share: float = HOT_SHARE) -> list[int]:
+    """Hashes of the keys that may hold ``share`` of the rows, at most a few per 1 / share: every such key is among them."""
+    found = df.select(F.xxhash64(key).alias("k")).freqItems(["k"], share).first()
+    return sorted(k for k in found[0] if k is not None)
 
 
 def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
-    """Join a large, possibly skewed side with one of unknown size.
+    """Inner or left join of a large, possibly skewed table with a side of unknown size.
 
-    The side is broadcast if counted small. Otherwise both sides shuffle on the keys plus a salt (the side is
-    repeated once per salt), so a key holding a third of all rows is spread over ``salts`` tasks.
+    The side is broadcast if rows and bytes are counted small. Otherwise both shuffle; keys measured to hold a large
+    share of the big table get a salt, and only their rows of the side are repeated, once per salt.
     """
     if small_enough(side, rows):
         return big.join(F.broadcast(side), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    repeated = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    key = F.struct(*on)
+    hot = hot_keys(big, key)
+    if not hot:
+        return big.join(side, on, how)
+    is_hot = F.xxhash64(key).isin(hot)
+    salted = big.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).otherwise(0))
+    repeated = side.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
