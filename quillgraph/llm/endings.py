@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.unicode import WHITE_SPACE
 from quillgraph.plans.runtime import cut, join_sized
 
 #: Context lengths in tokens, and the uses a context needs before it is believed.
@@ -34,8 +35,8 @@ MOST_BITS = 1 << 27
 
 #: Characters of a text's end that are looked at for how it ends, and tokens hashed at a time.
 TAIL, CHUNK = 700, 200_000
-#: White space behind a whole text, and how much of it still counts as length: a limit may fall on a blank or a paragraph break.
-_PADDING, PADDING_COUNTED = r"(?U)(?<![\s\x1c-\x1f])[\s\x1c-\x1f]+\z", 2
+#: White space behind a whole text is no part of it; so much of it still counts as length: a limit may fall on a blank or a paragraph break.
+_PADDING, PADDING_COUNTED = WHITE_SPACE + "\x1c\x1d\x1e\x1f", 2
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d[\d.,]*(?<=\d)|\n|[^\w\s]|_")
 _ENTITY = re.compile(r"(?:\s|&(?:[a-zA-Z]{2,8}|#\d{2,6}|#x[0-9a-fA-F]{2,5});|</?[a-zA-Z][^<>]{0,80}>|[​‌‍⁠﻿*_~|])+$")
@@ -120,7 +121,13 @@ def strip_closers(text: str, closers: frozenset[str]) -> tuple[str, bool, bool]:
 
 
 def _tail_tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text[-200:] if len(text) > 200 else "\n" + text)[-max(WIDTHS) :]
+    """The last tokens, as many as the widest context has; the first of a slice may be half a word and is not one of them."""
+    n = 200
+    while n < len(text):
+        if len(found := _TOKEN.findall(text[-n:])) > max(WIDTHS):
+            return found[-max(WIDTHS) :]
+        n *= 4
+    return _TOKEN.findall("\n" + text)[-max(WIDTHS) :]
 
 
 def closers(ends: DataFrame, n: int) -> frozenset[str]:
@@ -137,7 +144,9 @@ def closers(ends: DataFrame, n: int) -> frozenset[str]:
 
 
 def _opens(piece: str) -> bool:
-    """Whether a recurring piece looks like a sentence of its own (ends in a full stop) rather than a closer."""
+    """Whether a recurring piece looks like a sentence of its own (ends in a full stop) or a citation rather than a closer."""
+    if re.fullmatch(r"\([^()\d]+\)", piece):
+        return False  # words in a pair of brackets behind the last sentence
     return piece[-1] in ".?!,;:" or bool(re.search(r"[\d)]\)+$", piece)) or bool(re.match(r"0?\(", piece))
 
 
@@ -260,25 +269,32 @@ def ending_scores(texts: DataFrame, key: str, text: str, everywhere: tuple[int,
     """``key, ends, closed, words, chars, bytes, width, cut_word, whole``: the probability that a text of the corpus may end where this one ends.
 
     The longest context with LEAST uses decides; a last word the corpus never uses in the middle of a text, or one
-    it never uses after the word before it, speaks for a cut word. Null or blank texts get ``ends`` = none and a null
-    ``whole``. Repeated keys give repeated rows. Other columns are not read.
+    it never uses after the word before it, speaks for a cut word, unless so many different texts end in these two
+    words that no limit can have cut them all there. Null or blank texts get ``ends`` = none and a null ``whole``.
+    Repeated keys give repeated rows. Other columns are not read.
     """
-    bare = F.regexp_replace(text, _PADDING, "")
+    bare = F.rtrim(F.col(text), F.lit(_PADDING))
     counted = F.substring(F.col(text), F.lit(1), F.char_length(bare) + PADDING_COUNTED)
     ends = texts.select(F.col(key).alias("key"), F.right(bare, F.lit(TAIL)).alias("tail"), F.char_length(counted).alias("chars"), F.octet_length(counted).alias("bytes"))
     texts = texts.select(bare.alias(text))
-    known = closers(ends, texts.count())
+    n = texts.count()
+    known = closers(ends, n)
     ends = cut(tails(ends, known))
     # full stops are nearly always real; the last two tokens tell an abbreviation
     each = ends.where(F.col("ends").isin("open", "stop", "dots")).select("key", "ends", F.posexplode("hashes").alias("w", "hash")).where((F.col("ends") != "stop") | (F.col("w") <= 2))
     wanted = each.select("hash").distinct()
     counts = cut(context_counts(texts, text, wanted, known, everywhere))
+    # pairs of words that different texts end in over and over; copies of a text have its length and count once
+    pairs = ends.where(F.col("ends").isin("open", "dots")).select(F.get("hashes", F.lit(1)).alias("hash"), "chars").where(F.col("hash").isNotNull()).distinct()
+    shared = pairs.groupBy("hash").agg(F.count("*").alias("enders"))
+    counts = counts.join(shared.where(F.col("enders") >= max(CLOSER_LEAST, CLOSER_SHARE * n)), "hash", "full")
     seen = join_sized(each.withColumnRenamed("key", "k"), counts, ["hash"], "left")
     uses, ended = F.coalesce(F.col("uses"), F.lit(0)), F.coalesce(F.col("ended"), F.lit(0))
     per = seen.groupBy("k").agg(
         F.sort_array(F.collect_list(F.when(uses >= LEAST, F.struct("w", ended.alias("e"), uses.alias("u"))))).alias("used"),
         F.max(F.when(F.col("w") == 0, uses)).alias("one"),
         F.max(F.when(F.col("w") == 1, uses)).alias("two"),
+        F.max(F.when(F.col("w") == 1, F.col("enders"))).isNotNull().alias("shared"),
         F.max(F.when(uses >= LEAST, F.col("w"))).alias("width"),
     )
     out = ends.drop("hashes").dropDuplicates(["key"]).join(per.withColumnRenamed("k", "key"), "key", "left")
@@ -287,7 +303,7 @@ def ending_scores(texts: DataFrame, key: str, text: str, everywhere: tuple[int,
     rate: Column = (last["e"] + 0.02) / (last["u"] + 0.2) if everywhere != WIDTHS else F.when(F.size("used") > 0, F.aggregate("used", F.lit(0.1), lambda shorter, x: (x["e"] + 0.2 * shorter) / (x["u"] + 0.2)))
     one, two, width = (F.coalesce(F.col(c), F.lit(d)) for c, d in (("one", 0), ("two", 0), ("width", -1)))
     # the corpus never or hardly uses the last word, or never after the word before it
-    cut_word = F.col("ends").isin("open", "dots") & ((one < LEAST) | ((two == 0) & (width < 1) & (F.col("words") > HEADING_WORDS)))
+    cut_word = F.col("ends").isin("open", "dots") & ~F.coalesce("shared", F.lit(False)) & ((one < LEAST) | ((two == 0) & (width < 1) & (F.col("words") > HEADING_WORDS)))
     whole = F.when(F.col("ends") == "none", F.lit(None).cast("double")).when(F.col("ends") == "half", F.lit(0.01))
     whole = whole.when(F.col("ends") == "stop", F.coalesce(rate, F.lit(0.99))).when(cut_word, F.lit(0.01)).otherwise(F.coalesce(rate, F.lit(0.3)))
     return out.select("key", "ends", "closed", "words", "chars", "bytes", width.alias("width"), cut_word.alias("cut_word"), F.least(F.lit(0.995), F.greatest(F.lit(0.0002), whole)).alias("whole"))

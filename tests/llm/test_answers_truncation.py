@@ -182,3 +182,15 @@ def test_long_padding_is_no_part_of_a_text(spark):
     got = {r.key: r for r in ending_scores(spark.createDataFrame(rows, "k int, t string"), "k", "t").where("key >= 100").collect()}
     assert got[100].ends == got[101].ends == "stop" and got[102].ends == "none" and got[100].whole == got[103].whole
     assert (got[100].chars, got[101].chars, got[103].chars) == (len(rows[0][1]) + 2, len(rows[0][1]) + 1, len(rows[0][1]))
+
+
+def test_closing_phrases_in_brackets_and_long_ones_are_no_cuts(spark):
+    rows, cut = corpus()
+    rng = random.Random(2)
+    tail = {5: " (sent while away from my desk)", 6: " this note was typed on a small machine by the night crew"}
+    closed = [(i, t if i in cut else t.rstrip(".") + "." + tail[i % 7] if i % 7 in tail and s == "prose" and t else t, s) for i, t, s in rows if i < 10_000]
+    behind = [(20_000 + i, (x := sentence(rng))[: x.index(" ", 20) + 3] + tail[5], "prose") for i in range(12)]  # the text stops in a word before its closing phrase
+    out = truncation(spark.createDataFrame(closed + behind, "doc_id bigint, text string, source string")).where("truncated").collect()
+    got = {r.doc_id for r in out}
+    whole = {i for i, t, s in closed if t.endswith(tuple(tail.values()))}
+    assert len(whole) > 20 and not got & whole and len([i for i in got if i >= 20_000]) >= 10
