@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import name_key
-from quillgraph.plans.runtime import cut, join_sized
-from quillgraph.schemas import ENDPOINTS, TEMPLATES
+from quillgraph.functions.text import name_keys
+from quillgraph.plans.runtime import cut, join_sized, small_enough
+from quillgraph.schemas import ENDPOINTS, TEMPLATES, TYPE_PRIORITY
 
 MOST_HOPS, SHOWN = 4, 3
 
@@ -23,10 +24,16 @@ class Graph:
     skipped: DataFrame
 
 
-def key_map(nodes: DataFrame) -> DataFrame:
-    """``key, name, type``: a canonical name owns its key before any alias; an alias of several nodes goes to the least name."""
-    keys = nodes.select("type", F.col("canonical_name").alias("name"), F.explode(F.concat(F.array(F.struct(F.lit(0).alias("r"), F.col("canonical_name").alias("s"))), F.transform(F.coalesce("aliases", F.array()), lambda a: F.struct(F.lit(1).alias("r"), a.alias("s"))))).alias("k"))
-    return keys.groupBy(name_key(F.col("k.s")).alias("key")).agg(F.min(F.struct("k.r", "name", "type")).alias("b")).select("key", "b.name", "b.type")
+def resolve_names(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``raw, key, name, type`` of the distinct names in a table's first column; name and type are null where no node has the key.
+
+    A canonical name owns its key before any alias; an alias of several nodes goes to the least name.
+    """
+    spelled = F.concat(F.array(F.struct(F.lit(0).alias("r"), F.col("canonical_name").alias("raw"))), F.transform(F.coalesce("aliases", F.array()), lambda a: F.struct(F.lit(1).alias("r"), a.alias("raw"))))
+    each = nodes.select("type", F.col("canonical_name").alias("name"), F.inline(spelled))
+    keys = name_keys(names, each.select("raw"))
+    owners = each.join(keys, "raw").groupBy("key").agg(F.min(F.struct("r", "name", "type")).alias("b")).select("key", "b.name", "b.type")
+    return keys.join(owners, "key", "left").select("raw", "key", "name", "type")
 
 
 def allowed(edge: str, head_type: str, tail_type: str) -> Column:
@@ -37,17 +44,28 @@ def allowed(edge: str, head_type: str, tail_type: str) -> Column:
     return ok
 
 
+def usable(confidence: str = "confidence") -> Column:
+    """A confidence from 0 to 1, else null: NaN and values out of range are none."""
+    c = F.col(confidence)
+    return F.when(c.between(0, 1) & ~F.isnan(c), c)
+
+
 def build(relationships: DataFrame, nodes: DataFrame) -> Graph:
-    """Edges keyed (type, head, tail, chunk) between resolved nodes; the last loaded confidence wins; the rest is skipped."""
-    keys = key_map(nodes)
-    r = relationships.select("rel_id", "type", name_key(F.col("head")).alias("hk"), name_key(F.col("tail")).alias("tk"), "head", "tail", "source_chunk_id", "confidence", "loaded_at")
-    h = keys.select(F.col("key").alias("hk"), F.col("name").alias("hn"), F.col("type").alias("head_type"))
-    t = keys.select(F.col("key").alias("tk"), F.col("name").alias("tn"), F.col("type").alias("tail_type"))
-    r = join_sized(join_sized(r, h, ["hk"], "left"), t, ["tk"], "left")
+    """Edges keyed (type, head, tail, chunk) between resolved nodes; the last loaded confidence wins; the rest is skipped.
+
+    Names are normalised and resolved once each, whatever their number of edges. A confidence that is NaN or outside
+    0..1 is null, and a usable one beats it.
+    """
+    r = relationships.select("rel_id", "type", "head", "tail", "source_chunk_id", usable().alias("confidence"), "loaded_at")
+    known = cut(resolve_names(r.select(F.explode(F.array("head", "tail"))), nodes).where(F.col("name").isNotNull()))
+    h = known.select(F.col("raw").alias("head"), F.col("name").alias("hn"), F.col("type").alias("head_type"))
+    t = known.select(F.col("raw").alias("tail"), F.col("name").alias("tn"), F.col("type").alias("tail_type"))
+    small = small_enough(known)
+    r = join_sized(join_sized(r, h, ["head"], "left", small=small), t, ["tail"], "left", small=small)
     missing = F.filter(F.array(F.when(F.col("hn").isNull(), F.col("head")), F.when(F.col("tn").isNull(), F.col("tail"))), lambda x: x.isNotNull())
     skipped = r.where(F.col("hn").isNull() | F.col("tn").isNull()).select("rel_id", "type", F.array_join(missing, "|").alias("missing"))
     edges = r.where(F.col("hn").isNotNull() & F.col("tn").isNotNull() & F.col("source_chunk_id").isNotNull())
-    edges = edges.groupBy("type", F.col("hn").alias("head"), F.col("tn").alias("tail"), "source_chunk_id").agg(F.max_by("confidence", F.struct("loaded_at", "rel_id")).alias("confidence"), F.first("head_type").alias("head_type"), F.first("tail_type").alias("tail_type"))
+    edges = edges.groupBy("type", F.col("hn").alias("head"), F.col("tn").alias("tail"), "source_chunk_id").agg(F.max_by("confidence", F.struct(F.col("confidence").isNotNull(), "loaded_at", "rel_id")).alias("confidence"), F.first("head_type").alias("head_type"), F.first("tail_type").alias("tail_type"))
     edges = edges.withColumn("violation", ~allowed("type", "head_type", "tail_type")).withColumn("derived", F.lit(False))
     plain = nodes.select(F.col("canonical_name").alias("name"), "type", F.col("display_name").alias("display"))
     return Graph(plain, edges, skipped)
@@ -120,38 +138,48 @@ def run_template(edges: DataFrame, template: str, params: dict[str, str]) -> Dat
     if template == "path_between":
         ends = edges.sparkSession.createDataFrame([(params["entity_a"], params["entity_b"])], "a string, b string")
         return shortest_paths(edges, ends)
-    anchor = {"obligations_for_role": "r", "obligations_for_system": "s", "enforcement_chain": "o", "definition_of": "t", "cross_regulation": "a"}[template]
-    return BUILDERS[template](edges).where(F.col(anchor) == next(iter(params.values())))
+    return BUILDERS[template](edges).where(F.col(ANCHORS[template]) == next(iter(params.values())))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
-    """pairs(a, b) -> ``a, b, hops, path, chunks``: one undirected shortest path of at most ``hops`` edges.
+def reach(edges: DataFrame, starts: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
+    """starts(a) -> ``a, n, hops, nodes, legs``: one undirected shortest path to everything within ``hops`` edges.
 
-    Of equal length the path least by name wins, and of parallel edges the least chunk, so results repeat. Each hop
-    joins a frontier with the distinct neighbours and leaves out what its source has reached.
+    legs has type, chunk and derived of each edge passed. Of equal length the path least by name wins, and of parallel
+    edges the least by chunk and type, so results repeat. Each hop joins a frontier with the distinct neighbours, a
+    hub's rows spread by a salt, and leaves out what its source has reached.
     """
-    both = edges.select(F.col("head").alias("x"), F.col("tail").alias("y"), "source_chunk_id").unionByName(edges.select(F.col("tail").alias("x"), F.col("head").alias("y"), "source_chunk_id"))
-    near = cut(both.where(F.col("x") != F.col("y")).groupBy("x", "y").agg(F.min("source_chunk_id").alias("chunk")))
-    start = pairs.select("a").distinct()
-    front = start.select("a", F.col("a").alias("n"), F.lit(0).alias("hops"), F.col("a").alias("path"), F.lit("").alias("chunks"))
+    leg_ = F.struct(F.col("source_chunk_id").alias("chunk"), "type", "derived")
+    both = edges.select(F.inline(F.array(F.struct(F.col("head").alias("x"), F.col("tail").alias("y")), F.struct(F.col("tail").alias("x"), F.col("head").alias("y")))), leg_.alias("leg"))
+    near = cut(both.where(F.col("x") != F.col("y")).groupBy("x", "y").agg(F.min("leg").alias("leg")))
+    none = F.array().cast("array<struct<chunk:string,type:string,derived:boolean>>")
+    front = starts.select("a").distinct().select("a", F.col("a").alias("n"), F.lit(0).alias("hops"), F.array("a").alias("nodes"), none.alias("legs"))
     seen = front
     for i in range(1, hops + 1):
-        step = front.join(near, front["n"] == near["x"]).groupBy("a", F.col("y").alias("n")).agg(F.min(F.struct(F.concat("path", F.lit(" > "), "y").alias("path"), F.concat_ws(",", F.nullif("chunks", F.lit("")), "chunk").alias("chunks"))).alias("m"))
-        front = cut(step.join(seen.select("a", "n"), ["a", "n"], "left_anti").select("a", "n", F.lit(i).alias("hops"), "m.path", "m.chunks"))
+        met = join_sized(near, front.select("a", F.col("n").alias("x"), "nodes", "legs"), ["x"])
+        step = met.groupBy("a", F.col("y").alias("n")).agg(F.min(F.struct(F.array_append("nodes", F.col("y")).alias("nodes"), F.array_append("legs", F.col("leg")).alias("legs"))).alias("m"))
+        front = cut(step.join(seen.select("a", "n"), ["a", "n"], "left_anti").select("a", "n", F.lit(i).alias("hops"), "m.nodes", "m.legs"))
         seen = seen.unionByName(front)
-    return pairs.join(seen.withColumnRenamed("n", "b"), ["a", "b"]).select("a", "b", "hops", "path", "chunks")
+    return seen
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
+    """pairs(a, b) -> ``a, b, hops, nodes, legs``: of ``reach`` the paths asked for; a pair farther apart has no row."""
+    return join_sized(reach(edges, pairs, hops).withColumnRenamed("n", "b"), pairs.select("a", "b").distinct(), ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``name, component``: least name of each undirected component, by spreading least labels and jumping along them."""
+    """``name, component``: least name of each undirected component, by spreading least labels and jumping along them.
+
+    The joins are on a node and on a label; hubs and the giant component's label are salted.
+    """
     e = edges.select(F.col("head").alias("x"), F.col("tail").alias("y")).where(F.col("x") != F.col("y"))
     e = cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     label = cut(edges.select(F.explode(F.array("head", "tail")).alias("name")).distinct().withColumn("component", F.col("name")))
     while True:
-        least = e.join(label, e["y"] == label["name"]).groupBy("x").agg(F.min("component").alias("c"))
-        hooked = label.join(least, label["name"] == least["x"], "left").select("name", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("old"))
+        least = join_sized(e, label.select(F.col("name").alias("y"), "component"), ["y"]).groupBy(F.col("x").alias("name")).agg(F.min("component").alias("c"))
+        hooked = label.join(least, "name", "left").select("name", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("old"))
         root = label.select(F.col("name").alias("component"), F.col("component").alias("root"))
-        new = cut(hooked.join(root, "component").select("name", F.least("component", "root").alias("component"), (F.least("component", "root") < F.col("old")).alias("moved")))
+        new = cut(join_sized(hooked, root, ["component"]).select("name", F.least("component", "root").alias("component"), (F.least("component", "root") < F.col("old")).alias("moved")))
         label = new.select("name", "component")
         if not new.where("moved").limit(1).count():
             return label
@@ -161,35 +189,87 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.explode(F.array("head", "tail")).alias("name")).distinct(), "name", "left_anti")
 
 
-def statements(rows: DataFrame, template: str, names: DataFrame, labels: DataFrame, shown: int = SHOWN) -> DataFrame:
-    """Template rows as citable sentences: one per distinct leg, its chunks united in order, the first ones cited.
+#: Per template the legs a row is told in: subject, verb, object and the column of its chunks.
+LEGS = {
+    "obligations_for_role": [("o", " applies to ", "r", "applies_chunks"), ("a", " imposes: ", "o", "imposes_chunks")],
+    "obligations_for_system": [("s", " is classified as ", "rc", "classified_chunks"), ("o", " applies to ", "s", "applies_chunks"), ("a", " imposes: ", "o", "imposes_chunks")],
+    "enforcement_chain": [("o", " is enforced by ", "auth", "enforced_chunks"), ("o", " is penalised under ", "p", "penalty_chunks")],
+    "definition_of": [("t", " is defined in ", "a", "defined_chunks")],
+}
+#: The column of a template's rows that a call gives.
+ANCHORS = {"obligations_for_role": "r", "obligations_for_system": "s", "enforcement_chain": "o", "definition_of": "t", "cross_regulation": "a"}
 
-    ``statement, chunk_id, provenance, n_chunks, text, derived``. names(name, display) and labels(chunk_id,
-    citation_label); a chunk without a label is an error, as it could not be cited.
-    """
-    legs = {
-        "obligations_for_role": [("o", " applies to ", "r", "applies_chunks"), ("a", " imposes: ", "o", "imposes_chunks")],
-        "obligations_for_system": [("s", " is classified as ", "rc", "classified_chunks"), ("o", " applies to ", "s", "applies_chunks"), ("a", " imposes: ", "o", "imposes_chunks")],
-        "enforcement_chain": [("o", " is enforced by ", "auth", "enforced_chunks"), ("o", " is penalised under ", "p", "penalty_chunks")],
-        "definition_of": [("t", " is defined in ", "a", "defined_chunks")],
-    }
+
+def told(rows: DataFrame, template: str, *by: str) -> DataFrame:
+    """Template rows as ``by..., x, verb, y, chunk, derived``: one per leg and chunk behind it."""
+    kept = [F.col(c).alias(f"_{c}") for c in by]
     if template == "cross_regulation":
-        each = rows.select("a", "b", F.inline("provenance"))
-        flat = each.select(F.when(F.col("outbound"), F.col("a")).otherwise(F.col("b")).alias("x"), F.lit(" interacts with ").alias("verb"), F.when(F.col("outbound"), F.col("b")).otherwise(F.col("a")).alias("y"), "chunk", "derived")
+        each = rows.select(*kept, "a", "b", F.inline("provenance"))
+        x, y = (F.when(F.col("outbound"), F.col(p)).otherwise(F.col(q)) for p, q in (("a", "b"), ("b", "a")))
+        flat = each.select(*(f"_{c}" for c in by), x.alias("x"), F.lit(" interacts with ").alias("verb"), y.alias("y"), "chunk", "derived")
+    elif template == "path_between":
+        hop = F.posexplode("legs").alias("i", "leg")
+        each = rows.select(*kept, "nodes", hop)
+        verb = F.concat(F.lit(" "), F.lower(F.replace("leg.type", F.lit("_"), F.lit(" "))), F.lit(" "))
+        flat = each.select(*(f"_{c}" for c in by), F.get("nodes", F.col("i")).alias("x"), verb.alias("verb"), F.get("nodes", F.col("i") + 1).alias("y"), F.col("leg.chunk").alias("chunk"), F.col("leg.derived").alias("derived"))
     else:
-        parts = F.array(*(F.struct(F.col(x).alias("x"), F.lit(v).alias("verb"), F.col(y).alias("y"), F.col(c).alias("cs")) for x, v, y, c in legs[template]))
-        flat = rows.select(F.inline(parts)).select("x", "verb", "y", F.explode("cs").alias("chunk"), F.lit(False).alias("derived"))
-    one = flat.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "verb", "y", "chunk").agg(F.max("derived").alias("derived"))
+        parts = F.array(*(F.struct(F.col(x).alias("x"), F.lit(v).alias("verb"), F.col(y).alias("y"), F.col(c).alias("cs")) for x, v, y, c in LEGS[template]))
+        flat = rows.select(*kept, F.inline(parts)).select(*(f"_{c}" for c in by), "x", "verb", "y", F.explode("cs").alias("chunk"), F.lit(False).alias("derived"))
+    flat = flat.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*(f"_{c}" for c in by), "x", "verb", "y", "chunk").agg(F.max("derived").alias("derived"))
+    return flat.select(*(F.col(f"_{c}").alias(c) for c in by), "x", "verb", "y", "chunk", "derived")
+
+
+def render(legs: DataFrame, names: DataFrame, labels: DataFrame, *by: str, shown: int = SHOWN, strict: bool = True) -> DataFrame:
+    """Legs as citable sentences: one per distinct sentence, its chunks united in order, the first ones cited.
+
+    ``by..., statement, chunk_id, provenance, n_chunks, text, derived``. names(name, display) and labels(chunk_id,
+    citation_label) are met once for all. A chunk without a label could not be cited: an error if ``strict``, else
+    the sentence is told without that chunk, and not at all without any.
+    """
     d = names.select("name", F.coalesce("display", "name").alias("d"))
-    one = join_sized(join_sized(one, d.select(F.col("name").alias("x"), F.col("d").alias("dx")), ["x"]), d.select(F.col("name").alias("y"), F.col("d").alias("dy")), ["y"])
-    one = join_sized(one, labels.select(F.col("chunk_id").alias("chunk"), "citation_label"), ["chunk"], "left")
+    one = join_sized(join_sized(legs, d.select(F.col("name").alias("x"), F.col("d").alias("dx")), ["x"]), d.select(F.col("name").alias("y"), F.col("d").alias("dy")), ["y"])
+    one = join_sized(one, labels.select(F.col("chunk_id").alias("chunk"), "citation_label"), ["chunk"], "left" if strict else "inner")
     one = one.withColumn("label", F.coalesce("citation_label", F.raise_error(F.concat(F.lit("no label for "), F.col("chunk"))).cast("string")))
     caveat = (F.lower("dx").rlike(r"\bannex\s+(viii|xi)\b")) | (F.lower("dy").rlike(r"\bannex\s+(viii|xi)\b"))
-    s = one.groupBy(F.concat("dx", "verb", "dy", F.lit(".")).alias("statement")).agg(F.array_sort(F.collect_set(F.struct("chunk", "label"))).alias("p"), F.max("derived").alias("derived"), F.max(caveat).alias("caveat"))
+    s = one.groupBy(*by, F.concat("dx", "verb", "dy", F.lit(".")).alias("statement")).agg(F.array_sort(F.collect_set(F.struct("chunk", "label"))).alias("p"), F.max("derived").alias("derived"), F.max(caveat).alias("caveat"))
     n = F.size("p")
     cited = F.concat(F.array_join(F.transform(F.slice("p", 1, shown), lambda x: x["label"]), ", "), F.when(n > shown, F.concat(F.lit(", +"), n - shown, F.lit(" more"))).otherwise(""))
     text = F.concat("statement", F.lit(" ("), cited, F.lit(")"), F.when(F.col("caveat"), " [unverified annex section]").otherwise(""))
-    return s.select("statement", F.col("p")[0]["chunk"].alias("chunk_id"), F.transform("p", lambda x: x["chunk"]).alias("provenance"), n.cast("bigint").alias("n_chunks"), text.alias("text"), "derived")
+    return s.select(*by, "statement", F.col("p")[0]["chunk"].alias("chunk_id"), F.transform("p", lambda x: x["chunk"]).alias("provenance"), n.cast("bigint").alias("n_chunks"), text.alias("text"), "derived")
+
+
+def statements(rows: DataFrame, template: str, names: DataFrame, labels: DataFrame, shown: int = SHOWN, strict: bool = True) -> DataFrame:
+    """``told`` and ``render`` of one template's rows, whoever asked for them."""
+    return render(told(rows, template), names, labels, shown=shown, strict=strict)
+
+
+def search(calls: DataFrame, graph: Graph, labels: DataFrame, shown: int = SHOWN, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Run the plans of many questions at once: calls(qid, call, template, a, b) -> ``(statements, report)``.
+
+    Each template runs once, over the distinct anchors called; its sentences go back to every call of the anchor. A
+    sentence several calls of a question reach stands once, at the first of them, with the chunks of all.
+    statements: ``qid, call, statement, chunk_id, provenance, n_chunks, text, derived``; report: ``qid, call,
+    template, n_rows`` of every call, 0 where the graph has nothing. An unknown template is an error.
+    """
+    known = F.array(*map(F.lit, TEMPLATES))
+    calls = cut(calls.withColumn("template", F.when(F.array_contains(known, F.col("template")), F.col("template")).otherwise(F.raise_error(F.concat(F.lit("no template "), F.col("template"))).cast("string"))))
+    legs, counts = [], []
+    for template in TEMPLATES:
+        asked = calls.where(F.col("template") == template)
+        if template == "path_between":
+            rows = shortest_paths(graph.edges, asked.select("a", "b").distinct()).withColumnRenamed("a", "_a").withColumnRenamed("b", "_b").withColumn("anchor", F.concat_ws("\x00", "_a", "_b"))
+        else:
+            rows = BUILDERS[template](graph.edges)
+            rows = join_sized(rows.withColumn("anchor", F.col(ANCHORS[template])), asked.select(F.col("a").alias("anchor")).distinct(), ["anchor"])
+        rows = cut(rows)
+        anchor = F.concat_ws("\x00", "a", "b") if template == "path_between" else F.col("a")
+        back = asked.select("qid", "call", anchor.alias("anchor"))
+        legs.append(join_sized(back, told(rows, template, "anchor"), ["anchor"]).drop("anchor"))
+        counts.append(back.join(rows.groupBy("anchor").agg(F.count("*").alias("n")), "anchor", "left").select("qid", "call", F.lit(template).alias("template"), F.coalesce("n", F.lit(0)).alias("n_rows")))
+    each = reduce(DataFrame.unionByName, legs)
+    first = each.groupBy("qid", "x", "verb", "y", "chunk").agg(F.min("call").alias("call"), F.max("derived").alias("derived"))
+    sentence = first.join(first.groupBy("qid", "x", "verb", "y").agg(F.min("call").alias("first")), ["qid", "x", "verb", "y"]).select("qid", F.col("first").alias("call"), "x", "verb", "y", "chunk", "derived")
+    return render(sentence, graph.nodes, labels, "qid", "call", shown=shown, strict=strict), reduce(DataFrame.unionByName, counts)
 
 
 def cover(plans: DataFrame) -> DataFrame:
@@ -198,8 +278,44 @@ def cover(plans: DataFrame) -> DataFrame:
     return plans.withColumn("hit", F.arrays_overlap(covered[F.col("template")], "edges"))
 
 
-def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge on the edge key; properties of the later rows win."""
-    key = ["type", "head", "tail", "source_chunk_id"]
+def provenance(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """calls(qid, call, template, a) -> distinct ``qid, call, chunk``: every chunk behind the rows of a call with one anchor."""
+    found = []
+    for template, anchor in ANCHORS.items():
+        asked = calls.where(F.col("template") == template)
+        rows = join_sized(BUILDERS[template](edges), asked.select(F.col("a").alias(anchor)).distinct(), [anchor])
+        chunks = F.transform("provenance", lambda p: p["chunk"]) if template == "cross_regulation" else F.flatten(F.array(*(c for *_, c in LEGS[template])))
+        each = rows.select(F.col(anchor).alias("a"), F.explode(chunks).alias("chunk")).distinct()
+        found.append(join_sized(asked.select("qid", "call", "a"), each, ["a"]).select("qid", "call", "chunk"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+EDGE_KEY = ("type", "head", "tail", "source_chunk_id")
+
+
+def merge(old: DataFrame, new: DataFrame, key: tuple[str, ...], order: str | None = None) -> DataFrame:
+    """Merge rows on a key: each column takes its last known value, new rows after old ones, among them by ``order``.
+
+    A null in a new row keeps what was known. Rows that tie in everything but their values are settled by the values,
+    so the result repeats.
+    """
+    rest = [c for c in old.columns if c not in key]
+    at = F.struct(F.col("_n"), F.col(order) if order else F.lit(0), F.to_json(F.struct(*rest)))
     both = old.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)))
-    return both.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_n")))).where("_r = 1").drop("_n", "_r")
+    return both.groupBy(*key).agg(*(F.max_by(c, F.struct(F.col(c).isNotNull().alias("k"), at.alias("at"))).alias(c) for c in rest)).select(*old.columns)
+
+
+def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    return merge(old, new, EDGE_KEY)
+
+
+def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Merge on the canonical name; a type outside the closed list is an error."""
+    kind = F.when(F.col("type").isin(*TYPE_PRIORITY), F.col("type")).otherwise(F.raise_error(F.concat(F.lit("no such type: "), F.coalesce("type", F.lit("null")))).cast("string"))
+    return merge(old, new.withColumn("type", kind), ("canonical_name",))
+
+
+def key_violations(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Keys with a null part or held by several rows: ``key..., n``."""
+    null = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in key))
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | null)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import name_key
+from quillgraph.functions.text import name_keys
+from quillgraph.plans.runtime import cut, join_sized
 from quillgraph.schemas import AUTHORITY_WORDS, CATCH_ALL, TYPE_PRIORITY
 
 
@@ -22,9 +23,19 @@ def plural_map(names: DataFrame) -> DataFrame:
     return hit.groupBy("plural").agg(F.min_by("s", "r").alias("singular"))
 
 
+def mentions_of(records: DataFrame) -> DataFrame:
+    """records(raw, type, chunk_id) -> ``key, raw, type, chunk_id``: names normalised, a plural folded into its attested singular.
+
+    Folding comes before any vote. Distinct names are normalised once; null and empty names are left out.
+    """
+    keys = name_keys(records.select("raw")).where(F.col("key") != "")
+    folded = keys.join(plural_map(keys).withColumnRenamed("plural", "key"), "key", "left").select("raw", F.coalesce("singular", "key").alias("key"))
+    return join_sized(records.select("raw", "type", "chunk_id"), cut(folded), ["raw"]).select("key", "raw", "type", "chunk_id")
+
+
 def type_votes(mentions: DataFrame) -> DataFrame:
-    """mentions(key, type) -> ``key, type, n`` pooled after folding."""
-    return mentions.groupBy("key", "type").agg(F.count("*").alias("n"))
+    """mentions(key, type) -> ``key, type, n``; a mention without a type casts no vote."""
+    return mentions.where(F.col("type").isNotNull()).groupBy("key", "type").agg(F.count("*").alias("n"))
 
 
 def reconcile(votes: DataFrame) -> DataFrame:
@@ -50,20 +61,56 @@ def display_name(spellings: DataFrame) -> DataFrame:
 
 
 def build_nodes(mentions: DataFrame, types: DataFrame) -> DataFrame:
-    """mentions(key, raw, chunk_id) with resolved types -> ``key, type, mentions, n_chunks, n_aliases``."""
+    """mentions(key, raw, chunk_id) with resolved types -> ``key, type, mentions, n_chunks, n_aliases``; lists stay in rows (``node_aliases``, ``node_chunks``)."""
     per = mentions.groupBy("key").agg(F.count("*").alias("mentions"), F.countDistinct("chunk_id").alias("n_chunks"), F.countDistinct(F.when(F.col("raw") != F.col("key"), F.col("raw"))).alias("n_aliases"))
     return per.join(types, "key").select("key", "type", "mentions", "n_chunks", "n_aliases")
 
 
+def node_aliases(mentions: DataFrame) -> DataFrame:
+    """``key, alias, n``: the spellings of a node other than its key, with their uses."""
+    return mentions.where(F.col("raw") != F.col("key")).groupBy("key", F.col("raw").alias("alias")).agg(F.count("*").alias("n"))
+
+
+def node_chunks(mentions: DataFrame) -> DataFrame:
+    return mentions.where(F.col("chunk_id").isNotNull()).select("key", "chunk_id").distinct()
+
+
 def chunk_entities(nodes: DataFrame) -> DataFrame:
     """Inverted list: per chunk the sorted names of its nodes."""
     return nodes.select("canonical_name", F.explode("chunk_ids").alias("chunk_id")).groupBy("chunk_id").agg(F.array_sort(F.collect_set("canonical_name")).alias("names"))
 
 
-def mentions_of(relationships: DataFrame, keys: DataFrame) -> DataFrame:
-    """Both ends of every edge as mentions ``raw, key, type, chunk_id``; unknown names have no type and are left out."""
-    ends = relationships.select(F.explode(F.array("head", "tail")).alias("raw"), F.col("source_chunk_id").alias("chunk_id")).where(F.col("raw").isNotNull())
-    return ends.withColumn("key", name_key(F.col("raw"))).join(F.broadcast(keys), "key") if keys is not None else ends.withColumn("key", name_key(F.col("raw")))
+def instrument_names(records: DataFrame, column: str, renames: DataFrame) -> DataFrame:
+    """Full citations of instruments replaced by their short names (renames(full, short)); unknown ones keep theirs."""
+    full = F.lower(F.trim(column))
+    j = records.withColumn("_full", full).join(F.broadcast(renames.select(F.lower(F.trim("full")).alias("_full"), "short")), "_full", "left")
+    return j.withColumn("renamed", F.col("short").isNotNull()).withColumn(column, F.coalesce("short", column)).drop("_full", "short")
+
+
+def repaired_provenance(records: DataFrame, claimed: str, true: str) -> DataFrame:
+    """The chunk a record was read from beats the one it claims; ``repaired`` marks the rows that differed."""
+    return records.withColumn("repaired", ~F.col(claimed).eqNullSafe(F.col(true))).withColumn(claimed, F.col(true))
+
+
+def chunk_gaps(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """entities(chunk_id, key), relations(chunk_id, head, tail) -> ``chunk_id, key, gap``: ends no entity of the chunk
+    has (``dangling``) and entities no relation of the chunk uses (``orphan``)."""
+    ends = relations.select("chunk_id", F.explode(F.array("head", "tail")).alias("key")).where(F.col("key").isNotNull()).distinct()
+    have = entities.select("chunk_id", "key").where(F.col("key").isNotNull()).distinct()
+    lost = ends.join(have, ["chunk_id", "key"], "left_anti").withColumn("gap", F.lit("dangling"))
+    return lost.unionByName(have.join(ends, ["chunk_id", "key"], "left_anti").withColumn("gap", F.lit("orphan")))
+
+
+def granularity_misses(entities: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunk_id, named, expected``: chunks of a numbered paragraph whose own article is named bare but not with its number.
+
+    entities(chunk_id, key); keys are normalised names, an article's being ``aia art. 9`` and a paragraph's ``aia art. 9(2)``.
+    """
+    article = F.concat(F.lower("regulation"), F.lit(" art. "), F.col("article"))
+    own = chunks.where(F.col("article").isNotNull() & F.col("paragraph").isNotNull()).select("chunk_id", article.alias("named"), F.concat(article, F.lit("("), F.col("paragraph"), F.lit(")")).alias("expected"))
+    e = entities.select("chunk_id", "key").distinct()
+    bare = own.join(e.withColumnRenamed("key", "named"), ["chunk_id", "named"], "left_semi")
+    return bare.join(e.withColumnRenamed("key", "expected"), ["chunk_id", "expected"], "left_anti").select("chunk_id", "named", "expected")
 
 
 def confidence_histogram(relationships: DataFrame) -> DataFrame:

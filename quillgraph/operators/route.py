@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import name_key
 from quillgraph.operators.graph import validate
 from quillgraph.operators.resolve import plural_map
-from quillgraph.plans.runtime import join_sized
+from quillgraph.plans.runtime import cut, join_sized
 from quillgraph.schemas import ANCHOR_TYPES, INTERACTING, TERM_TYPES
 
 MOST_CALLS = 3
@@ -19,6 +19,7 @@ ENUMERATIVE = r"(?i)\blist\b|\bwhich .{0,40}\b(are|fall|apply)\b|\bwhat are\b"
 SECOND_ASK = r"(?i),? and (who|what|how|where|does|is|are|against)\b"
 PRONOUN_TAIL = r"(?i),? and (is|does|was|can|must|will) it\b"
 ENUMERATES = r"(?i)^\s*list\b|\beach\b|\bannex\s+[ivx]+\b.{0,40}\b(cover|covers|areas|list)\b"
+ENUMERATES_WIDE = ENUMERATES + r"|\b(what|which)\b.{0,40}\b(obligations|rights|requirements|tiers|categories|areas|mechanisms|grounds|cases|conditions|principles)\b"
 DEFINITIONAL = r"(?i)\bdefinition of\b|\bdefined\b|\bwhat (does|is) .{0,60}\bmean\b|\bmeaning of\b"
 CROSS_INSTRUMENT = r"(?i)\bgdpr\b|\bgeneral data protection\b|\bregulation \(eu\) 2016/679\b"
 
@@ -37,19 +38,28 @@ def surfaces(nodes: DataFrame) -> DataFrame:
 def link(questions: DataFrame, nodes: DataFrame, most_words: int | None = None) -> DataFrame:
     """questions(qid, question) -> ``qid, at, span, name, type, display, via, ambiguous``, leftmost-longest, one row per node.
 
-    All word spans of a question, none longer than the list's longest surface, meet the list by an equi-join; a fold
-    over a question's few hits keeps the leftmost longest and moves on behind it.
+    Word spans that begin like a surface meet the list by an equi-join; a fold over a question's few hits keeps the
+    leftmost longest and moves on behind it.
     """
-    list_ = surfaces(nodes)
-    longest = most_words or list_.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
+    list_ = cut(surfaces(nodes))
+    # a span is worth spelling out only from a word some surface begins with, and only as long as its longest one
+    firsts = list_.select(F.element_at(F.split("surface", " "), 1).alias("first"), F.size(F.split("surface", " ")).alias("n")).groupBy("first").agg(F.max("n").alias("longest"))
     w = F.filter(F.split(F.regexp_replace("question", "[?!]", ""), r"\s+"), lambda x: x != "")
     q = questions.select("qid", w.alias("w")).where(F.size("w") > 0)
-    spans = q.select("qid", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at"))
-    spans = spans.select("qid", "w", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest + 2), F.size("w") - F.col("at")))).alias("len"))
+    starts = q.select("qid", "w", F.posexplode("w").alias("at", "word"))
+    own = "['’]s$|['’]$"
+    # a mark standing alone is no word of a key: any surface may follow it
+    word = F.col("word")  # alone, before other words (then its punctuation stays), and without a genitive
+    begins = F.array_distinct(F.array(*(F.element_at(F.split(name_key(x), " "), 1) for x in (word, F.concat(word, F.lit(" a")), F.regexp_replace(word, own, "")))))
+    starts = starts.select("qid", "w", "at", F.explode(begins).alias("first"))
+    most = firsts.agg(F.max("longest").alias("longest")).select(F.lit("").alias("first"), "longest")
+    starts = join_sized(starts, cut(firsts.unionByName(most.where("longest is not null"))), ["first"])
+    room = F.size("w") - F.col("at")
+    spans = starts.select("qid", "w", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words) if most_words else F.col("longest") + 2, room))).alias("len"))
     text = F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ")
     spans = spans.select("qid", "at", "len", text.alias("span"))
     plain = name_key(F.col("span"))
-    bare = F.when((F.col("len") == 1) & F.col("span").rlike("['’]s$|['’]$"), name_key(F.regexp_replace("span", "['’]s$|['’]$", "")))
+    bare = F.when((F.col("len") == 1) & F.col("span").rlike(own), name_key(F.regexp_replace("span", own, "")))
     forms = spans.select("qid", "at", "len", "span", F.posexplode(F.array_compact(F.array(plain, bare))).alias("form", "surface"))
     hits = join_sized(forms, list_, ["surface"])
     one = hits.groupBy("qid", "at", "len").agg(F.min(F.struct("form", "rank", "names", "span")).alias("h"))
@@ -90,12 +100,17 @@ def route(questions: DataFrame, linked: DataFrame) -> DataFrame:
     return j.select("qid", way.alias("route"), rule.alias("rule"), q.rlike(ENUMERATES).alias("enumerates"), F.when(q.rlike(ENUMERATES), enumeration_target(q)).alias("target"))
 
 
+_CALLS = "array<struct<template:string,a:string,b:string,rule:string>>"
+
+
 def select_templates(questions: DataFrame, linked: DataFrame) -> DataFrame:
-    """``qid, plan, rule``: up to three template calls as ``template(anchor)``, in the order of the rules."""
+    """``qid, calls(template, a, b, rule)``: up to three template calls, in the order of the rules; two linked nodes without any make a bridge."""
     seen = linked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("at", "name", "type"))).alias("l"))
     j = questions.join(seen, "qid", "left").withColumn("l", F.coalesce("l", F.expr("cast(array() as array<struct<at:int,name:string,type:string>>)")))
     q = F.col("question")
     first = lambda allowed: F.get(F.filter("l", lambda x: x["type"].isin(*allowed)), F.lit(0))["name"]
+    call = lambda template, a, b, rule: F.struct(F.lit(template).alias("template"), a.alias("a"), b.alias("b"), F.lit(rule).alias("rule"))
+    none = F.lit(None).cast("string")
     offers = [
         ("definition_of", "S1-definitional", first(TERM_TYPES), q.rlike(DEFINITIONAL)),
         ("enforcement_chain", "S2-obligation", first(("Obligation",)), F.lit(True)),
@@ -103,25 +118,46 @@ def select_templates(questions: DataFrame, linked: DataFrame) -> DataFrame:
         ("obligations_for_role", "S4-role", first(("ActorRole",)), F.lit(True)),
         ("obligations_for_system", "S5-system", first(("SystemType",)), F.lit(True)),
     ]
-    calls = F.slice(F.array_compact(F.array(*(F.when(a.isNotNull() & c, F.struct(F.concat(F.lit(f"{t}("), a, F.lit(")")).alias("call"), F.lit(r).alias("rule"))) for t, r, a, c in offers))), 1, MOST_CALLS)
-    bridge = F.array(F.struct(F.concat(F.lit("path_between("), F.col("l")[0]["name"], F.lit(","), F.get("l", F.lit(1))["name"], F.lit(")")).alias("call"), F.lit("S6-bridge").alias("rule")))
-    none = F.expr("cast(array() as array<struct<call:string,rule:string>>)")
-    plan = F.when(F.size(calls) > 0, calls).when(F.size("l") >= 2, F.when(F.size("l") >= 2, bridge)).otherwise(none)
-    j = j.select("qid", plan.alias("p"))
-    return j.select("qid", F.array_join(F.transform("p", lambda x: x["call"]), "; ").alias("plan"), F.when(F.size("p") > 0, F.array_join(F.transform("p", lambda x: x["rule"]), "+")).otherwise("S0-none").alias("rule"))
+    ruled = F.slice(F.array_compact(F.array(*(F.when(a.isNotNull() & c, call(t, a, none, r)) for t, r, a, c in offers))), 1, MOST_CALLS)
+    bridge = F.array(call("path_between", F.get("l", F.lit(0))["name"], F.get("l", F.lit(1))["name"], "S6-bridge"))
+    return j.select("qid", F.when(F.size(ruled) > 0, ruled).when(F.size("l") >= 2, bridge).otherwise(F.array()).cast(_CALLS).alias("calls"))
+
+
+def single_calls(offers: DataFrame) -> DataFrame:
+    """offers(qid, name, type) -> ``qid, call, template, a``: every template with one parameter that a node's type may fill."""
+    fits = {"definition_of": TERM_TYPES, "enforcement_chain": ("Obligation",), "cross_regulation": INTERACTING, "obligations_for_role": ("ActorRole",), "obligations_for_system": ("SystemType",)}
+    each = F.array_compact(F.array(*(F.when(F.col("type").isin(*types), F.lit(t)) for t, types in fits.items())))
+    return offers.select("qid", F.col("name").alias("a"), F.explode(each).alias("template")).distinct().withColumn("call", F.xxhash64("template", "a")).select("qid", "call", "template", "a")
+
+
+def plan_calls(plans: DataFrame) -> DataFrame:
+    """Plans as rows ``qid, call, template, a, b, rule``, numbered in their order."""
+    return plans.select("qid", F.posexplode("calls").alias("call", "c")).select("qid", "call", "c.template", "c.a", "c.b", "c.rule")
+
+
+def plan_text(plans: DataFrame) -> DataFrame:
+    """``qid, plan, rule``: the calls as ``template(anchor)`` and the rules that chose them, S0-none without any."""
+    shown = F.transform("calls", lambda c: F.concat(c["template"], F.lit("("), F.concat_ws(",", c["a"], c["b"]), F.lit(")")))
+    rules = F.array_join(F.transform("calls", lambda c: c["rule"]), "+")
+    return plans.select("qid", F.array_join(shown, "; ").alias("plan"), F.when(F.size("calls") > 0, rules).otherwise("S0-none").alias("rule"))
 
 
 def parse_plan(text: str) -> tuple[list[tuple[str, dict[str, str]]], list[str]]:
-    """A model's plan, one ``template name=value ...`` per line: valid calls (at most three, each template once) and rejected lines."""
+    """A model's plan, one ``template name=value ...`` per line: the first three valid calls, and the lines refused before them.
+
+    Values may have several words; a line ``none`` is no call and no mistake.
+    """
     calls: list[tuple[str, dict[str, str]]] = []
     rejected = []
-    for line in filter(None, (x.strip().strip("-* `") for x in text.splitlines())):
+    for line in (x.strip().strip("-* `") for x in text.splitlines()):
+        if not line or line.casefold() == "none" or len(calls) == MOST_CALLS:
+            continue
         name, _, rest = line.partition(" ")
-        params = {m[1]: m[2].strip().strip("\"'") for m in re.finditer(r"(\w+)=(.*?)(?=\s+\w+=|$)", rest)}
+        params = {m[1]: m[2].strip() for m in re.finditer(r"(\S+?)=(.*?)(?=\s+\S+?=|$)", rest)}
         try:
+            if rest.strip() and not re.match(r"\s*\S+?=", rest):
+                raise ValueError("a value before any name")
             validate(name, params)
-            if not all(params.values()) or any(c[0] == name for c in calls) or len(calls) >= MOST_CALLS:
-                raise ValueError(line)
             calls.append((name, params))
         except ValueError:
             rejected.append(line)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.plans.runtime import cut, join_sized
+
 
 def verdict_key(verdict: Column) -> Column:
     """A verdict in one spelling; null if it is none of the four."""
@@ -36,20 +39,51 @@ def loss_split(per_query: DataFrame, k: int) -> DataFrame:
     return s.select(F.when(F.col("g") == 1, "(all)").otherwise(F.col("stratum")).alias("stratum"), "gold", "cap", "oracle", "found", (F.col("gold") - F.col("pooled")).alias("retrieval_loss"), (F.col("pooled") - F.col("oracle")).alias("cap_loss"), (F.col("oracle") - F.col("found")).alias("order_loss"))
 
 
+#: Ranges a group's values are counted in before any is sorted.
+RANGES = 64
+
+
+def values_at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """``keys, n, x_<name>...``: the values at given ranks (1 to n, over a column ``n``) of every group's sorted values, exact.
+
+    Equal values are counted on the map side. Approximate quantiles cut each group into ranges, whose counts tell
+    which few ranges hold the wanted ranks; only those are sorted, each by itself, so no task sorts a whole group.
+    """
+    counted = cut(rows.select(*keys, F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy(*keys, "x").agg(F.count("*").alias("c")))
+    at = [i / RANGES for i in range(1, RANGES)]
+    bounds = counted.groupBy(*keys).agg(F.percentile_approx("x", at, F.lit(20 * RANGES)).alias("bounds"), F.sum("c").alias("n"))
+    eq = [F.col(f"{k}").alias(f"_{k}") for k in keys]
+    codes = cut(bounds.select(*eq, F.col("bounds"), "n", F.xxhash64(*keys).alias("g")))
+    # null keys are groups too, so rows meet their group by the hash of the keys and compare null-safe
+    tagged = join_sized(counted.withColumn("g", F.xxhash64(*keys)), codes, ["g"]).where(reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)))
+    tagged = cut(tagged.select("g", *keys, "n", "x", "c", F.size(F.filter("bounds", lambda b: b < F.col("x"))).alias("range")))
+    sums = tagged.groupBy("g", *keys, "n", "range").agg(F.sum("c").alias("held"))
+    upto = Window.partitionBy("g").orderBy("range")
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), r.cast("bigint").alias("rank")) for name, r in ranks.items()))
+    sums = sums.withColumn("upto", F.sum("held").over(upto)).select("g", "range", (F.col("upto") - F.col("held")).alias("before"), "upto", F.filter(wanted, lambda w: (w["rank"] > F.col("upto") - F.col("held")) & (w["rank"] <= F.col("upto"))).alias("w")).where(F.size("w") > 0)
+    near = join_sized(tagged, cut(sums), ["g", "range"])
+    near = near.withColumn("to", F.col("before") + F.sum("c").over(Window.partitionBy("g", "range").orderBy("x")))
+    hit = near.select(*keys, "n", "x", "c", "to", F.inline("w")).where((F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("c")))
+    return hit.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("name") == name, F.col("x"))).alias(f"x_{name}") for name in ranks))
+
+
 def ranked_percentiles(rows: DataFrame, keys: list[str], value: str, q: float = 0.95) -> DataFrame:
     """Nearest rank with a half-even round (v1), its variant without the shift (v2), the upper median (v3), the median.
 
-    A distributed rank: only the rows at the wanted ranks leave their sorted partition. Null and NaN are left out.
+    Null and NaN are left out; a group without values has no row.
     """
-    x = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    w = Window.partitionBy(*keys)
-    r = x.select(*keys, F.col(value).alias("x"), F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    v1 = F.least(F.col("n"), F.greatest(F.lit(1), F.bround(q * F.col("n") + 0.5))).cast("bigint")
-    v2 = F.greatest(F.lit(1), F.bround(q * F.col("n"))).cast("bigint")
-    v3 = (F.floor(F.col("n") / 2) + 1).cast("bigint")
-    lo, hi = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    pick = lambda at: F.max(F.when(F.col("r") == at, F.col("x")))
-    return r.groupBy(*keys).agg(F.max("n").alias("n"), pick(v1).alias("p95_v1"), pick(v2).alias("p95_v2"), pick(v3).alias("p50_upper"), ((pick(lo) + pick(hi)) / 2).alias("median"))
+    n = F.col("n")
+    ranks = {
+        "v1": F.least(n, F.greatest(F.lit(1), F.bround(q * n + 0.5))),
+        "v2": F.greatest(F.lit(1), F.bround(q * n)),
+        "upper": F.floor(n / 2) + 1,
+        "lo": F.floor((n + 1) / 2),
+        "hi": F.floor(n / 2) + 1,
+    }
+    # half a group of one lies behind its end
+    ranks = {k: F.least(n, r.cast("bigint")) for k, r in ranks.items()}
+    v = values_at_ranks(rows, keys, value, ranks)
+    return v.select(*keys, "n", F.col("x_v1").alias("p95_v1"), F.col("x_v2").alias("p95_v2"), F.col("x_upper").alias("p50_upper"), ((F.col("x_lo") + F.col("x_hi")) / 2).alias("median"))
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -115,3 +149,34 @@ def cost_totals(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def gaps(rows: DataFrame, number: str) -> DataFrame:
     """Whether numbers run from 1 without a gap."""
     return rows.agg(F.count("*").alias("n"), F.max(number).alias("top"), (F.max(number) == F.count_distinct(number)).alias("gapless"))
+
+
+def linker_board(strata: DataFrame, links: DataFrame, gold: DataFrame) -> DataFrame:
+    """strata(qid, stratum), links(qid, name, ambiguous), gold(qid, name): how links meet gold, with all of them and with
+    unambiguous ones only, per stratum and in all. recall_superset is a share of all gold names, which no question needs to name."""
+    arms = F.explode(F.when(F.col("ambiguous"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("unambiguous"))))
+    said = links.select("qid", "name", arms.alias("arm")).distinct()
+    g = gold.select("qid", "name").distinct()
+    hit = said.join(g.withColumn("hit", F.lit(1)), ["qid", "name"], "left").groupBy("qid", "arm").agg(F.count("*").alias("linked"), F.count("hit").alias("in_gold"))
+    every = strata.join(g.groupBy("qid").agg(F.count("*").alias("gold")), "qid", "left").select("qid", "stratum", F.coalesce("gold", F.lit(0)).alias("gold"), F.explode(F.array(F.lit("all"), F.lit("unambiguous"))).alias("arm"))
+    per = every.join(hit, ["qid", "arm"], "left").na.fill(0, ["linked", "in_gold"])
+    s = per.groupingSets([["arm", "stratum"], ["arm"]], "arm", "stratum").agg(F.count("*").alias("rows"), F.count_if(F.col("linked") > 0).alias("linked_rows"), F.count_if(F.col("in_gold") > 0).alias("hit_rows"), *(F.sum(c).alias(c) for c in ("linked", "in_gold", "gold")), F.grouping("stratum").alias("g"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 6)
+    return s.select("arm", F.when(F.col("g") == 1, "(all)").otherwise(F.col("stratum")).alias("stratum"), "rows", "linked_rows", "hit_rows", "linked", "in_gold", "gold", share("linked_rows", "rows").alias("link_rate"), share("hit_rows", "rows").alias("hit_rate"), share("in_gold", "linked").alias("precision"), share("in_gold", "gold").alias("recall_superset"))
+
+
+def selector_board(calls: DataFrame, found: DataFrame, offered: DataFrame, gold: DataFrame) -> DataFrame:
+    """calls(qid, call), found and offered(qid, call, chunk), gold(qid, chunk): one row over the questions that have gold.
+
+    gold_hit is what the plans' chunks hold of it; oracle what the best single offered call would; ceiling_anchor
+    the questions some call could be offered for.
+    """
+    gold = gold.select("qid", "chunk").distinct()
+    base = gold.groupBy("qid").agg(F.count("*").alias("gold"))
+    planned = calls.groupBy("qid").agg(F.count("*").alias("calls"))
+    filled = found.select("qid", "call").distinct().groupBy("qid").agg(F.count("*").alias("filled"))
+    hits = found.select("qid", "chunk").distinct().join(gold, ["qid", "chunk"], "left_semi").groupBy("qid").agg(F.count("*").alias("hits"))
+    best = offered.join(gold, ["qid", "chunk"], "left_semi").groupBy("qid", "call").agg(F.count("*").alias("h")).groupBy("qid").agg(F.max("h").alias("oracle"))
+    open_ = offered.select("qid").distinct().withColumn("open", F.lit(1))
+    per = reduce(lambda a, b: a.join(b, "qid", "left"), (base, planned, filled, hits, best, open_)).na.fill(0)
+    return per.agg(F.count("*").alias("n"), F.sum("gold").alias("gold_total"), F.sum("hits").alias("gold_hit"), F.count_if(F.col("hits") > 0).alias("rows_with_a_hit"), F.count_if(F.col("calls") > 0).alias("rows_with_a_plan"), F.sum("calls").alias("calls"), (F.sum("calls") - F.sum("filled")).alias("empty_calls"), F.sum("oracle").alias("oracle"), F.sum("open").cast("bigint").alias("ceiling_anchor"))

@@ -107,7 +107,7 @@ def hot_keys(df: DataFrame, key: Column, share: float = HOT_SHARE) -> list[int]:
     return sorted(k for k in found[0] if k is not None)
 
 
-def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
+def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = 16, small: bool | None = None) -> DataFrame:
     """Inner or left join of a large, possibly skewed table with a side of unknown size.
 
     The side is broadcast if rows and bytes are counted small. Otherwise both shuffle; keys measured to hold a large

@@ -76,10 +76,16 @@ def test_link_longest_first_plural_and_possessive(spark):
 def test_plans(spark):
     q = spark.createDataFrame([(1, "What is the definition of deployer under the GDPR log?"), (2, "x")], "qid int, question string")
     linked = R.link(q, _nodes(spark))
-    p = {r.qid: r for r in R.select_templates(q, linked).collect()}
+    p = {r.qid: r for r in R.plan_text(R.select_templates(q, linked)).collect()}
     assert p[1].rule == "S1-definitional+S2-obligation+S3-cross-instrument" and p[2].rule == "S0-none" and p[2].plan == ""
     calls, bad = R.parse_plan("- definition_of term=high risk ai system\ndrop all\npath_between entity_a=x\npath_between entity_a=a b entity_b=c")
     assert calls == [("definition_of", {"term": "high risk ai system"}), ("path_between", {"entity_a": "a b", "entity_b": "c"})] and len(bad) == 2
+    assert R.parse_plan("none\n* None\n\n") == ([], [])
+    twice = "\n".join(f"definition_of term={x}" for x in "abcd")
+    assert [c[1]["term"] for c in R.parse_plan(twice)[0]] == ["a", "b", "c"] and R.parse_plan("definition_of a term=b") == ([], ["definition_of a term=b"])
+    assert [tuple(r) for r in R.plan_calls(R.select_templates(q, linked)).select("qid", "call", "template", "a").where("call = 1").collect()] == [(1, 1, "enforcement_chain", "log")]
+    offers = spark.createDataFrame([(1, "deployer", "ActorRole"), (1, "log", "Obligation"), (2, "x", "Penalty")], "qid int, name string, type string")
+    assert {(r.qid, r.template) for r in R.single_calls(offers).collect()} == {(1, "definition_of"), (1, "obligations_for_role"), (1, "enforcement_chain"), (2, "definition_of")}
 
 
 def test_enumeration_target(spark):

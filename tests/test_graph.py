@@ -49,7 +49,7 @@ def test_self_loop_stands_once_and_direction(make):
 def test_paths_and_components(make, spark):
     g = make([("APPLIES_TO", "log it", "deployer", "c1"), ("IMPOSES", "aia art. 26(9)", "log it", "c2"), ("IMPOSES", "aia art. 26(9)", "log it", "c0"), ("CLASSIFIED_AS", "sys", "high", "c3")])
     p = G.run_template(g.edges, "path_between", {"entity_a": "deployer", "entity_b": "aia art. 26(9)"}).collect()
-    assert [(r.hops, r.path, r.chunks) for r in p] == [(2, "deployer > log it > aia art. 26(9)", "c1,c0")]
+    assert [(r.hops, r.nodes, [tuple(x) for x in r.legs]) for r in p] == [(2, ["deployer", "log it", "aia art. 26(9)"], [("c1", "APPLIES_TO", False), ("c0", "IMPOSES", False)])]
     assert G.run_template(g.edges, "path_between", {"entity_a": "deployer", "entity_b": "sys"}).collect() == []
     assert sorted(r.n for r in G.components(g.edges).groupBy("component").agg(F.count("*").alias("n")).collect()) == [2, 3]
     with pytest.raises(ValueError):
@@ -67,6 +67,49 @@ def test_statements(make, spark):
         G.statements(G.definition_of(g.edges), "definition_of", g.nodes, labels.where("chunk_id <> 'c4'")).collect()
 
 
+def test_names_resolve_without_accents_and_lone_brackets(make):
+    g = make([("APPLIES_TO", "The Lògging)", "[Déployer]", "c"), ("APPLIES_TO", "(the logging", "deployer.", "c"), ("APPLIES_TO", "the logging", "deployer", "d")])
+    assert {(r.head, r.tail, r.source_chunk_id) for r in g.edges.collect()} == {("log it", "deployer", "c"), ("log it", "deployer", "d")}
+    assert [r.missing for r in g.skipped.collect()] == ["[Déployer]"]  # brackets in a pair belong to the name
+
+
+def test_unusable_confidence_is_null(make, spark):
+    nodes = spark.createDataFrame([(*n, T0, None) for n in NODES], "type string, canonical_name string, display_name string, aliases array<string>, ingested_at timestamp, retired_at timestamp")
+    rel = [("c0", float("nan")), ("c1", 1.5), ("c2", -0.1), ("c3", None), ("c4", 0.0), ("c5", 1.0), ("c6", 0.5), ("c6", float("nan"))]
+    rows = [(i, "APPLIES_TO", "log it", "deployer", c, x, T0) for i, (c, x) in enumerate(rel)]
+    g = G.build(spark.createDataFrame(rows, "rel_id bigint, type string, head string, tail string, source_chunk_id string, confidence double, loaded_at timestamp"), nodes)
+    assert {r.source_chunk_id: r.confidence for r in g.edges.collect()} == {"c0": None, "c1": None, "c2": None, "c3": None, "c4": 0.0, "c5": 1.0, "c6": 0.5}
+
+
+def test_search_runs_plans_and_tells_each_sentence_once(make, spark):
+    g = make([("APPLIES_TO", "log it", "deployer", "c1"), ("IMPOSES", "aia art. 26(9)", "log it", "c2"), ("CLASSIFIED_AS", "sys", "high", "c3"), ("APPLIES_TO", "log it", "sys", "c4")])
+    labels = spark.createDataFrame([(f"c{i}", f"L{i}") for i in range(6)], "chunk_id string, citation_label string")
+    calls = [(1, 0, "obligations_for_system", "sys", None), (1, 1, "obligations_for_role", "deployer", None), (2, 0, "definition_of", "nothing", None), (3, 0, "path_between", "deployer", "aia art. 26(9)")]
+    said, report = G.search(spark.createDataFrame(calls, "qid int, call int, template string, a string, b string"), g, labels)
+    got = {(r.qid, r.call, r.text) for r in said.collect()}
+    assert got == {
+        (1, 0, "Sys is classified as High. (L3)"), (1, 0, "log it applies to Sys. (L4)"), (1, 0, "AIA Art. 26(9) imposes: log it. (L2)"), (1, 1, "log it applies to deployer. (L1)"),
+        (3, 0, "deployer applies to log it. (L1)"), (3, 0, "log it imposes AIA Art. 26(9). (L2)"),
+    }
+    assert {(r.qid, r.call): r.n_rows for r in report.collect()} == {(1, 0): 1, (1, 1): 1, (2, 0): 0, (3, 0): 1}
+    with pytest.raises(Exception, match="no template"):
+        G.search(spark.createDataFrame([(1, 0, "DROP", "x", None)], "qid int, call int, template string, a string, b string"), g, labels)
+    assert G.provenance(spark.createDataFrame(calls, "qid int, call int, template string, a string, b string"), g.edges).where("call = 1").collect()[0].chunk in ("c1", "c2")
+
+
+def test_merges_keep_what_is_known(spark):
+    old = spark.createDataFrame([("Article", "a", "A", 1), ("Annex", "b", "B", 1)], "type string, canonical_name string, display string, n int")
+    new = spark.createDataFrame([("Article", "a", None, 2), ("Right", "c", "C", 3), ("Right", "c", "C", 3)], old.schema)
+    for _ in range(2):
+        old = G.upsert_nodes(old, new)
+        assert {tuple(r) for r in old.collect()} == {("Article", "a", "A", 2), ("Annex", "b", "B", 1), ("Right", "c", "C", 3)}
+    with pytest.raises(Exception, match="no such type"):
+        G.upsert_nodes(old, new.withColumn("type", F.lit("X"))).collect()
+    e = spark.createDataFrame([("T", "h", "t", "c", 0.1)], "type string, head string, tail string, source_chunk_id string, confidence double")
+    assert [r.confidence for r in G.upsert_edges(e, e.withColumn("confidence", F.lit(0.7))).collect()] == [0.7]
+    assert G.key_violations(e.union(e), G.EDGE_KEY).first().n == 2 and G.key_violations(e, G.EDGE_KEY).count() == 0
+
+
 def test_empty(make):
     g = make([])
     assert G.obligations_for_role(g.edges).count() == 0 and G.components(g.edges).count() == 0

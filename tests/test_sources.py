@@ -31,6 +31,19 @@ def test_act_parsing(spark):
         law_html.body("<p>")
 
 
+ANNEXES = """<html><body><div id="anx_I"><p class="oj-doc-ti">ANNEX I</p>
+<table><tbody><tr><td>(a)</td><td>loose</td></tr><tr><td>only<table><tbody><tr><td>9.</td><td>nested</td></tr></tbody></table></td></tr></tbody></table>
+<div class="oj-enumeration-spacing"><p>unmarked</p></div><p class="oj-ti-grseq-1">7. Seven</p><p class="oj-normal">more</p><p>ignored</p>
+<table><tbody><tr><td>-</td><td>of seven</td></tr><tr><td>8.</td><td></td></tr></tbody></table></div>
+<div id="anx_III"><p class="oj-normal">before any point</p><p class="oj-ti-grseq-1">1.Part</p></div></body></html>"""
+
+
+def test_annex_points_without_numbers(spark):
+    rows = law_html.parse_acts(spark.createDataFrame([("f", ANNEXES)], "path string, content string")).collect()
+    assert {(r.annex, r.section, r.point): r.text for r in rows} == {("I", None, 1): "(a) loose", ("I", None, 2): "only 9. nested", ("I", None, 3): "unmarked", ("I", None, 7): "Seven more - of seven", ("I", None, 8): "", ("III", None, 1): "Part"}
+    assert law_html.parse_acts(spark.createDataFrame([], "path string, content string")).count() == 0
+
+
 def test_strict_reads(spark, tmp_path):
     good = '{"chunk_id":"a","regulation":"AIA","shape":"paragraph","citation_label":"l","text":"é","entity_ids":[]}'
     (tmp_path / "1.jsonl").write_text(good + "\n\n")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import ABBREVIATIONS, json_object, labels_in, name_key, normalise, normalised, parse_route, query_terms, redact, words
 from quillgraph.functions.unicode import WHITE_SPACE, reference_key
+from quillgraph.operators import resolve as R
 from quillgraph.operators.resolve import display_name, plural_map, reconcile
 
 
@@ -13,6 +14,7 @@ def test_normalise_cases():
     assert normalise(" (a) stray]") == "(a) stray"
     assert normalise("“Café”") == "cafe"
     assert all(normalise(k) == v for k, v in ABBREVIATIONS.items())
+    assert [normalise(x) for x in ("((a)", "(a))", ").", "", "a) (b", "[x].", "eu  AI-Act")] == ["(a)", "(a)", "", "", "a) (b", "[x]", "AI Act"]
 
 
 def test_reference_key():
@@ -46,3 +48,24 @@ def test_reconcile_rules(spark):
 def test_display_name(spark):
     df = spark.createDataFrame([("k", "A"), ("k", "A"), ("k", "bb"), ("k", "cc"), ("j", "x"), ("j", "yy")], "key string, raw string")
     assert {r.key: r.display for r in display_name(df).collect()} == {"k": "A", "j": "yy"}
+
+
+def test_mentions_fold_before_voting(spark):
+    rows = [("Deployer", "ActorRole", "c1"), ("deployers.", "ActorRole", "c2"), ("Déployers", "DefinedTerm", None), (None, "Right", "c"), (" ;", "Right", "c"), ("deployer", None, "c1")]
+    m = R.mentions_of(spark.createDataFrame(rows, "raw string, type string, chunk_id string"))
+    assert {(r.key, r.type, r.n) for r in R.type_votes(m).collect()} == {("deployer", "ActorRole", 2), ("deployer", "DefinedTerm", 1)}
+    n = R.build_nodes(m, R.reconcile(R.type_votes(m)).select("key", "type")).collect()
+    assert [tuple(r) for r in n] == [("deployer", "ActorRole", 4, 2, 3)]
+    assert {r.alias for r in R.node_aliases(m).collect()} == {"Deployer", "deployers.", "Déployers"} and R.node_chunks(m).count() == 2
+
+
+def test_repairs_and_gaps(spark):
+    r = spark.createDataFrame([(" Regulation (EU) 2016/679", "a", "b"), ("other", "c", "c")], "name string, claimed string, true string")
+    short = spark.createDataFrame([("regulation (eu) 2016/679", "GDPR")], "full string, short string")
+    assert [(x.name, x.renamed) for x in R.instrument_names(r, "name", short).collect()] == [("GDPR", True), ("other", False)]
+    assert [(x.claimed, x.repaired) for x in R.repaired_provenance(r, "claimed", "true").collect()] == [("b", True), ("c", False)]
+    e = spark.createDataFrame([("c1", "x"), ("c1", "y"), ("c2", "aia art. 9")], "chunk_id string, key string")
+    rel = spark.createDataFrame([("c1", "x", "z"), ("c1", "x", None)], "chunk_id string, head string, tail string")
+    assert {tuple(g) for g in R.chunk_gaps(e, rel).collect()} == {("c1", "z", "dangling"), ("c1", "y", "orphan"), ("c2", "aia art. 9", "orphan")}
+    chunks = spark.createDataFrame([("c2", "AIA", 9, 2), ("c1", "AIA", 3, 1)], "chunk_id string, regulation string, article int, paragraph int")
+    assert [tuple(x) for x in R.granularity_misses(e, chunks).collect()] == [("c2", "aia art. 9", "aia art. 9(2)")]
