@@ -39,6 +39,24 @@ def budget_anchor(docs: DataFrame, names: DataFrame, n: int) -> DataFrame:
     return ranked.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("hit"), "pos"))).where(F.col("at") <= n).drop("names")
 
 
+def budget_rerank(docs: DataFrame, relevance: DataFrame, n: int) -> DataFrame:
+    """docs(qid, pos, ...), relevance(qid, pos, relevance): the n most relevant documents, ties in the order given."""
+    at = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("relevance"), "pos"))
+    return docs.join(relevance.select("qid", "pos", "relevance"), ["qid", "pos"]).withColumn("at", at).where(F.col("at") <= n)
+
+
+def rank_shifts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Lists (qid, pos, key) before and after reranking: ``qid, key, before, after, shift``; null where a list lacks the key."""
+    b, a = before.select("qid", "key", F.col("pos").alias("before")), after.select("qid", "key", F.col("pos").alias("after"))
+    return b.join(a, ["qid", "key"], "full").withColumn("shift", F.col("before") - F.col("after"))
+
+
+def overlap(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Lists (qid, key) of two paths: ``qid, n_one, n_other, n_both``; a report, nothing is dropped."""
+    both = one.select("qid", "key").distinct().withColumn("o", F.lit(1)).join(other.select("qid", "key").distinct().withColumn("p", F.lit(1)), ["qid", "key"], "full")
+    return both.groupBy("qid").agg(F.count("o").alias("n_one"), F.count("p").alias("n_other"), F.count(F.when(F.col("o").isNotNull() & F.col("p").isNotNull(), 1)).alias("n_both"))
+
+
 def offsets(blocks: DataFrame) -> DataFrame:
     """blocks(qid, i, text): where each text block begins in the joined answer; null texts take no room."""
     before = Window.partitionBy("qid").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)

@@ -44,10 +44,15 @@ def project(chunks: DataFrame) -> DataFrame:
 
 
 def violations(chunks: DataFrame) -> DataFrame:
-    """Rows that break the table's constraints: no or another shape, duplicate key or label."""
-    dup = [F.count("*").over(Window.partitionBy(k)) > 1 for k in ("chunk_id", "citation_label")]
-    bad = chunks.withColumn("d0", dup[0]).withColumn("d1", dup[1])
-    why = F.when(shape().isNull(), "no shape").when(shape() != F.col("shape"), "other shape").when(F.col("d0"), "duplicate key").when(F.col("d1"), "duplicate label")
+    """Rows that break the table's constraints: no or another shape, duplicate key or label.
+
+    Keys are counted by themselves, so only the few repeated ones are joined back and no row is sorted by its key.
+    """
+    bad = chunks.select("chunk_id", "citation_label", shape().alias("s"), F.col("shape").alias("stored"))
+    for i, k in enumerate(("chunk_id", "citation_label")):
+        again = bad.groupBy(k).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(k, F.lit(True).alias(f"d{i}"))
+        bad = bad.join(again, k, "left")
+    why = F.when(F.col("s").isNull(), "no shape").when(F.col("s") != F.col("stored"), "other shape").when(F.col("d0"), "duplicate key").when(F.col("d1"), "duplicate label")
     return bad.select("chunk_id", why.alias("violation")).where(F.col("violation").isNotNull())
 
 
@@ -61,6 +66,41 @@ def enumerate_provisions(chunks: DataFrame, most: int = MOST_ENUMERATED) -> Data
     return sized.select("regulation", "provision", F.row_number().over(order).alias("pos"), "chunk_id", "citation_label")
 
 
+def provision_of(chunks: DataFrame) -> DataFrame:
+    """``target, at, chunk_id``: each provision as a question names it (``AIA article 9``, ``GDPR annex III``), its chunks in statutory order."""
+    p = enumerate_provisions(chunks)
+    name = F.when(F.col("provision").startswith("art "), F.concat(F.lit("article "), F.substring(F.col("provision"), 5, 20))).otherwise(F.col("provision"))
+    return p.select(F.concat_ws(" ", "regulation", name).alias("target"), F.col("pos").alias("at"), "chunk_id")
+
+
+def passages(targets: DataFrame, ranked: DataFrame, provisions: DataFrame, shown: int = 5, votes: int = 10) -> DataFrame:
+    """Enumerate or rank: targets(qid, enumerates, target), ranked(qid, pos, key), provisions(target, at, chunk_id).
+
+    ``qid, pos, key, arm``. A question that enumerates gets the whole provision it names, or else the one most of its
+    first ``votes`` ranked chunks belong to, and behind it the first ``shown`` ranked chunks not in it; any other
+    question, and one whose provision is unknown or too large, gets its first ``shown`` ranked chunks.
+    """
+    of = provisions.select("target", F.col("chunk_id").alias("key"))
+    cast = ranked.where(F.col("pos") <= votes).join(of, "key").groupBy("qid", "target").agg(F.count("*").alias("n"), F.min("pos").alias("best"))
+    modal = cast.groupBy("qid").agg(F.min_by("target", F.struct(-F.col("n"), "best", "target")).alias("modal"))
+    chosen = targets.where("enumerates").join(modal, "qid", "left").select("qid", F.coalesce("target", "modal").alias("target")).where("target is not null")
+    listed = chosen.join(provisions, "target").select("qid", F.lit(0).alias("arm"), F.col("at").alias("pos"), F.col("chunk_id").alias("key"))
+    rest = ranked.where(F.col("pos") <= shown).join(listed.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", F.lit(1).alias("arm"), "pos", "key")
+    both = listed.unionByName(rest)
+    return both.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("arm", "pos")).alias("pos"), "key", "arm")
+
+
+def missing(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """Keys whose derived column is still to be made."""
+    return rows.where(F.col(column).isNull()).select(key)
+
+
+def replayed(rows: DataFrame, key: str, ordering: str, documents: DataFrame, id_: str, first: int) -> DataFrame:
+    """The first documents of a stored ordering (an array of ids) in its order, hydrated; ids without a document drop out."""
+    each = rows.select(key, F.posexplode(F.slice(ordering, 1, first)).alias("pos", id_))
+    return each.join(documents, id_)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, touched: DataFrame | None = None) -> DataFrame:
     """Old rows whose key was not touched, then the new ones."""
     return old.join((touched if touched is not None else new).select(key).distinct(), key, "left_anti").unionByName(new)

@@ -48,3 +48,34 @@ def citation_defect(stratum: Column, must_cite: Column, n_citations: Column) ->
 def cap_verdict(verdict: Column, defect: Column) -> Column:
     """A right verdict with a citation defect is at most partially correct."""
     return F.when(verdict.isin("correct", "correct_refusal") & defect.isNotNull(), "partially_correct").otherwise(verdict)
+
+
+def labels_shown(documents: DataFrame) -> DataFrame:
+    """documents(qid, citation_label, text) -> ``qid, labels``: every label a prompt showed, a document's own or in its text.
+
+    A count of further labels is no label.
+    """
+    own = F.array_compact(F.array(F.regexp_replace(F.trim("citation_label"), r"\s+", " ")))
+    each = documents.select("qid", F.explode(F.array_union(own, F.coalesce(labels_in(F.col("text")), F.array().cast("array<string>")))).alias("label"))
+    return each.groupBy("qid").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+
+
+def keep_better(attempts: DataFrame) -> DataFrame:
+    """attempts(qid, attempt, defects, cost): of a first answer and its one regeneration the better; ties keep the first.
+
+    ``qid, attempt, defects, attempts, fixed, cost``: both are paid for, and an unknown cost makes the sum unknown. A
+    first answer without defects is never asked again, so later attempts of it are left out.
+    """
+    first = attempts.where(F.col("attempt") == 1).select("qid", F.col("defects").alias("d1"), F.col("cost").alias("c1"))
+    again = attempts.where(F.col("attempt") == 2).select("qid", F.col("defects").alias("d2"), F.col("cost").alias("c2"))
+    j = first.join(again, "qid", "left")
+    used = (F.col("d1") > 0) & F.col("d2").isNotNull()
+    better = used & (F.col("d2") < F.col("d1"))
+    return j.select(
+        "qid",
+        F.when(better, 2).otherwise(1).cast("bigint").alias("attempt"),
+        F.when(better, F.col("d2")).otherwise(F.col("d1")).alias("defects"),
+        F.when(used, 2).otherwise(1).cast("bigint").alias("attempts"),
+        (better & (F.col("d2") == 0)).alias("fixed"),
+        F.when(used, F.col("c1") + F.col("c2")).otherwise(F.col("c1")).alias("cost"),
+    )

@@ -180,3 +180,70 @@ def selector_board(calls: DataFrame, found: DataFrame, offered: DataFrame, gold:
     open_ = offered.select("qid").distinct().withColumn("open", F.lit(1))
     per = reduce(lambda a, b: a.join(b, "qid", "left"), (base, planned, filled, hits, best, open_)).na.fill(0)
     return per.agg(F.count("*").alias("n"), F.sum("gold").alias("gold_total"), F.sum("hits").alias("gold_hit"), F.count_if(F.col("hits") > 0).alias("rows_with_a_hit"), F.count_if(F.col("calls") > 0).alias("rows_with_a_plan"), F.sum("calls").alias("calls"), (F.sum("calls") - F.sum("filled")).alias("empty_calls"), F.sum("oracle").alias("oracle"), F.sum("open").cast("bigint").alias("ceiling_anchor"))
+
+
+def untagged(rows: DataFrame, tag: str = "run_tag") -> DataFrame:
+    """Published rows: those of no named trial run."""
+    return rows.where(F.col(tag).isNull() | (F.trim(tag) == ""))
+
+
+def stage_latency(*stages: str) -> Column:
+    """Latency of a request as the sum of its stages; a stage that did not run took no time."""
+    return sum((F.coalesce(F.col(c), F.lit(0.0)) for c in stages), F.lit(0.0))
+
+
+def own_and_common(rows: DataFrame, arm: str, key: str, family: Column) -> DataFrame:
+    """rows(arm, key, v): verdicts per arm over its own keys and over those every arm of its family scored.
+
+    ``family, arm, scope, n, passed, partial, wrong, pass_rate``.
+    """
+    r = rows.select(family.alias("family"), F.col(arm).alias("arm"), F.col(key).alias("key"), "v")
+    arms = r.groupBy("family").agg(F.count_distinct("arm").alias("arms"))
+    full = r.groupBy("family", "key").agg(F.count_distinct("arm").alias("n")).join(arms, "family").where(F.col("n") == F.col("arms")).select("family", "key", F.lit(True).alias("all"))
+    scopes = F.explode(F.when(F.col("all"), F.array(F.lit("own"), F.lit("common"))).otherwise(F.array(F.lit("own")))).alias("scope")
+    each = r.join(full, ["family", "key"], "left").select("family", "arm", "v", scopes)
+    g = each.groupBy("family", "arm", "scope").agg(F.count("*").alias("n"), F.count_if(passes(F.col("v"))).alias("passed"), F.count_if(F.col("v") == "partially_correct").alias("partial"), F.count_if(F.col("v") == "wrong").alias("wrong"))
+    return g.withColumn("pass_rate", F.round(F.col("passed") / F.col("n"), 6))
+
+
+def router_board(runs: DataFrame, constants: tuple[str, ...] = ("vector", "graph", "both")) -> DataFrame:
+    """runs(gold_route, route, stratum, latency_ms, cost_usd): the recorded router and constant arms per stratum and in all.
+
+    Only the recorded arm has latency and cost; ``beats`` of a row is whether it is right more often than the best constant.
+    """
+    said = F.inline(F.array(F.struct(F.lit("recorded").alias("arm"), F.col("route").alias("said")), *(F.struct(F.lit(f"always-{x}").alias("arm"), F.lit(x).alias("said")) for x in constants)))
+    each = runs.select("gold_route", "stratum", "latency_ms", "cost_usd", said)
+    own = F.col("arm") == "recorded"
+    usable = own & F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms") & (F.col("latency_ms") >= 0)
+    g = each.groupingSets([["arm", "stratum"], ["arm"]], "arm", "stratum").agg(
+        F.count("*").alias("n"), F.count_if(F.col("said") == F.col("gold_route")).alias("right"), F.count_if(F.col("said").isNull()).alias("unparsed"),
+        F.round(F.avg(F.when(usable, F.col("latency_ms"))), 3).alias("mean_ms"), F.round(F.sum(F.when(own, F.col("cost_usd"))), 6).alias("cost_usd"), F.grouping("stratum").alias("g"),
+    )
+    g = g.withColumn("stratum", F.when(F.col("g") == 1, "(all)").otherwise(F.col("stratum"))).withColumn("accuracy", F.round(F.col("right") / F.col("n"), 6))
+    best = g.where(F.col("arm") != "recorded").groupBy("stratum").agg(F.max("right").alias("best"))
+    return g.join(best, "stratum").select("arm", "stratum", "n", "right", "unparsed", "accuracy", "mean_ms", "cost_usd", (F.col("right") > F.col("best")).alias("beats"))
+
+
+def analytic_cost(rows: DataFrame, retrieval: DataFrame, key: str) -> DataFrame:
+    """Cost of generation plus that of the same question's retrieval; either unknown makes the sum unknown."""
+    return rows.join(retrieval.select(key, F.col("cost_usd").alias("_r")), key, "left").withColumn("total_usd", F.col("cost_usd") + F.col("_r")).drop("_r")
+
+
+def set_violations(rows: DataFrame, refusals: tuple[str, ...] = ("out-of-scope", "unanswerable"), most: float = 0.6) -> DataFrame:
+    """rows(id, stratum, gold_route, expected_fail, status_code, n_sources): rows that break an evaluation set's rules.
+
+    ``id, rule``: a stratum that asks for citations without sources, a refusal with some, an expected failure that
+    succeeds, an unknown route; and, with a null id, a route that more than ``most`` of the rows share.
+    """
+    refused = F.col("stratum").isin(*refusals)
+    rules = F.array(
+        F.when(~refused & (F.col("n_sources") == 0), "no sources"),
+        F.when(refused & (F.col("n_sources") > 0), "sources for a refusal"),
+        F.when(F.col("expected_fail") & (F.col("status_code") == 200), "expected to fail"),
+        F.when(F.col("gold_route").isNull() | ~F.col("gold_route").isin("vector", "graph", "both"), "unknown route"),
+    )
+    own = rows.select(F.col("id"), F.explode(F.array_compact(rules)).alias("rule"))
+    shares = rows.groupBy("gold_route").agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    crowded = shares.crossJoin(F.broadcast(total)).where(F.col("n") > most * F.col("total")).select(F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.concat(F.lit("majority "), "gold_route").alias("rule"))
+    return own.unionByName(crowded)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.operators import scores as S
-from quillgraph.operators.cite import citation_defect
+from quillgraph.operators.cite import citation_defect, keep_better
 from quillgraph.plans.runtime import cut, table
 
 
@@ -25,7 +25,7 @@ def interface_costs(spark, d):
 
 
 def latency_stalls(spark, d):
-    """Runs slower than a second per route."""
+    """Per route how many runs took over a second, and the slowest."""
     r = _runs(spark, d).where(F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms"))
     return r.groupBy("route").agg(F.count_if(F.col("latency_ms") > 1000).alias("stalls"), F.round(F.max("latency_ms"), 6).alias("slowest"))
 
@@ -50,47 +50,77 @@ def _scored(spark, d):
     return S.scored(table(spark, d, "bench_verdicts"))
 
 
+#: Trial runs of one arm share what stands before the last dash of their tag.
+FAMILY = r"^(.*?)(?:-[^-]*)?$"
+
+
 def benchmark_board(spark, d):
-    """Per run_tag over the ids each of the three nightly tags graded: passes, partial, wrong, per stratum and in all."""
-    v = cut(_scored(spark, d).where(F.col("run_tag").startswith("nightly")))
-    c = S.common(v, "run_tag", "id")
-    g = c.groupingSets([["run_tag", "stratum"], ["run_tag"]], "run_tag", "stratum").agg(F.count("*").alias("n"), F.count_if(S.passes(F.col("v"))).alias("passed"), F.count_if(F.col("v") == "partially_correct").alias("partial"), F.count_if(F.col("v") == "wrong").alias("wrong"), F.grouping("stratum").alias("g"))
-    return g.select("run_tag", F.when(F.col("g") == 1, "(all)").otherwise(F.col("stratum")).alias("stratum"), "n", "passed", "partial", "wrong")
+    """Per run_tag over its own ids and over those all tags of its family graded: passes, partial, wrong."""
+    return S.own_and_common(cut(_scored(spark, d)), "run_tag", "id", F.regexp_extract("run_tag", FAMILY, 1))
+
+
+def answer_board(spark, d):
+    """Per system, by majority of its tags, over its own ids and over those every system has."""
+    v = S.scored(table(spark, d, "bench_verdicts").withColumn("run_tag", F.col("system")))
+    return S.own_and_common(cut(v), "run_tag", "id", F.lit("systems"))
 
 
 def excluded_ids(spark, d):
-    """Ids some nightly tag graded and another did not."""
-    v = cut(_scored(spark, d).where(F.col("run_tag").startswith("nightly")))
-    return v.select("id").exceptAll(S.common(v, "run_tag", "id").select("id")).distinct()
+    """Per family of tags the ids some tag graded and another did not."""
+    v = cut(_scored(spark, d).withColumn("family", F.regexp_extract("run_tag", FAMILY, 1)))
+    arms = v.groupBy("family").agg(F.count_distinct("run_tag").alias("arms"))
+    return v.groupBy("family", "id").agg(F.count_distinct("run_tag").alias("n")).join(arms, "family").where(F.col("n") < F.col("arms")).select("family", "id")
+
+
+def router_board(spark, d):
+    return S.router_board(cut(_runs(spark, d).where(F.col("gold_route").isNotNull())))
+
+
+def eval_set_violations(spark, d):
+    """Rules of an evaluation set broken by the recorded runs, by rule and stratum-free count."""
+    r = table(spark, d, "ask_runs").groupBy("ask_id").agg(F.min(F.struct("stratum", "gold_route", "expected_fail", "status_code", F.size("sources").alias("n_sources"))).alias("r")).select(F.col("ask_id").alias("id"), "r.*")
+    return S.set_violations(r).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def regenerations(spark, d):
+    """Each question's first two runs as an answer and its regeneration: which is kept, and what both cost."""
+    r = _runs(spark, d).select("question_id", "ask_id", F.when(citation_defect(F.col("stratum"), F.lit(True), F.col("n_citations")).isNotNull(), 1).otherwise(0).cast("bigint").alias("defects"), F.col("cost_usd").alias("cost"))
+    two = r.groupBy("question_id").agg(F.min("ask_id").alias("a1")).join(r, "question_id")
+    firsts = two.where(F.col("ask_id") > F.col("a1")).groupBy("question_id").agg(F.min("ask_id").alias("ask_id")).withColumn("attempt", F.lit(2)).unionByName(two.where(F.col("ask_id") == F.col("a1")).select("question_id", "ask_id", F.lit(1).alias("attempt")))
+    kept = keep_better(cut(r.join(firsts, ["question_id", "ask_id"]).select(F.col("question_id").alias("qid"), "attempt", "defects", "cost")))
+    return kept.select(F.col("qid").alias("question_id"), "attempt", "defects", "attempts", "fixed", F.round("cost", 6).alias("cost"))
 
 
 def majority_votes(spark, d):
     return S.majority(_scored(spark, d))
 
 
-def repeat_flips(spark, d):
+def repeat_flips(spark, d, first="e1-run-a", second="e1-run-b"):
     v = cut(_scored(spark, d))
-    return S.paired(v.where("run_tag = 'e1-run-a'"), v.where("run_tag = 'e1-run-b'"))
+    return S.paired(v.where(F.col("run_tag") == first), v.where(F.col("run_tag") == second))
 
 
-def arm_comparison(spark, d):
+def arm_comparison(spark, d, one="e1", other="e2"):
     """Two arms of three runs each by majority, ties left out."""
     v = cut(_scored(spark, d))
-    a, b = (S.majority(v.where(F.col("run_tag").startswith(x))).where("not tied") for x in ("e1", "e2"))
+    a, b = (S.majority(v.where(F.col("run_tag").startswith(x))).where("not tied") for x in (one, other))
     j = a.select("id", F.col("passed").alias("pa")).join(b.select("id", F.col("passed").alias("pb")), "id")
     return j.agg(F.count("*").alias("common"), F.count_if(F.expr("pa and not pb")).alias("wins"), F.count_if(F.expr("pb and not pa")).alias("losses"), F.count_if(F.expr("pa = pb")).alias("concordant"))
 
 
 def mcnemar(spark, d):
-    """Exact two-sided test of the comparison; the pairs are two counts by then."""
-    r = arm_comparison(spark, d).first()
-    return spark.createDataFrame([(r.wins, r.losses, round(S.mcnemar_exact(r.wins, r.losses), 9))], "wins bigint, losses bigint, p double")
+    """Exact two-sided test of the comparison, worked out on its one row of counts when the query runs."""
+
+    def test(parts):
+        for df in parts:
+            yield df.assign(p=[round(S.mcnemar_exact(w, x), 9) for w, x in zip(df["wins"], df["losses"], strict=True)])
 
+    return arm_comparison(spark, d).select("wins", "losses").mapInPandas(test, "wins bigint, losses bigint, p double")
 
-def judge_agreement_board(spark, d):
+
+def judge_agreement_board(spark, d, judge="panel-x"):
     h = table(spark, d, "judge_agreement").withColumn("v", S.verdict_key(F.col("verdict"))).where("v is not null").groupBy("id").agg(F.min("v").alias("v"))
-    j = _scored(spark, d).where("run_tag = 'panel-x'")
-    return S.agreement(j, h)
+    return S.agreement(_scored(spark, d).where(F.col("run_tag") == judge), h)
 
 
 def stratified_sample(spark, d):
@@ -98,9 +128,9 @@ def stratified_sample(spark, d):
     return S.even_sample(q, "stratum", "id", 0.2)
 
 
-def blind_rows(spark, d):
+def blind_rows(spark, d, system="hybrid"):
     """What a blind grader sees of one system: no verdict, no cost."""
-    return table(spark, d, "bench_verdicts").where("system = 'hybrid'").drop("verdict", "judge_cost_usd", "graded_at", "system").distinct()
+    return table(spark, d, "bench_verdicts").where(F.col("system") == system).drop("verdict", "judge_cost_usd", "graded_at", "system").distinct()
 
 
 def judge_costs(spark, d):
@@ -129,7 +159,14 @@ _ONE = "runs AS (SELECT ask_id, r.question_id, r.stratum, r.gold_route, r.expect
 _V = "regexp_replace(regexp_replace(lower(verdict), '[^a-z]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _SCORED = f"sc AS (SELECT id, run_tag, arg_max(v, (graded_at, v)) AS v, min(stratum) AS stratum FROM (SELECT *, {_V} AS v FROM bench_verdicts) WHERE v IN ('correct', 'partially_correct', 'wrong', 'correct_refusal') GROUP BY id, run_tag)"
 _PASS = "v IN ('correct', 'correct_refusal')"
-_COMMON = f"{_SCORED}, n AS (SELECT * FROM sc WHERE run_tag LIKE 'nightly%'), ok AS (SELECT id FROM n GROUP BY id HAVING count(DISTINCT run_tag) = (SELECT count(DISTINCT run_tag) FROM n))"
+_FAMILY = "regexp_extract(run_tag, '^(.*?)(?:-[^-]*)?$', 1)"
+
+
+def _own_common(rows: str) -> str:
+    """rows(family, arm, key, v) as CTE r."""
+    return f"""r AS ({rows}), arms AS (SELECT family, count(DISTINCT arm) AS arms FROM r GROUP BY family), ok AS (SELECT r.family, key FROM r JOIN arms USING (family) GROUP BY r.family, key, arms HAVING count(DISTINCT arm) = arms),
+e AS (SELECT family, arm, v, 'own' AS scope FROM r UNION ALL SELECT family, arm, v, 'common' FROM r SEMI JOIN ok USING (family, key))
+SELECT family, arm, scope, count(*) AS n, count(*) FILTER ({_PASS}) AS passed, count(*) FILTER (v = 'partially_correct') AS partial, count(*) FILTER (v = 'wrong') AS wrong, round(count(*) FILTER ({_PASS}) / count(*), 6) AS pass_rate FROM e GROUP BY family, arm, scope"""
 
 
 def _maj(name: str, where: str) -> str:
@@ -141,7 +178,7 @@ _COST = "count(*) AS n, count(*) FILTER ({c} IS NULL) AS unpriced, round(sum({c}
 
 QUERIES = {
     f.__name__: f
-    for f in (interface_board, interface_costs, latency_stalls, route_confusion, route_accuracy, scorable_runs, benchmark_board, excluded_ids, majority_votes, repeat_flips, arm_comparison, mcnemar, judge_agreement_board, stratified_sample, blind_rows, judge_costs, cost_per_question, citation_defects, run_gaps)
+    for f in (interface_board, interface_costs, latency_stalls, route_confusion, route_accuracy, scorable_runs, benchmark_board, answer_board, excluded_ids, router_board, eval_set_violations, regenerations, majority_votes, repeat_flips, arm_comparison, mcnemar, judge_agreement_board, stratified_sample, blind_rows, judge_costs, cost_per_question, citation_defects, run_gaps)
 }
 ORACLE = {
     "interface_board": f"""WITH {_ONE}, x AS (SELECT route, latency_ms AS x, row_number() OVER (PARTITION BY route ORDER BY latency_ms) AS r, count(*) OVER (PARTITION BY route) AS n FROM runs WHERE latency_ms >= 0 AND CAST(latency_ms AS VARCHAR) <> 'nan')
@@ -151,8 +188,19 @@ SELECT route, max(n) AS n, round(max(x) FILTER (r = least(n, greatest(1, round_e
     "route_confusion": f"WITH {_ONE} SELECT gold_route, count(*) FILTER (route = 'vector') AS vector, count(*) FILTER (route = 'graph') AS graph, count(*) FILTER (route = 'both') AS \"both\" FROM runs GROUP BY gold_route",
     "route_accuracy": f"WITH {_ONE}, a AS (SELECT gold_route, 'recorded' AS arm, route AS said FROM runs UNION ALL SELECT gold_route, 'always-' || x, x FROM runs, (VALUES ('vector'), ('graph'), ('both')) t(x)) SELECT arm, count(*) AS n, count(*) FILTER (said = gold_route) AS \"right\", count(*) FILTER (said IS NULL) AS unparsed FROM a GROUP BY arm",
     "scorable_runs": f"WITH {_ONE} SELECT stratum, count(*) AS n, count(*) FILTER (status_code = 200 AND NOT expected_fail) AS scorable FROM runs GROUP BY stratum",
-    "benchmark_board": f"WITH {_COMMON} SELECT run_tag, CASE WHEN grouping(stratum) = 1 THEN '(all)' ELSE stratum END AS stratum, count(*) AS n, count(*) FILTER ({_PASS}) AS passed, count(*) FILTER (v = 'partially_correct') AS partial, count(*) FILTER (v = 'wrong') AS wrong FROM n JOIN ok USING (id) GROUP BY GROUPING SETS ((run_tag, stratum), (run_tag))",
-    "excluded_ids": f"WITH {_COMMON} SELECT DISTINCT id FROM n WHERE id NOT IN (SELECT id FROM ok)",
+    "benchmark_board": f"WITH {_SCORED}, {_own_common(f'SELECT {_FAMILY} AS family, run_tag AS arm, id AS key, v FROM sc')}",
+    "answer_board": f"WITH sc AS (SELECT id, system, arg_max(v, (graded_at, v)) AS v FROM (SELECT *, {_V} AS v FROM bench_verdicts) WHERE v IN ('correct', 'partially_correct', 'wrong', 'correct_refusal') GROUP BY id, system), {_own_common("SELECT 'systems' AS family, system AS arm, id AS key, v FROM sc")}",
+    "excluded_ids": f"WITH {_SCORED}, r AS (SELECT {_FAMILY} AS family, run_tag, id FROM sc), a AS (SELECT family, count(DISTINCT run_tag) AS arms FROM r GROUP BY family) SELECT family, id FROM r JOIN a USING (family) GROUP BY family, id, arms HAVING count(DISTINCT run_tag) < arms",
+    "router_board": f"""WITH {_ONE}, a AS (SELECT *, 'recorded' AS arm, route AS said, true AS own FROM runs WHERE gold_route IS NOT NULL UNION ALL SELECT runs.*, 'always-' || x, x, false FROM runs, (VALUES ('vector'), ('graph'), ('both')) t(x) WHERE gold_route IS NOT NULL),
+g AS (SELECT arm, CASE WHEN grouping(stratum) = 1 THEN '(all)' ELSE stratum END AS stratum, count(*) AS n, count(*) FILTER (said = gold_route) AS "right", count(*) FILTER (said IS NULL) AS unparsed, round(count(*) FILTER (said = gold_route) / count(*), 6) AS accuracy,
+ round(avg(latency_ms) FILTER (own AND latency_ms >= 0 AND NOT isnan(latency_ms)), 3) AS mean_ms, round(sum(cost_usd) FILTER (own), 6) AS cost_usd FROM a GROUP BY GROUPING SETS ((arm, stratum), (arm)))
+SELECT *, "right" > max("right") FILTER (arm <> 'recorded') OVER (PARTITION BY stratum) AS beats FROM g""",
+    "eval_set_violations": """WITH r AS (SELECT ask_id, min({'stratum': stratum, 'gold_route': gold_route, 'expected_fail': expected_fail, 'status_code': status_code, 'n': len(sources)}) AS s FROM ask_runs GROUP BY ask_id), x AS (SELECT ask_id, unnest(s) FROM r),
+v AS (SELECT unnest(list_filter([CASE WHEN stratum NOT IN ('out-of-scope', 'unanswerable') AND n = 0 THEN 'no sources' END, CASE WHEN stratum IN ('out-of-scope', 'unanswerable') AND n > 0 THEN 'sources for a refusal' END, CASE WHEN expected_fail AND status_code = 200 THEN 'expected to fail' END, CASE WHEN gold_route IS NULL OR gold_route NOT IN ('vector', 'graph', 'both') THEN 'unknown route' END], lambda z: z IS NOT NULL)) AS rule FROM x
+UNION ALL SELECT 'majority ' || gold_route FROM x GROUP BY gold_route HAVING count(*) > 0.6 * (SELECT count(*) FROM x)) SELECT rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY rule""",
+    "regenerations": f"""WITH {_ONE}, x AS (SELECT question_id, CAST(CASE WHEN stratum IN ('out-of-scope', 'unanswerable') THEN n_citations > 0 ELSE n_citations = 0 END AS BIGINT) AS defects, cost_usd AS cost, row_number() OVER (PARTITION BY question_id ORDER BY ask_id) AS i FROM runs),
+j AS (SELECT a.question_id, coalesce(a.defects, 0) AS d1, a.cost AS c1, coalesce(b.defects, 0) AS d2, b.cost AS c2, b.i IS NOT NULL AS has FROM x a LEFT JOIN x b ON b.question_id = a.question_id AND b.i = 2 WHERE a.i = 1)
+SELECT question_id, CAST(CASE WHEN has AND d2 < d1 THEN 2 ELSE 1 END AS BIGINT) AS attempt, CASE WHEN has AND d2 < d1 THEN d2 ELSE d1 END AS defects, CAST(CASE WHEN has AND d1 > 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts, has AND d2 < d1 AND d2 = 0 AS fixed, round(CASE WHEN has AND d1 > 0 THEN c1 + c2 ELSE c1 END, 6) AS cost FROM j""",
     "majority_votes": f"WITH {_SCORED}, {_maj('a', 'true')} SELECT id, n, passes, 2 * passes > n AS passed, 2 * passes = n AS tied FROM a",
     "repeat_flips": f"WITH {_SCORED}, j AS (SELECT a.stratum, a.v AS va, b.v AS vb, a.{_PASS} AS pa, b.{_PASS} AS pb FROM sc a JOIN sc b USING (id) WHERE a.run_tag = 'e1-run-a' AND b.run_tag = 'e1-run-b') SELECT CASE WHEN grouping(stratum) = 1 THEN '(all)' ELSE stratum END AS stratum, count(*) AS n, count(*) FILTER (va <> vb) AS verdict_flips, count(*) FILTER (pa AND NOT pb) AS a_only, count(*) FILTER (pb AND NOT pa) AS b_only FROM j GROUP BY GROUPING SETS ((stratum), ())",
     "arm_comparison": _ARMS + " SELECT * FROM w",

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import LABEL, approx_tokens, labels_in, words
 from quillgraph.operators import chunks as C
 from quillgraph.operators import lexical as L
 from quillgraph.operators import vector as V
-from quillgraph.operators.assembly import augment, budget_anchor, budget_first, first_per_text, round_robin
-from quillgraph.operators.cite import uncited
+from quillgraph.operators.assembly import budget_anchor, budget_first, first_per_text, rank_shifts, round_robin
+from quillgraph.operators.cite import labels_shown, uncited
 from quillgraph.operators.resolve import chunk_entities
+from quillgraph.operators.route import ENUMERATES_WIDE, enumeration_target
 from quillgraph.operators.scores import loss_split, recall_at
-from quillgraph.plans.runtime import join_sized, table, wide
+from quillgraph.plans.runtime import cut, join_sized, table, wide
+from quillgraph.sources.providers import rerank
+
+#: Sizes of the retention curve.
+RETAINED = (1, 2, 3, 5, 10, 25, 50, 100)
 
 
 def chunk_keys(spark, d):
@@ -62,12 +68,47 @@ def _title_arm(spark, d):
     return L.bm25(c, "chunk_id", "text", q, 5)
 
 
+def _ranked(spark, d, k=10):
+    return L.bm25(table(spark, d, "chunks"), "chunk_id", "text", _questions(spark, d), k)
+
+
+def title_union(spark, d):
+    """Chunks best by text, then those best by title."""
+    return L.ordered_union(_ranked(spark, d, 5), _title_arm(spark, d)).select("qid", "pos", F.col("key").alias("chunk_id"), "arm")
+
+
 def lexical_union(spark, d):
-    return L.ordered_union(L.bm25(table(spark, d, "chunks"), "chunk_id", "text", _questions(spark, d), 5), _title_arm(spark, d)).select("qid", "pos", F.col("key").alias("chunk_id"), "arm")
+    """BM25 first, then full-text search, each chunk at its first place."""
+    return L.ordered_union(_ranked(spark, d, 10), L.full_text(table(spark, d, "chunks"), "chunk_id", "text", _questions(spark, d), 10)).select("qid", "pos", F.col("key").alias("chunk_id"), "arm")
+
+
+def candidate_pool(spark, d):
+    """Vector draw of the stated queries, then mates of the same label in key order, without a score."""
+    e = table(spark, d, "embeddings")
+    q = e.where(F.col("vec_id") % 20 == 0)
+    drawn = V.top_k(e, q, 10)
+    # the first keys of a label, found before any query meets them
+    first = e.groupBy("label", F.col("vec_id").alias("key")).agg(F.count("*").alias("n")).withColumn("pos", F.row_number().over(Window.partitionBy("label").orderBy("key"))).where("pos <= 10")
+    mates = q.select(F.col("vec_id").alias("qid"), "label").join(F.broadcast(first), "label").select("qid", "pos", "key")
+    return L.pool(drawn, mates, 10).select("qid", "pos", F.col("key").alias("vec_id"), "arm", "score")
 
 
 def augmented(spark, d):
-    return augment(_title_arm(spark, d).select("qid", "pos", "key"), L.bm25(table(spark, d, "chunks"), "chunk_id", "text", _questions(spark, d), 5).select("qid", "pos", "key")).select("qid", "pos", F.col("key").alias("chunk_id"), "arm")
+    """Enumerate or rank: the provision a question names or votes for, in statutory order, before what is ranked."""
+    c = table(spark, d, "chunks")
+    q = F.col("question")
+    targets = _questions(spark, d).select("qid", q.rlike(ENUMERATES_WIDE).alias("enumerates"), enumeration_target(q).alias("target"))
+    return C.passages(targets, cut(_ranked(spark, d).select("qid", "pos", "key")), cut(C.provision_of(c))).select("qid", "pos", F.col("key").alias("chunk_id"), "arm")
+
+
+def reranked(spark, d):
+    """Each question's ten best chunks by BM25, reranked by the share of its words they have: places before and after."""
+    q, c = _questions(spark, d), table(spark, d, "chunks").select(F.col("chunk_id").alias("key"), "text")
+    before = cut(_ranked(spark, d).select("qid", "pos", "key"))
+    pairs = join_sized(c, before, ["key"]).join(q, "qid").select("qid", "pos", "question", "text", "key")
+    after = rerank(pairs, 10)
+    again = after.join(before, ["qid", "pos"]).select("qid", F.col("rank").alias("pos"), "key")
+    return rank_shifts(before, again).select("qid", F.col("key").alias("chunk_id"), "before", "after", "shift")
 
 
 def modal_provision(spark, d):
@@ -80,11 +121,12 @@ def vector_topk(spark, d):
 
 
 def vector_index(spark, d):
-    """Approximate search through cells, and how much of the exact result it finds."""
+    """Approximate search through stored cells, and how much of the exact result it finds."""
     e = table(spark, d, "embeddings")
     q = e.where(F.col("vec_id") % 20 == 0)
     cells = max(1, int(e.count() ** 0.5))
-    found = V.top_k_cells(e, q, 10, V.fit_cells(e, cells), max(1, -(-2 * cells // 3)))
+    centroids = V.fit_cells(e, cells)
+    found = V.top_k_cells(cut(V.in_cells(e, centroids)), q, 10, centroids, V.fit_probes(e, centroids, 10))
     exact = V.top_k(e, q, 10)
     both = exact.join(found.select("qid", "key", F.lit(1).alias("hit")), ["qid", "key"], "left")
     return both.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), (F.count("hit") >= 0.9 * F.count("*")).alias("good"))
@@ -94,16 +136,25 @@ def fulltext_topk(spark, d):
     return L.full_text(table(spark, d, "chunks"), "chunk_id", "text", _questions(spark, d), 10).withColumnRenamed("key", "chunk_id")
 
 
+def _asked_runs(spark, d):
+    """The stated set of runs, whose id is divisible by 20, with their question and the labels their answer cited."""
+    r = table(spark, d, "ask_runs").where(F.col("ask_id") % 20 == 0)
+    return _first_rows(r.select("ask_id", "question", "labels"), "ask_id").withColumnRenamed("ask_id", "qid")
+
+
 def retention_curve(spark, d):
-    """How many of a question's lexically best provisions survive a budget of the first n documents, for several n."""
-    ranked = L.bm25(table(spark, d, "chunks"), "chunk_id", "text", _questions(spark, d), 50)
-    gold = L.full_text(table(spark, d, "chunks"), "chunk_id", "text", _questions(spark, d), 10).select("qid", "key")
-    kept = ranked.join(gold, ["qid", "key"], "left_semi").select("pos", F.explode(F.array(*map(F.lit, (1, 2, 3, 5, 10, 25, 50)))).alias("n"))
-    return kept.groupBy("n").agg(F.count_if(F.col("pos") <= F.col("n")).alias("kept"))
+    """How many of the chunks a run cited stand among its question's first n lexical candidates, for several n, beside all it cited."""
+    q = cut(_asked_runs(spark, d))
+    c = table(spark, d, "chunks").select(F.col("chunk_id").alias("key"), "citation_label")
+    gold = cut(join_sized(q.select("qid", F.explode("labels").alias("citation_label")), c, ["citation_label"]).select("qid", "key").distinct())
+    ranked = L.bm25(table(spark, d, "chunks"), "chunk_id", "text", q.select("qid", "question"), max(RETAINED)).select("qid", "pos", "key")
+    each = gold.join(ranked, ["qid", "key"], "left").select("pos", F.explode(F.array(*map(F.lit, RETAINED))).alias("n"))
+    return each.groupBy("n").agg(F.count("*").alias("gold"), F.count_if(F.col("pos") <= F.col("n")).alias("kept"))
 
 
 def similar_vectors(spark, d):
-    return V.similar_pairs(table(spark, d, "embeddings"), "label", 0.3)
+    e = table(spark, d, "embeddings")
+    return V.similar_rows(e, e.where(F.col("vec_id") % 20 == 0), "label", 0.3)
 
 
 def _gold(spark, d):
@@ -124,7 +175,7 @@ def vector_losses(spark, d):
 
 
 def _cited(spark, d):
-    return table(spark, d, "ask_runs").dropDuplicates(["ask_id"]).select("ask_id", "question_id", F.posexplode("labels").alias("pos", "citation_label"))
+    return _first_rows(table(spark, d, "ask_runs").select("ask_id", "question_id", "labels"), "ask_id").select("ask_id", "question_id", F.posexplode("labels").alias("pos", "citation_label"))
 
 
 def hydrated(spark, d):
@@ -141,13 +192,13 @@ def citations_valid(spark, d):
 
 
 def prose_labels(spark, d):
-    a = table(spark, d, "answers").dropDuplicates(["answer_id"]).select("answer_id", labels_in(F.col("answer")).alias("l"))
+    a = _first_rows(table(spark, d, "answers").select("answer_id", "answer", "question"), "answer_id").select("answer_id", labels_in(F.col("answer")).alias("l"))
     return a.where(F.size("l") > 0).select("answer_id", F.array_join("l", "|").alias("labels"))
 
 
 def prose_labels_not_asked(spark, d):
     """Labels an answer names that its question did not."""
-    a = table(spark, d, "answers").dropDuplicates(["answer_id"]).select("answer_id", uncited(F.col("answer"), labels_in(F.col("question"))).alias("l"))
+    a = _first_rows(table(spark, d, "answers").select("answer_id", "answer", "question"), "answer_id").select("answer_id", uncited(F.col("answer"), labels_in(F.col("question"))).alias("l"))
     return a.where(F.size("l") > 0).select("answer_id", F.array_join("l", "|").alias("labels"))
 
 
@@ -174,10 +225,26 @@ def first_budget(spark, d):
 
 
 def anchor_budget(spark, d):
-    names = spark.createDataFrame([(x, ["technical data sheet", "audit trail"]) for x in ("AIA", "GDPR")], "qid string, names array<string>")
+    """Documents of each regulation that name an entity its own chunks are linked to most, first."""
+    named = table(spark, d, "chunks").select(F.col("regulation").alias("qid"), F.explode("entity_ids").alias("name")).groupBy("qid", "name").agg(F.count("*").alias("n"))
+    top = named.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "name"))).where("r <= 5")
+    names = top.groupBy("qid").agg(F.array_sort(F.collect_list("name")).alias("names"))
     return budget_anchor(_docs(spark, d), names, 20).select("qid", F.col("pos").alias("chunk_id"), "hit", "at")
 
 
+def labels_in_prompts(spark, d):
+    """The labels each regulation's first documents show."""
+    c = table(spark, d, "chunks").select("chunk_id", "citation_label")
+    docs = budget_first(_docs(spark, d), 50).withColumnRenamed("pos", "chunk_id").join(c, "chunk_id")
+    return labels_shown(docs.select("qid", "citation_label", "text")).select("qid", F.array_join("labels", "|").alias("labels"))
+
+
+def _first_rows(rows, key):
+    """One row per key, the least of differing ones."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*")
+
+
 _SHAPE = "CASE WHEN annex IS NOT NULL AND point IS NOT NULL THEN 'annex' WHEN article IS NOT NULL AND definition IS NOT NULL THEN 'definition' WHEN article IS NOT NULL AND paragraph IS NOT NULL THEN 'paragraph' END"
 _NORM = r"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'), '^ | $', '', 'g')"
 _QUESTIONS = "q AS (SELECT DISTINCT answer_id AS qid, question FROM answers WHERE answer_id % 20 = 0)"
@@ -193,19 +260,10 @@ def _bm25_sql(name: str, docs: str, k: int) -> str:
 {name} AS (SELECT * FROM (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS pos FROM {name}_r) WHERE pos <= {k})"""
 
 
-def _stem(x: str) -> str:
-    for pattern, to in (("sses$", "ss"), ("ies$", "i"), ("([^su])s$", "\\1"), ("^(.*[aeiou].*[a-z].*?)(?:ing|ed)$", "\\1"), ("([^aeiou])y$", "\\1i")):
-        x = f"regexp_replace({x}, '{pattern}', '{to}')"
-    return x
-
-
-_FULL = f"""fa AS (SELECT DISTINCT qid, {_stem("term")} AS term FROM (SELECT qid, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM q) WHERE length(term) >= 3),
-fp AS (SELECT chunk_id AS key, {_stem("term")} AS term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks) WHERE length(term) >= 3 GROUP BY ALL),
-ft AS (SELECT * FROM (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS pos FROM (SELECT qid, key, round(sum(tf) * 0.1, 6) AS score FROM fa JOIN fp USING (term) GROUP BY qid, key)) WHERE pos <= 10)"""
 _CHUNKS, _TITLES = "SELECT chunk_id AS key, text FROM chunks", "SELECT chunk_id AS key, coalesce(article_title, annex_title) AS text FROM chunks WHERE coalesce(article_title, annex_title) IS NOT NULL"
 _DOCS = "docs AS (SELECT regulation AS qid, coalesce(article, definition, 0) AS call, chunk_id AS pos, text FROM chunks)"
 _SIM = "sims AS (SELECT q.vec_id AS qid, e.vec_id AS key, q.label, e.label AS other, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0), top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, key) AS pos FROM sims)"
-_PIECES = "(SELECT ask_id, any_value(question_id) AS question_id, any_value(labels) AS labels FROM ask_runs GROUP BY ask_id)"
+_PIECES = "(SELECT ask_id, r.labels AS labels FROM (SELECT ask_id, min({'question_id': question_id, 'labels': labels}) AS r FROM ask_runs GROUP BY ask_id))"
 
 
 def _labels(x: str) -> str:
@@ -219,9 +277,9 @@ def _first_seen(x: str) -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (chunk_keys, chunk_violations, chunk_status, provisions, chunk_entity_index, entity_sources_differ, bm25_topk, term_statistics, lexical_union, augmented, modal_provision, vector_topk, vector_index, fulltext_topk, retention_curve, similar_vectors, vector_recall, vector_losses, hydrated, citations_valid, prose_labels, prose_labels_not_asked, text_sizes, interleaved, distinct_texts, first_budget, anchor_budget)
+    for f in (chunk_keys, chunk_violations, chunk_status, provisions, chunk_entity_index, entity_sources_differ, bm25_topk, term_statistics, title_union, lexical_union, candidate_pool, augmented, reranked, modal_provision, vector_topk, vector_index, fulltext_topk, retention_curve, similar_vectors, vector_recall, vector_losses, hydrated, citations_valid, prose_labels, prose_labels_not_asked, text_sizes, interleaved, distinct_texts, first_budget, anchor_budget, labels_in_prompts)
 }
-for _name in ("chunk_keys", "provisions", "entity_sources_differ", "bm25_topk", "lexical_union", "augmented", "fulltext_topk", "vector_topk", "hydrated", "text_sizes", "interleaved", "first_budget", "anchor_budget", "retention_curve"):
+for _name in ("chunk_keys", "provisions", "entity_sources_differ", "bm25_topk", "title_union", "lexical_union", "candidate_pool", "augmented", "reranked", "fulltext_topk", "vector_topk", "hydrated", "text_sizes", "interleaved", "first_budget", "anchor_budget", "retention_curve"):
     QUERIES[_name] = wide(QUERIES[_name])
 _ROMAN = "list_position(['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII'], annex)"
 ORACLE = {
@@ -237,16 +295,27 @@ b AS (SELECT chunk_id, list(canonical_name ORDER BY canonical_name) AS names FRO
 SELECT chunk_id, coalesce(len(stored), 0) AS n_stored, coalesce(len(names), 0) AS n_named FROM a FULL JOIN b USING (chunk_id) WHERE stored IS DISTINCT FROM names""",
     "bm25_topk": f"WITH {_QUESTIONS}, {_bm25_sql('b', _CHUNKS, 10)} SELECT qid, pos, key AS chunk_id, score FROM b",
     "term_statistics": f"WITH {_QUESTIONS}, {_bm25_sql('b', _CHUNKS, 10)} SELECT term, df, round(idf, 6) AS idf FROM b_i",
-    "lexical_union": f"""WITH {_QUESTIONS}, {_bm25_sql("b", _CHUNKS, 5)}, {_bm25_sql("t", _TITLES, 5)}, u AS (SELECT qid, 0 AS arm, pos, key FROM b UNION ALL SELECT qid, 1, pos, key FROM t),
+    "title_union": f"""WITH {_QUESTIONS}, {_bm25_sql("b", _CHUNKS, 5)}, {_bm25_sql("t", _TITLES, 5)}, u AS (SELECT qid, 0 AS arm, pos, key FROM b UNION ALL SELECT qid, 1, pos, key FROM t),
 m AS (SELECT qid, key, min((arm, pos)) AS w FROM u GROUP BY qid, key) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY w, key) AS pos, key AS chunk_id, w[1] AS arm FROM m""",
-    "augmented": f"""WITH {_QUESTIONS}, {_bm25_sql("b", _CHUNKS, 5)}, {_bm25_sql("t", _TITLES, 5)}, u AS (SELECT qid, key, 0 AS arm, pos FROM t UNION ALL SELECT qid, key, 1, pos FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.qid = b.qid AND t.key = b.key))
+    "candidate_pool": f"""WITH {_SIM}, first AS (SELECT * FROM (SELECT label, vec_id AS key, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM (SELECT DISTINCT label, vec_id FROM embeddings)) WHERE pos <= 10),
+u AS (SELECT qid, 0 AS arm, pos, key, similarity AS score FROM top WHERE pos <= 10 UNION ALL SELECT q.vec_id, 1, f.pos, f.key, NULL FROM embeddings q JOIN first f USING (label) WHERE q.vec_id % 20 = 0 AND NOT EXISTS (SELECT 1 FROM top t WHERE t.pos <= 10 AND t.qid = q.vec_id AND t.key = f.key))
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY arm, pos) AS pos, key AS vec_id, arm, score FROM u""",
+    "reranked": f"""WITH {_QUESTIONS}, {_bm25_sql("b", _CHUNKS, 10)}, o AS (SELECT b.qid, pos, key, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS w, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM b JOIN q USING (qid) JOIN chunks ON chunk_id = key),
+r AS (SELECT qid, pos, key, row_number() OVER (PARTITION BY qid ORDER BY round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, t)) / len(w) END, 6) DESC, pos) AS after FROM o) SELECT qid, key AS chunk_id, pos AS before, after, pos - after AS shift FROM r""",
+    "labels_in_prompts": f"""WITH {_DOCS}, f AS (SELECT qid, pos, text FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS n FROM docs) WHERE n <= 50), l AS (SELECT qid, citation_label AS l FROM f JOIN chunks ON chunk_id = pos UNION SELECT qid, unnest({_labels("text")}) FROM f)
+SELECT qid, string_agg(l, '|' ORDER BY l) AS labels FROM (SELECT DISTINCT qid, regexp_replace(trim(l), '\\s+', ' ', 'g') AS l FROM l WHERE l IS NOT NULL) GROUP BY qid""",
+    "augmented": f"""WITH {_QUESTIONS}, {_bm25_sql("b", _CHUNKS, 10)}, pr AS (SELECT regulation || ' ' || replace(provision, 'art ', 'article ') AS target, row_number() OVER (PARTITION BY regulation, provision ORDER BY section NULLS FIRST, o, chunk_id) AS at_, chunk_id FROM (SELECT *, coalesce(paragraph, definition, point) AS o, count(*) OVER (PARTITION BY regulation, provision) AS n FROM (SELECT *, coalesce('art ' || article, 'annex ' || annex) AS provision FROM chunks)) WHERE n <= 16),
+x AS (SELECT qid, question, lower(question) AS l FROM q), y AS (SELECT *, CASE WHEN regexp_matches(l, '\\bgdpr\\b') THEN 'GDPR' ELSE 'AIA' END AS reg, regexp_extract(l, '\\bannex\\s+([ivx]+)\\b', 1) AS an, regexp_extract(l, '\\barticles?\\s+(\\d+)\\b', 1) AS ar FROM x),
+z AS (SELECT qid, CASE WHEN an IN ('i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii','xiii') THEN reg || ' annex ' || upper(an) WHEN ar <> '' THEN reg || ' article ' || ar END AS target FROM y WHERE regexp_matches(question, '{ENUMERATES_WIDE}')),
+v AS (SELECT qid, target, count(*) AS n, min(pos) AS best FROM b JOIN pr ON chunk_id = key GROUP BY qid, target), mo AS (SELECT qid, arg_min(target, (-n, best, target)) AS modal FROM v GROUP BY qid),
+li AS (SELECT z.qid, at_ AS pos, chunk_id AS key FROM z LEFT JOIN mo USING (qid) JOIN pr ON pr.target = coalesce(z.target, modal)),
+u AS (SELECT qid, 0 AS arm, pos, key FROM li UNION ALL SELECT qid, 1, pos, key FROM b WHERE pos <= 5 AND NOT EXISTS (SELECT 1 FROM li WHERE li.qid = b.qid AND li.key = b.key))
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY arm, pos) AS pos, key AS chunk_id, arm FROM u""",
     "modal_provision": f"""WITH {_QUESTIONS}, {_bm25_sql("b", _CHUNKS, 10)}, v AS (SELECT qid, regexp_extract(key, '^[a-z0-9]+-(art|annex)\\d+') AS provision, count(*) AS votes, min(pos) AS best FROM b GROUP BY ALL)
 SELECT qid, arg_min(provision, (-votes, best, provision)) AS provision, max(votes) AS votes FROM v GROUP BY qid""",
-    "fulltext_topk": f"WITH {_QUESTIONS}, {_FULL} SELECT qid, pos, key AS chunk_id, score FROM ft",
-    "retention_curve": f"WITH {_QUESTIONS}, {_bm25_sql('b', _CHUNKS, 50)}, {_FULL}, k AS (SELECT b.pos FROM b JOIN ft USING (qid, key)) SELECT n, count(*) FILTER (pos <= n) AS kept FROM k, (VALUES (1), (2), (3), (5), (10), (25), (50)) t(n) GROUP BY n",
+    "retention_curve": f"""WITH q AS (SELECT ask_id AS qid, r.question AS question, r.labels AS labels FROM (SELECT ask_id, min({{'question': question, 'labels': labels}}) AS r FROM ask_runs WHERE ask_id % 20 = 0 GROUP BY ask_id)), {_bm25_sql('b', _CHUNKS, 100)}, g AS (SELECT DISTINCT qid, chunk_id AS key FROM (SELECT qid, unnest(labels) AS citation_label FROM q) JOIN chunks USING (citation_label)), k AS (SELECT pos FROM g LEFT JOIN b USING (qid, key)) SELECT n, count(*) AS gold, count(*) FILTER (pos <= n) AS kept FROM k, (VALUES {", ".join(f"({n})" for n in RETAINED)}) t(n) GROUP BY n""",
     "vector_topk": f"WITH {_SIM} SELECT qid, pos, key AS vec_id, similarity FROM top WHERE pos <= 10",
-    "similar_vectors": "SELECT * FROM (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE similarity >= 0.3",
+    "similar_vectors": "SELECT * FROM (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0) WHERE similarity >= 0.3",
     "vector_recall": f"WITH {_SIM}, p AS (SELECT qid, count(*) FILTER (label = other) AS gold, count(*) FILTER (label = other AND pos <= 10) AS hits FROM top GROUP BY qid) SELECT sum(gold) AS gold, sum(hits) AS hits, round(sum(hits) / sum(gold), 6) AS recall, round(avg((hits > 0)::INT), 6) AS hit_rate FROM p",
     "vector_losses": f"""WITH {_SIM}, p AS (SELECT qid, CAST(any_value(label) AS VARCHAR) AS stratum, count(*) FILTER (label = other) AS gold, count(*) FILTER (label = other AND pos <= 50) AS pooled, count(*) FILTER (label = other AND pos <= 5) AS found FROM top GROUP BY qid)
 SELECT CASE WHEN grouping(stratum) = 1 THEN '(all)' ELSE stratum END AS stratum, sum(gold) AS gold, sum(least(gold, 5)) AS cap, sum(least(pooled, 5)) AS oracle, sum(found) AS found, sum(gold - pooled) AS retrieval_loss, sum(pooled - least(pooled, 5)) AS cap_loss, sum(least(pooled, 5) - found) AS order_loss FROM p GROUP BY GROUPING SETS ((stratum), ())""",
@@ -258,10 +327,10 @@ SELECT CASE WHEN grouping(stratum) = 1 THEN '(all)' ELSE stratum END AS stratum,
     "interleaved": f"WITH {_DOCS} SELECT qid, call, pos AS chunk_id, \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY turn, call) AS \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY qid, call ORDER BY pos) AS turn FROM docs)) WHERE \"at\" <= 50",
     "distinct_texts": f"WITH {_DOCS} SELECT qid, min(pos) AS chunk_id FROM docs GROUP BY qid, text",
     "first_budget": f"WITH {_DOCS} SELECT qid, pos AS chunk_id, \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS \"at\" FROM docs) WHERE \"at\" <= 50",
-    "anchor_budget": f"WITH {_DOCS} SELECT qid, pos AS chunk_id, hit, \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hit DESC, pos) AS \"at\" FROM (SELECT *, qid IN ('AIA', 'GDPR') AND (contains(lower(text), 'technical data sheet') OR contains(lower(text), 'audit trail')) AS hit FROM docs)) WHERE \"at\" <= 20",
+    "anchor_budget": f"""WITH {_DOCS}, nm AS (SELECT qid, list(name) AS names FROM (SELECT qid, name, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, name) AS r FROM (SELECT regulation AS qid, unnest(entity_ids) AS name FROM chunks) GROUP BY qid, name) WHERE r <= 5 GROUP BY qid)
+SELECT qid, pos AS chunk_id, hit, "at" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hit DESC, pos) AS "at" FROM (SELECT qid, pos, coalesce(len(list_filter(names, lambda x: x <> '' AND contains(lower(text), lower(x)))) > 0, false) AS hit FROM docs LEFT JOIN nm USING (qid))) WHERE "at" <= 20""",
 }
 for _name, _text, _sums in (("vector_recall", "recall, hit_rate", "gold hits"), ("vector_losses", "stratum", "gold cap oracle found retrieval_loss cap_loss order_loss")):
     ORACLE[_name] = f"SELECT {_text}, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _sums.split())} FROM ({ORACLE[_name]})"
-for _name, _ints in (("lexical_union", ("arm",)), ("augmented", ("arm",)), ("interleaved", ("call",)), ("retention_curve", ("n",)), ("chunk_keys", ())):
+for _name, _ints in (("title_union", ("arm",)), ("candidate_pool", ("arm",)), ("augmented", ("arm",)), ("interleaved", ("call",)), ("retention_curve", ("n",)), ("chunk_keys", ())):
     ORACLE[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _ints)}) FROM ({ORACLE[_name]})" if _ints else ORACLE[_name]
-ORACLE["fulltext_topk"] = f"SELECT * REPLACE (CAST(score AS DOUBLE) AS score) FROM ({ORACLE['fulltext_topk']})"

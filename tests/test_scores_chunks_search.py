@@ -117,9 +117,130 @@ def test_cells_find_most_and_full_text_stems(spark):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id bigint, embedding array<float>")
     q = df.where("vec_id % 20 = 0")
     exact = {(r.qid, r.key) for r in V.top_k(df, q, 10).collect()}
-    found = {(r.qid, r.key) for r in V.top_k_cells(df, q, 10, V.fit_cells(df, 16), 4).collect()}
+    cells = V.fit_cells(df, 16)
+    found = {(r.qid, r.key) for r in V.top_k_cells(V.in_cells(df, cells), q, 10, cells, V.fit_probes(df, cells, 10)).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
-    assert V.top_k_cells(df, q, 3, V.fit_cells(df.limit(0), 4), 2).count() == 0
+    assert V.fit_probes(df, cells, 10) < 16 and V.fit_probes(df.limit(0), cells, 10) == 1
+    assert V.top_k_cells(V.in_cells(df, cells).limit(0), q, 3, cells, 2).count() == 0 and len(V.fit_cells(df.limit(0), 4)) == 0
     docs = spark.createDataFrame([("a", "duties applied twice, duty"), ("b", "processing of classes"), ("c", None)], "k string, t string")
     asked = spark.createDataFrame([(1, "applying a duty"), (2, "class processes"), (3, "of a")], "qid int, question string")
     assert [(r.qid, r.key, r.score) for r in L.full_text(docs, "k", "t", asked, 5).orderBy("qid").collect()] == [(1, "a", 0.3), (2, "b", 0.2)]
+
+
+def test_values_at_ranks_with_ties_and_a_hot_group(spark):
+    rng = np.random.default_rng(0)
+    groups = {"hot": np.round(rng.lognormal(3, 2, 5000), 1), "ties": np.repeat([1.0, 2.0, 3.0], [500, 1, 499]), None: np.array([7.0]), "two": np.array([2.0, 1.0])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("hot", None), ("hot", float("nan")), ("none", None)]
+    got = {r.k: r for r in S.ranked_percentiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x").collect()}
+    assert got.keys() == groups.keys()
+    for k, v in groups.items():
+        v, n = np.sort(v), len(v)
+        assert got[k].n == n and got[k].median == (v[(n + 1) // 2 - 1] + v[min(n // 2 + 1, n) - 1]) / 2
+        assert got[k].p95_v1 == v[min(n, max(1, round(0.95 * n + 0.5))) - 1] and got[k].p95_v2 == v[max(1, round(0.95 * n)) - 1]
+
+
+def test_lexical_search_agrees_with_brute_force(spark, monkeypatch):
+    import math
+    import re
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = {f"d{i:02d}": " ".join(rng.choice(words, rng.integers(0, 30))) for i in range(70)} | {"empty": "", "null": None}
+    asked = {i: " ".join(rng.choice(words, 4)) for i in range(9)} | {50: "", 51: None, 52: "nothing here"}
+    docs = spark.createDataFrame(list(texts.items()), "k string, t string")
+    q = spark.createDataFrame(list(asked.items()), "qid bigint, question string")
+    monkeypatch.setattr(L, "BLOCK", 6)
+    monkeypatch.setattr(L, "TILE", 200)
+    tf = {k: Counter(re.findall("[a-z0-9]+", t or "")) for k, t in texts.items()}
+    n, mean = len(tf), sum(sum(c.values()) for c in tf.values()) / len(tf)
+    df = Counter(w for c in tf.values() for w in c)
+    score = lambda q, c: sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in set((q or "").split()) & c.keys())
+    want = {(i, p): k for i, x in asked.items() for p, (_, k) in enumerate(sorted((-round(score(x, c), 6), k) for k, c in tf.items() if score(x, c) > 0)[:5], 1)}
+    assert {(r.qid, r.pos): r.key for r in L.bm25(docs, "k", "t", q, 5).collect()} == want
+    assert L.bm25(docs.limit(0), "k", "t", q, 5).count() == 0 and L.bm25(docs, "k", "t", q.limit(0), 5).count() == 0
+
+
+def test_stems():
+    from quillgraph.functions.stems import stem
+
+    # fixed values: published examples of the Porter2 rules
+    pairs = "consign consign consigned consign consistency consist knack knack knackeries knackeri knives knive caresses caress flies fli dies die mules mule denied deni died die agreed agre owned own humbled humbl sized size meeting meet stating state itemization item sensational sensat traditional tradit reference refer colonizer colon plotted plot hopping hop hoping hope generate generat generously generous skies sky dying die news news inning inning exceed exceed".split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+
+
+def test_pool_passages_and_lists(spark):
+    from quillgraph.operators import assembly as A
+
+    r = spark.createDataFrame([(1, 1, "a", 0.9), (1, 2, "b", 0.8)], "qid int, pos int, key string, similarity double")
+    x = spark.createDataFrame([(1, 1, "b"), (1, 2, "c"), (1, 3, "d")], "qid int, pos int, key string")
+    assert [(p.key, p.score) for p in L.pool(r, x, 2).orderBy("pos").collect()] == [("a", 0.9), ("b", 0.8), ("c", None)] and L.pool(r, x, 0).count() == 2
+    prov = spark.createDataFrame([("AIA article 9", i, f"p{i}") for i in (1, 2)] + [("AIA article 8", 1, "q1")], "target string, at int, chunk_id string")
+    t = spark.createDataFrame([(1, True, "AIA article 9"), (2, True, None), (3, False, "AIA article 9"), (4, True, "AIA article 99")], "qid int, enumerates boolean, target string")
+    ranked = spark.createDataFrame([(q, i + 1, k) for q in (1, 2, 3, 4) for i, k in enumerate(("p2", "q1", "x", "y", "z", "u"))], "qid int, pos int, key string")
+    got: dict = {}
+    for p in C.passages(t, ranked, prov).orderBy("qid", "pos").collect():
+        got.setdefault(p.qid, []).append(p.key)
+    assert got == {1: ["p1", "p2", "q1", "x", "y", "z"], 2: ["p1", "p2", "q1", "x", "y", "z"], 3: ["p2", "q1", "x", "y", "z"], 4: ["p2", "q1", "x", "y", "z"]}
+    shift = {s.key: (s.before, s.after, s["shift"]) for s in A.rank_shifts(x, x.where("key <> 'b'").withColumn("pos", F.col("pos") - 1)).collect()}
+    assert shift == {"b": (1, None, None), "c": (2, 1, 1), "d": (3, 2, 1)}
+    assert [tuple(o) for o in A.overlap(r, x).collect()] == [(1, 2, 3, 1)]
+    rel = spark.createDataFrame([(1, 1, 0.2), (1, 2, 0.7), (1, 3, 0.7)], "qid int, pos int, relevance double")
+    assert [b.key for b in A.budget_rerank(x, rel, 2).orderBy("at").collect()] == ["c", "d"]
+    assert [m.qid for m in C.missing(spark.createDataFrame([(1, None), (2, "v")], "qid int, v string"), "qid", "v").collect()] == [1]
+    docs = spark.createDataFrame([("a", "A"), ("c", "C")], "id string, text string")
+    rep = C.replayed(spark.createDataFrame([(1, ["c", "zz", "a", "c"])], "qid int, o array<string>"), "qid", "o", docs, "id", 3)
+    assert [(y.pos, y.text) for y in rep.orderBy("pos").collect()] == [(0, "C"), (2, "A")]
+
+
+def test_boards_of_runs(spark):
+    v = spark.createDataFrame([("f", "f-1", "a", "correct"), ("f", "f-1", "b", "wrong"), ("f", "f-2", "a", "partially_correct"), ("g", "g-1", "z", "correct_refusal")], "family string, arm string, id string, v string")
+    got = {(r.arm, r.scope): (r.n, r.passed, r.partial, r.wrong) for r in S.own_and_common(v, "arm", "id", F.col("family")).collect()}
+    assert got == {("f-1", "own"): (2, 1, 0, 1), ("f-1", "common"): (1, 1, 0, 0), ("f-2", "own"): (1, 0, 1, 0), ("f-2", "common"): (1, 0, 1, 0), ("g-1", "own"): (1, 1, 0, 0), ("g-1", "common"): (1, 1, 0, 0)}
+    runs = spark.createDataFrame([("graph", "graph", "s", 2.0, 1.0), ("graph", "graph", "s", float("nan"), None), ("both", None, "t", -1.0, 0.5)], "gold_route string, route string, stratum string, latency_ms double, cost_usd double")
+    b = {(r.arm, r.stratum): r for r in S.router_board(runs).collect()}
+    assert (b["recorded", "(all)"].right, b["recorded", "(all)"].unparsed, b["recorded", "(all)"].mean_ms, b["recorded", "(all)"].beats) == (2, 1, 2.0, False) and b["always-graph", "s"].right == 2
+    rows = spark.createDataFrame([(1, "two-hop", "graph", False, 200, 0), (2, "unanswerable", "graph", True, 200, 3), (3, "two-hop", "x", False, 500, 1)], "id int, stratum string, gold_route string, expected_fail boolean, status_code int, n_sources int")
+    assert {tuple(r) for r in S.set_violations(rows).collect()} == {(1, "no sources"), (2, "sources for a refusal"), (2, "expected to fail"), (3, "unknown route"), (None, "majority graph")}
+    cost = S.analytic_cost(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "q string, cost_usd double"), spark.createDataFrame([("a", 0.5)], "q string, cost_usd double"), "q")
+    assert {r.q: r.total_usd for r in cost.collect()} == {"a": 1.5, "b": None}
+    assert S.untagged(spark.createDataFrame([(None,), ("x",), (" ",)], "run_tag string")).count() == 2
+    assert spark.createDataFrame([(1.0, None)], "a double, b double").select(S.stage_latency("a", "b").alias("x")).first().x == 1.0
+
+
+def test_linker_and_selector_boards(spark):
+    strata = spark.createDataFrame([(1, "s"), (2, "s")], "qid int, stratum string")
+    links = spark.createDataFrame([(1, "x", False), (1, "y", True)], "qid int, name string, ambiguous boolean")
+    gold = spark.createDataFrame([(1, "x"), (1, "z"), (2, "x")], "qid int, name string")
+    b = {(r.arm, r.stratum): (r.rows, r.linked_rows, r.linked, r.in_gold, r.gold, r.precision) for r in S.linker_board(strata, links, gold).collect()}
+    assert b["all", "(all)"] == (2, 1, 2, 1, 3, 0.5) and b["unambiguous", "s"] == (2, 1, 1, 1, 3, 1.0)
+    calls = spark.createDataFrame([(1, 0), (1, 1)], "qid int, call int")
+    found = spark.createDataFrame([(1, 0, "c1"), (1, 0, "c9")], "qid int, call int, chunk string")
+    offered = spark.createDataFrame([(1, 7, "c1"), (1, 7, "c2"), (2, 8, "n")], "qid int, call int, chunk string")
+    r = S.selector_board(calls, found, offered, spark.createDataFrame([(1, "c1"), (1, "c2"), (2, "c3")], "qid int, chunk string")).first()
+    assert (r.n, r.gold_total, r.gold_hit, r.rows_with_a_hit, r.calls, r.empty_calls, r.oracle, r.ceiling_anchor) == (2, 3, 1, 1, 2, 1, 2, 2)
+
+
+def test_similar_rows_agree_with_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(80, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, i % 3, [float(x) for x in v]) for i, v in enumerate(m)] + [(90, 0, None), (91, None, [1.0] * 4)], "vec_id bigint, label int, embedding array<float>")
+    monkeypatch.setattr(V, "BLOCK", 5)
+    n = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    want = {(a, b) for a in range(0, 80, 5) for b in range(80) if a != b and a % 3 == b % 3 and round(float(n[a] @ n[b]), 6) >= 0.5}
+    assert {(r.a, r.b) for r in V.similar_rows(df, df.where("vec_id % 5 = 0"), "label", 0.5).collect()} == want
+
+
+def test_better_of_two_answers_and_labels_shown(spark):
+    from quillgraph.operators import cite
+
+    rows = [(1, 1, 2, 0.1), (1, 2, 0, 0.2), (2, 1, 1, 0.1), (2, 2, 1, None), (3, 1, 0, 0.1), (3, 2, 0, 9.0), (4, 1, 3, 0.5)]
+    got = {r.qid: (r.attempt, r.defects, r.attempts, r.fixed, r.cost) for r in cite.keep_better(spark.createDataFrame(rows, "qid int, attempt int, defects bigint, cost double")).collect()}
+    assert got == {1: (2, 0, 2, True, pytest.approx(0.3)), 2: (1, 1, 2, False, None), 3: (1, 0, 1, False, 0.1), 4: (1, 3, 1, False, 0.5)}
+    d = spark.createDataFrame([(1, "AIA  Art. 9(1)", "x (AIA Art. 26(1), AIA Annex III, +9 more)"), (1, None, None)], "qid int, citation_label string, text string")
+    assert cite.labels_shown(d).first().labels == ["AIA Annex III", "AIA Art. 26(1)", "AIA Art. 9(1)"]
+    j = spark.createDataFrame([(["a"], ["a", "b"]), (["c"], ["a"]), ([], [])], "c array<string>, r array<string>")
+    assert [r.x for r in j.select(cite.all_allowed(F.col("c"), F.col("r")).alias("x")).collect()] == [True, False, True]
+    kept = spark.createDataFrame([(1, "d0")], "qid int, document_id string")
+    each = cite.fan_out(kept, spark.createDataFrame([(1, "d0", ["c1", "c2"])], "qid int, document_id string, provenance array<string>"), spark.createDataFrame([("c1", "L1")], "chunk_id string, citation_label string"))
+    assert {(r.chunk_id, r.citation_label) for r in each.collect()} == {("c1", "L1"), ("c2", None)}
