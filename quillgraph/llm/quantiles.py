@@ -187,8 +187,8 @@ def day_summaries(values: DataFrame, eps: float = EPS) -> DataFrame:
     """One summary per day, route and metric, through summaries of partitions and a fan-in of them."""
     keys = ["day", "route", "metric"]
     parts = partition_summaries(values, keys, "x", eps * LEVELS[0])
-    if values.rdd.getNumPartitions() > FAN_IN:  # so many summaries of a group are first merged in several tasks
-        parts = combine(parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(FAN_IN))), [*keys, "salt"], eps * LEVELS[1])
+    # the summaries of a group, one per partition, are first merged in several tasks
+    parts = combine(parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(FAN_IN))), [*keys, "salt"], eps * LEVELS[1])
     return combine(parts, keys, eps * LEVELS[2])
 
 

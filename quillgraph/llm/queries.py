@@ -77,7 +77,7 @@ def _sized(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limits = table(spark, sf_dir, "size_limits").where(F.col("unit") == "tokens").select("capacity").distinct().limit(1000).collect()
+    limits = table(spark, sf_dir, "size_limits").where(F.col("unit") == "tokens").select("capacity").distinct().collect()  # a table of settings
     return pack_items(_sized(spark, sf_dir), "doc_id", "n_tokens", [r.capacity for r in limits])
 
 

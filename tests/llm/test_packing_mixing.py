@@ -52,13 +52,36 @@ def test_permutation_hits_all_once(n):
     assert sorted(M.permute(np.arange(n), n, "k").tolist()) == list(range(n))
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 65, 1000])
+def test_permutation_back(n):
+    x = np.arange(n)
+    assert (M.permute(M.permute(x, n, "k"), n, "k", back=True) == x).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcde"), st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=2))
+def test_repairs_move_every_slot_too_many_to_a_draw_that_lacks(sources):
+    drawn, quota = ({s: x[i] for s, x in sources.items()} for i in (0, 1))
+    first = min(quota)
+    quota[first] += sum(drawn.values()) - sum(quota.values())
+    if quota[first] < 0:
+        return
+    surplus, lacking = M.repairs(drawn, quota)
+    new = [k for n, k0 in surplus.values() for k in range(k0, k0 + n)]
+    made = []
+    for k in new:
+        s, at, begin = [x for x in lacking if x[1] <= k][-1]
+        made.append((s, begin + k - at))
+    assert sorted(made) == sorted((s, j) for s in quota for j in range(drawn[s], quota[s])) and all(n == drawn[s] - quota[s] for s, (n, _) in surplus.items())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(0, 5000), st.floats(0, 1), st.integers(0, 4)), min_size=1), st.sampled_from([None, 100, 5000]))
 def test_due_respects_repeats(sources, total):
     got = M.due({s: t for s, (t, _, _) in sources.items()}, {s: (w, r) for s, (_, w, r) in sources.items()}, 10, total)
     for s, b in got.items():
         t, w, r = sources[s]
-        assert t > 0 and w > 0 and 0 <= b <= r * max(1, t // 10)
+        assert t > 0 and w > 0 and 0 <= b <= r * -(-t // 10)
 
 
 def _sized(spark):
@@ -78,18 +101,34 @@ def test_mix_shares_repeats_and_whole_blocks(spark, monkeypatch):
     slots = {}
     for r in rows:
         slots.setdefault((r.shard, r.slot), []).append(r)
-    assert all(sum(x.n for x in v) == 20 and len({(x.source, x.block, x.repeat) for x in v}) == 1 for v in slots.values())
+    last = {"big": -(-s["big"].tokens_held // 20) - 1, "small": s["small"].tokens_held // 20 - (s["small"].tokens_held % 20 == 0)}
+    full = lambda x: 20 if x.block < last[x.source] else s[x.source].tokens_held - 20 * last[x.source]
+    assert all(sum(x.n for x in v) == full(v[0]) and len({(x.source, x.block, x.repeat) for x in v}) == 1 for v in slots.values())
     assert all([x.part for x in sorted(v, key=lambda x: x.part)] == np.concatenate([[0], np.cumsum([x.n for x in sorted(v, key=lambda x: x.part)])[:-1]]).tolist() for v in slots.values())
     assert abs(s["small"].actual_share - 0.25) < 0.02 and s["absent"].tokens == 0 and s["small"].repeats <= 3 and s["big"].repeats == 1
     used = {}
     for (_, _), v in slots.items():
         used[v[0].source, v[0].block] = used.get((v[0].source, v[0].block), 0) + 1
     assert max(n for (x, _), n in used.items() if x == "big") == 1 and max(n for (x, _), n in used.items() if x == "small") <= 3
-    assert {r.source: r.tokens for r in shares.collect()}["small"] == sum(r.n for r in rows if r.source == "small")
+    for source in ("big", "small"):
+        assert s[source].tokens == sum(r.n for r in rows if r.source == source)
+    assert {(x, last[x]) for x in ("big", "small")} & used.keys()  # short last blocks are drawn too
     again = M.mix(_sized(spark).repartition(7), t, block=20)[0]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
 
 
+def test_tiny_sources_give_all_their_tokens_and_shards_are_many(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_BLOCKS", 2)
+    monkeypatch.setattr(M, "BUCKET_SHARDS", 7)
+    rows = [(i, "big", 25) for i in range(200)] + [(1000, "tiny", 13), (1001, "tiny", 18)]
+    t = spark.createDataFrame([("big", 0.97, 1), ("tiny", 0.03, 4)], TARGETS)
+    col, shares = M.mix(spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens int"), t, block=20)
+    got, s = col.collect(), {r.source: r for r in shares.collect()}
+    assert {(r.doc_id) for r in got if r.source == "tiny"} == {1000, 1001} and len({r.shard for r in got}) > 100
+    assert all(s[x].tokens == sum(r.n for r in got if r.source == x) for x in s) and len({(r.shard, r.slot) for r in got}) == len({(r.shard, r.slot, r.source, r.block, r.repeat) for r in got})
+    assert abs(s["tiny"].actual_share - 0.03) < 0.005 and s["tiny"].repeats <= 4 and s["big"].repeats == 1
+
+
 def test_mix_empty(spark):
     t = spark.createDataFrame([("big", 1.0, 1)], TARGETS)
     assert M.mix(_sized(spark).limit(0), t)[0].count() == 0
@@ -107,7 +146,8 @@ def test_block_tokens_round_trip(spark):
     for r in sorted(col.collect(), key=lambda r: (r.shard, r.slot, r.part)):
         want.setdefault((r.shard, r.slot), []).extend(whole[r.doc_id][r.first : r.first + r.n])
     got = {(r.shard, r.slot): r.tokens for r in M.block_tokens(col, docs).collect()}
-    assert got == want and all(len(v) == 16 for v in got.values())
+    short = sum(len(v) != 16 for v in got.values())
+    assert got == want and short <= 2
     n = {r.doc_id: r.n_tokens for r in sized.collect()}
     assert n == {i: len(v) for i, v in whole.items()}
     assert count_tokens(docs.withColumn("text", F.lit(None).cast("string")).limit(2), "doc_id", "text").first().n_tokens == 0
