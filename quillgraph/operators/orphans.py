@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.functions.unicode import reference_key
-from quillgraph.plans.runtime import cut, join_sized
+from quillgraph.plans.runtime import cut, join_sized, ship
 
 RANGE_BITS = 15
 
@@ -88,6 +88,7 @@ def orphan_references(child: DataFrame, id_col: str, at_col: str, parents: list[
     tables give an empty result (an empty parent makes every reference ``missing``). Further columns, whatever
     their names, are not read.
     """
+    ship(child.sparkSession)
     of = {f: p for p in parents for f in p.fields}
     rows = child.select(
         F.col(id_col).alias("id"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators.best import Best
-from quillgraph.plans.runtime import cut
+from quillgraph.plans.runtime import cut, ship
 
 #: Query vectors held by a task at a time (8,192 of 1,536 dimensions take 100 MB).
 BLOCK = 8192
@@ -41,6 +41,8 @@ TILE = 8 << 20
 def _held(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
     """Ids, unit vectors and groups (or none) of a stated query set asked(qid, v, g?), in blocks of at most BLOCK."""
 
+    ship(asked.sparkSession)
+
     def block(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
         t = rows.select("qid", "v", *(["g"] if "g" in asked.columns else [])).toArrow().combine_chunks()
         v = t.column("v")
@@ -167,6 +169,7 @@ def fit_probes(base: DataFrame, centroids: np.ndarray, k: int, recall: float = 0
 
 def in_cells(base: DataFrame, centroids: np.ndarray, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``cell, key, v``: every vector in its nearest cell."""
+    ship(base.sparkSession)
     shared = base.sparkSession.sparkContext.broadcast(centroids)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -40,12 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per session; a cluster need not have it installed."""
+    """Give the executors' Python workers this package, once per session; a cluster need not have it installed.
+
+    Every operator whose rows pass through Python calls it, itself or by ``cut``. The zip is removed at exit.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_quillgraph_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
     where = Path(tempfile.mkdtemp(prefix="quillgraph-"), "quillgraph.zip")
+    atexit.register(shutil.rmtree, where.parent, ignore_errors=True)
     with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
@@ -69,6 +74,7 @@ def cut(df: DataFrame) -> DataFrame:
     stable, and lets later scans prune columns, which ``checkpoint()`` would not.
     """
     spark = df.sparkSession
+    ship(spark)
     if not _written:
         atexit.register(_remove_all)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"

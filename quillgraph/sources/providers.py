@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.plans.runtime import ship
+
 BATCH, ATTEMPTS = 96, 6
 Provider = Callable[[list[str]], list[str]]
 
@@ -45,6 +47,7 @@ def request_key(request: str = "request", version: str = "1"):
 
 def ask(requests: DataFrame, provider: Provider, kept: DataFrame | None = None, version: str = "1", batch: int = BATCH) -> tuple[DataFrame, DataFrame]:
     """requests(request) -> ``(answers(key, request, answer), new ones only)``; equal requests are asked once."""
+    ship(requests.sparkSession)
     call = with_retries(provider)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,6 +79,7 @@ def hashed_embedding(dim: int = 64) -> Callable[[str], list[float]]:
 
 
 def embed_texts(texts: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
+    ship(texts.sparkSession)
     embed = hashed_embedding(dim)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,6 +97,7 @@ def overlap_relevance(question: str, document: str) -> float:
 
 def rerank(pairs: DataFrame, top: int, relevance: Callable[[str, str], float] = overlap_relevance) -> DataFrame:
     """pairs(qid, pos, question, text): the ``top`` most relevant per question, ties in the order given; a blank text is an error."""
+    ship(pairs.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
