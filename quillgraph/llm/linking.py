@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -21,7 +22,7 @@ from quillgraph.functions.unicode import DASHES, WHITE_SPACE
 from quillgraph.plans.runtime import cut, spread
 
 NONE = "(none)"
-#: The list is broadcast; it may hold this many entries.
+#: Entries a task holds as tries; a longer list is read in parts.
 MOST_ENTRIES = 50_000
 
 # fixed values: words that may stand around a name without changing it
@@ -104,25 +105,6 @@ def _word_edits(length: int) -> int:
     return 0 if length <= 2 else 1 if length <= 5 else 2 if length <= 9 else 3
 
 
-def edits(a: str, b: str, most: int) -> int:
-    """Edit distance with adjacent swaps, or most + 1 if it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        new = [i]
-        for j, cb in enumerate(b, 1):
-            v = min(row[j] + 1, new[-1] + 1, row[j - 1] + (ca != cb))
-            if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
-                v = min(v, before[j - 2] + 1)
-            new.append(v)
-        if min(new) > most:
-            return most + 1
-        before, row = row, new
-    return min(row[-1], most + 1)
-
-
 class Names:
     """The list's spellings: a character trie, a trie of words, the provisions and the acts they belong to."""
 
@@ -184,8 +166,19 @@ class Names:
                     self._add(self.words, w)
             node.setdefault("", []).append(s)
             self.compact["".join(_words(s))].add(s)
+        self.act_trie: dict = {}
+        for spelling in self.acts:
+            self._add(self.act_trie, spelling)
+        #: words the whole list knows, of those a span asks about; empty where the whole list is here
+        self.known: frozenset[str] = frozenset()
         self._seen: dict[str, list[tuple[float, str]]] = {}
 
+    def read(self, known: list[str]) -> None:
+        """What other parts of the list know, for the next span."""
+        if known or self.known:
+            self.known = frozenset(known)
+            self._seen.clear()
+
     @staticmethod
     def _key(folded: str) -> str:
         return folded.strip(" .,;:!?()[]{}*<>/\\|")
@@ -196,46 +189,72 @@ class Names:
             node = node.setdefault(c, {})
         node[""] = spelling
 
-    def near(self, text: str, most: int) -> list[tuple[int, str]]:
-        """Every word of the list within most edits of text, by walking the trie with the automaton's row of distances."""
+    def near(self, text: str, most: int, trie: dict | None = None) -> list[tuple[int, str]]:
+        """Every word of a trie within most edits of text: the trie is walked with the Levenshtein automaton of text.
+
+        The automaton's states are bits of one number, a field per number of edits: bit j of a field stands for "the
+        first j characters of text are read". A second number holds the first halves of swaps of neighbours.
+        """
+        n, wide = len(text), len(text) + 3
+        field = (1 << (n + 1)) - 1
+        every = sum(1 << (wide * e) for e in range(most + 1))
+        full = field * every
+        at: dict[str, int] = {}
+        for j, c in enumerate(text):
+            at[c] = at.get(c, 0) | 1 << j
+        reads = {c: (m * every, (m >> 1) * every) for c, m in at.items()}
+        accept = [(e, 1 << (wide * e + n)) for e in range(most + 1)]
+        cascade = range(most)
         found: list[tuple[int, str]] = []
-        n = len(text)
-        stack = [(self.words, list(range(n + 1)), None, "")]
+        stack = [(self.words if trie is None else trie, sum((((1 << (e + 1)) - 1) & field) << (wide * e) for e in range(most + 1)), 0)]
         while stack:
-            node, row, before, last = stack.pop()
-            if "" in node and row[n] <= most:
-                found.append((row[n], node[""]))
+            node, states, swaps = stack.pop()
+            more = states << wide  # one edit more without reading; with reading, one bit further
             for c, child in node.items():
                 if c == "":
+                    found += next(([(e, child)] for e, bit in accept if states & bit), [])
                     continue
-                new = [row[0] + 1]
-                low = new[0]
-                for j in range(1, n + 1):
-                    t = text[j - 1]
-                    v = row[j - 1] if t == c else 1 + min(row[j - 1], row[j], new[j - 1])
-                    if before is not None and j > 1 and t == last and text[j - 2] == c and before[j - 2] + 1 < v:
-                        v = before[j - 2] + 1
-                    new.append(v)
-                    if v < low:
-                        low = v
-                if low <= most:
-                    stack.append((child, new, row, c))
+                if c in reads:
+                    m, after = reads[c]
+                    x = ((states & m) << 1) | more | (more << 1) | ((swaps & m) << 2)
+                    begun = (more & (after << wide)) & full
+                else:
+                    x, begun = more | (more << 1), 0
+                x &= full
+                for _ in cascade:  # dropped characters of text; fewer edits count as more
+                    x |= ((x << wide) | (x << (wide + 1))) & full
+                if x or begun:
+                    stack.append((child, x, begun))
         return found
 
+    def _begun_by(self, word: str) -> Iterator[str]:
+        """Words of the list that begin with word."""
+        node = self.words
+        for c in word:
+            if (node := node.get(c)) is None:
+                return
+        stack = [node]
+        while stack:
+            node = stack.pop()
+            for c, child in node.items():
+                if c == "":
+                    yield child
+                else:
+                    stack.append(child)
+
     def _alternatives(self, word: str) -> list[tuple[float, str]]:
         """Words of the list a typed word may stand for, with their cost: itself or its plural if the list knows it, else near ones."""
         if (known := self._seen.get(word)) is not None:
             return known
-        forms = [word, word + "s", word[:-1] if word.endswith("s") else "", word[:-2] if word.endswith("es") else "", word[:-3] + "y" if word.endswith("ies") else ""]
-        out = [(0.0 if f == word else 0.1, f) for f in forms if f in self.vocabulary]
-        if not out and not word.isdigit():
+        out = [(0.0 if f == word else 0.1, f) for f in _forms(word) if f in self.vocabulary]
+        if not out and not any(f in self.known for f in _forms(word)) and not word.isdigit():
             plain = word.translate(_LOOKALIKE)
-            if plain != word and plain in self.vocabulary:
-                out = [(1.0, plain)]
+            if plain != word and (plain in self.vocabulary or plain in self.known):
+                out = [(1.0, plain)] * (plain in self.vocabulary)
             else:
                 n = len(word)
                 out = [(float(d), w) for d, w in self.near(plain, _word_edits(n)) if not w.isdigit() and d <= _word_edits(min(n, len(w)) + 1)]
-                out += [(1.5, w) for w in self.vocabulary if len(word) >= 3 and w.startswith(word) and len(w) - n > _word_edits(n)]
+                out += [(1.5, w) for w in self._begun_by(word) if len(w) - n > _word_edits(n)] if n >= 3 else []
         if len(self._seen) > 200_000:
             self._seen.clear()
         self._seen[word] = out
@@ -263,15 +282,9 @@ class Names:
             ]
         return [(6.0 - cut_off / len(typed), s) for node, cut_off in level if 2 * cut_off >= len(typed) for s in node.get("", ())]
 
-    def _pick(self, candidates: list[tuple[float, set[str]]], hint: str) -> str | None:
-        """The single entry of least cost; a hint of the right type settles a tie."""
-        if not candidates:
-            return None
-        least = min(c for c, _ in candidates)
-        best = set().union(*(n for c, n in candidates if c == least))
-        if len(best) > 1 and hint:
-            best = {n for n in best if self.kind[n] == hint} or best
-        return next(iter(best)) if len(best) == 1 else None
+    def choose(self, names: Iterable[str], hint: str) -> str:
+        """The single entry of those that fit equally well; a hint of the right type settles a tie."""
+        return chosen({n: self.kind[n] for n in names}, hint)
 
     def _variants(self, key: str) -> list[str]:
         out = [key]
@@ -295,54 +308,189 @@ class Names:
                 out.append(" ".join([*w[1:], w[0]]))
         return list(dict.fromkeys(out))
 
-    def link(self, span: str, hint: str | None = None) -> str:
-        """The canonical name meant, or ``(none)``."""
-        hint = fold(hint or "")
+    def _reordered(self, bag: str) -> list[tuple[float, set[str]]]:
+        """Entries whose words in any order are alternatives of the bag's, at a total cost within its length's."""
+        level: dict[tuple[str, ...], float] = {(): 0.0}
+        most = most_edits(len(bag))
+        for w in bag.split():
+            new: dict[tuple[str, ...], float] = {}
+            for words, c in level.items():
+                for d, a in self._alternatives(w):
+                    if c + d <= most and new.get(k := tuple(sorted((*words, a))), most + 1) > c + d:
+                        new[k] = c + d
+            if not (level := new):
+                return []
+        return [(c, self.sorted[k]) for words, c in level.items() if len(words) > 1 and (k := " ".join(words)) in self.sorted]
+
+    def meant(self, span: str) -> tuple[float, frozenset[str]] | None:
+        """``(cost, entries)``: the entries within the distance that fit best, several if they tie; None if there are none.
+
+        The whole part of the cost is the way of reading, surer ways first; a way that settles the matter without an
+        entry (a provision the list lacks) gives no entries.
+        """
         f = fold(span)
         key = self._key(f)
         if not key:
-            return NONE
+            return None
         if hit := self.paths.get(key) or self.paths.get(f):
-            return self._pick([(0, hit[1])], hint) or NONE
+            return 0.0, frozenset(hit[1])
         if p := provision(key):
-            act = self.acts.get(p[0])
-            if act is None and p[0]:
-                near = [(d, {self.acts[s]}) for s in self.acts if len(p[0]) > 4 and (d := edits(p[0], s, 1)) <= 1]
-                act = near[0][1].pop() if len(near) == 1 else None
-            return self.provisions.get((act, *p[1:]), NONE) if act else NONE
+            if p[0] in self.acts:
+                acts = {self.acts[p[0]]}
+            else:
+                acts = {self.acts[s] for _, s in self.near(p[0], 1, self.act_trie)} if len(p[0]) > 4 else set()
+            return 1.0, frozenset(self.provisions[a, *p[1:]] for a in acts if (a, *p[1:]) in self.provisions)
         variants = [self._key(v) for v in self._variants(key)]
-        for v in variants[1:]:
+        for i, v in enumerate(variants[1:]):
             if hit := self.paths.get(v):
-                return self._pick([(0, hit[1])], hint) or NONE
+                return 2 + i / 100, frozenset(hit[1])
         bags = [" ".join(sorted(w for w in _words(v) if w not in ("for",))) for v in variants]
-        for b in bags:
+        for i, b in enumerate(bags):
             if b in self.sorted and " " in b:
-                return self._pick([(0, self.sorted[b])], hint) or NONE
+                return 3 + i / 100, frozenset(self.sorted[b])
         compact = re.sub(r"[\s.]", "", key)
         if len(compact) >= 3 and compact.isalpha() and (span.strip().isupper() or re.fullmatch(r"(?:\w\.\s*)+\w?", key)):
             if hit := self.paths.get(compact):
-                return self._pick([(0, hit[1])], hint) or NONE
+                return 4.0, frozenset(hit[1])
             if len(compact) <= 7 and compact in self.initials:
-                return self._pick([(0, self.initials[compact])], hint) or NONE
+                return 5.0, frozenset(self.initials[compact])
         found: list[tuple[float, set[str]]] = []
         for penalty, v in enumerate(variants):
             typed = _words(v)
             if len(v) >= 4 and typed:
-                found += [(c + 0.01 * min(penalty, 1) + 0.001 * self.paths[s][0], self.paths[s][1]) for c, s in self._spelled(typed, most_edits(len(v)))]
+                found += [(6 + (c + 0.01 * min(penalty, 1) + 0.001 * self.paths[s][0]) / 100, self.paths[s][1]) for c, s in self._spelled(typed, most_edits(len(v)))]
+        for v in variants if not found else ():
+            found += [(7.0, self.paths[s][1]) for s in self.compact.get("".join(_words(v)), ())]
+        for b in bags if not found else ():
+            found += [(8 + c / 100, names) for c, names in self._reordered(b)]
+        for v in variants if not found else ():
+            parts = re.findall(r"([^\W_]+)(\.?)", v)
+            if len(parts) > 1:
+                found += [(9 + c / 100, self.paths[s][1]) for c, s in self._abbreviated([w for w, _ in parts], [bool(d) for _, d in parts])]
         if not found:
-            for v in variants:
-                found += [(1.0, self.paths[s][1]) for s in self.compact.get("".join(_words(v)), ())]
-        if not found:
-            for b in bags:
-                best = [min(self._alternatives(w), default=None) for w in b.split()]
-                if len(best) > 1 and None not in best and sum(c for c, _ in best) <= most_edits(len(b)):
-                    found += [(3.0, self.sorted[k])] if (k := " ".join(sorted(w for _, w in best))) in self.sorted else []
-        if not found:
-            for v in variants:
-                parts = re.findall(r"([^\W_]+)(\.?)", v)
-                if len(parts) > 1:
-                    found += [(c, self.paths[s][1]) for c, s in self._abbreviated([w for w, _ in parts], [bool(d) for _, d in parts])]
-        return self._pick(found, hint) or NONE
+            return None
+        least = min(c for c, _ in found)
+        return least, frozenset().union(*(n for c, n in found if c == least))
+
+    def link(self, span: str, hint: str | None = None) -> str:
+        """The canonical name meant, or ``(none)``."""
+        m = self.meant(span)
+        return self.choose(m[1], fold(hint or "")) if m else NONE
+
+
+def chosen(kinds: dict[str, str], hint: str) -> str:
+    """The one entry of name -> type, or the one of the hinted type; else ``(none)``."""
+    of_type = [n for n, k in kinds.items() if k == hint] if hint else []
+    best = of_type if len(kinds) > 1 and of_type else list(kinds)
+    return best[0] if len(best) == 1 else NONE
+
+
+def _forms(word: str) -> list[str]:
+    """The word, its plural and its possible singulars."""
+    return [word, word + "s", word[:-1] if word.endswith("s") else "", word[:-2] if word.endswith("es") else "", word[:-3] + "y" if word.endswith("ies") else ""]
+
+
+def probes(span: str) -> set[str]:
+    """The words whose being known to the list decides how a span is read."""
+    typed = {w for v in Names([])._variants(Names._key(fold(span))) for w in _words(v)}
+    return {f for w in typed for f in (*_forms(w), w.translate(_LOOKALIKE)) if f}
+
+
+def _homes(name: str, display: str | None, aliases: list[str] | None) -> set[str]:
+    """Keys by which entries that need each other meet in a part: a provision at its act, other entries at each spelling."""
+    f = fold(name)
+    if p := provision(f):
+        return {p[0]}
+    return {Names._key(x) for x in (f, *(fold(a) for a in [display, *(aliases or [])] if a))}
+
+
+_ENTRY = "type string, canonical_name string, display_name string, aliases array<string>"
+
+
+def _parts(listed: DataFrame, n: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """The list in parts that fit a task, entries that need each other together, and the words of the whole list.
+
+    A list within MOST_ENTRIES is one part, and its words are all in it.
+    """
+    if n <= MOST_ENTRIES:
+        return [listed], None
+    count = -(-n // (MOST_ENTRIES // 2))
+
+    def placed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            rows = [(r, h) for r in b.to_pylist() if r["canonical_name"] and r["canonical_name"].strip() for h in {zlib.crc32(x.encode("utf-8", "surrogatepass")) % count for x in _homes(r["canonical_name"], r["display_name"], r["aliases"])}]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r, _ in rows], b.schema.field(c).type) for c in b.schema.names), pa.array([h for _, h in rows], pa.int32())], names=[*b.schema.names, "part"])
+
+    def spelled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            words = {w for r in b.to_pylist() for x in (r["canonical_name"], r["display_name"], *(r["aliases"] or [])) if x for w in _words(Names._key(fold(x)))}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], names=["word"])
+
+    home = cut(listed.mapInArrow(placed, f"{_ENTRY}, part int"))
+    return [home.where(F.col("part") == i).drop("part") for i in range(count)], cut(listed.mapInArrow(spelled, "word string").distinct())
+
+
+def link_candidates(spans: DataFrame, entries: DataFrame) -> DataFrame:
+    """spans(span, type) -> ``span, type, entries, canonical_name``: all entries that fit a distinct span best, and the one meant.
+
+    entries is empty where nothing lies within the distance; several that tie are settled by the type hint or give
+    ``(none)``. A list beyond MOST_ENTRIES is read part by part, each over all spans, and the best of all parts counts.
+    """
+    spark = spans.sparkSession
+    listed = entries.select("type", "canonical_name", "display_name", "aliases")
+    parts, vocabulary = _parts(listed, listed.count())
+    asked = spread(cut(spans.select("span", "type").distinct()))
+    if vocabulary is None:
+        asked = asked.withColumn("known", F.array().cast("array<string>"))
+    else:
+
+        def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(s, w) for s in b.column(0).to_pylist() for w in probes(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], names=["span", "word"])
+
+        met = asked.select("span").distinct().mapInArrow(probed, "span string, word string").join(vocabulary, "word")
+        known = met.groupBy("span").agg(F.collect_set("word").alias("known"))
+        asked = cut(asked.join(known, "span", "left").select("span", "type", F.coalesce("known", F.array().cast("array<string>")).alias("known")))
+    found = None
+    for part in parts:
+        names = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], names=names) -> Iterator[pa.RecordBatch]:
+            index = None
+            for b in batches:
+                index = index or Names(names.value)
+                cost, fits, kinds = [], [], []
+                for s, known in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    index.read(known)
+                    m = index.meant(s) or (99.0, frozenset())
+                    cost.append(m[0])
+                    fits.append(sorted(m[1]))
+                    kinds.append([index.kind[n] for n in fits[-1]])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cost, pa.float64()), pa.array(fits, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.string()))], names=["span", "type", "cost", "entries", "kinds"])
+
+        each = asked.mapInArrow(run, "span string, type string, cost double, entries array<string>, kinds array<string>")
+        found = each if found is None else found.unionByName(each)
+    if len(parts) > 1:
+        least = found.groupBy("span", "type").agg(F.collect_list(F.struct("cost", "entries", "kinds")).alias("all"))  # a row per part
+        best = F.filter("all", lambda x: x["cost"] == F.array_min(F.transform("all", lambda y: y["cost"])))
+        both = F.array_sort(F.array_distinct(F.flatten(F.transform(best, lambda x: F.arrays_zip(x["entries"].alias("n"), x["kinds"].alias("k"))))))
+        found = least.select("span", "type", both.alias("b")).select("span", "type", F.transform("b", lambda x: x["n"]).alias("entries"), F.transform("b", lambda x: x["k"]).alias("kinds"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
+            one = [chosen(dict(zip(fits, kinds, strict=True)), fold(hint or "")) for hint, fits, kinds in rows]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(one, pa.string())], names=["span", "type", "entries", "canonical_name"])
+
+    return found.select("span", "type", "entries", "kinds").mapInArrow(decide, "span string, type string, entries array<string>, canonical_name string")
+
+
+def typed_spans(spans: DataFrame) -> DataFrame:
+    """``span_id, span, type`` of the spans that are neither null nor only white space; of differing rows of one id the least span decides."""
+    blank = "^[" + "".join(f"\\x{{{ord(c):X}}}" for c in WHITE_SPACE) + "]*$"
+    typed = spans.where(F.col("span").isNotNull() & ~F.col("span").rlike(blank))
+    return typed.groupBy("span_id").agg(F.min(F.struct("span", F.coalesce("type", F.lit("")).alias("type"))).alias("s")).select("span_id", "s.span", "s.type")
 
 
 def link_spans(spans: DataFrame, entries: DataFrame) -> DataFrame:
@@ -353,21 +501,12 @@ def link_spans(spans: DataFrame, entries: DataFrame) -> DataFrame:
     stand for several entries are settled by the type hint, else ``(none)``. An empty list links nothing; an empty
     span table gives an empty result. Other columns, an earlier linker's included, are not read.
     """
-    listed = entries.select("type", "canonical_name", "display_name", "aliases").limit(MOST_ENTRIES + 1).collect()
-    if len(listed) > MOST_ENTRIES:
-        raise ValueError(f"the list has more than {MOST_ENTRIES} entries, the bound up to which it is broadcast")
-    names = entries.sparkSession.sparkContext.broadcast([tuple(r) for r in listed])
-    blank = "^[" + "".join(f"\\x{{{ord(c):X}}}" for c in WHITE_SPACE) + "]*$"
-    typed = spans.where(F.col("span").isNotNull() & ~F.col("span").rlike(blank))
-    one = typed.groupBy("span_id").agg(F.min(F.struct("span", F.coalesce("type", F.lit("")).alias("type"))).alias("s")).select("span_id", "s.span", "s.type")
-    one = cut(one)
+    one = cut(typed_spans(spans))
+    return one.join(link_candidates(one, entries), ["span", "type"]).select("span_id", "canonical_name")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
-        for b in parts:
-            index = index or Names(names.value)
-            linked = [index.link(s, t) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.string())], names=["span", "type", "canonical_name"])
 
-    found = spread(cut(one.select("span", "type").distinct())).mapInArrow(run, "span string, type string, canonical_name string")
-    return one.join(found, ["span", "type"]).select("span_id", "canonical_name")
+def unmatched_spans(spans: DataFrame, entries: DataFrame) -> DataFrame:
+    """``span, why, entries, n_spans``: each distinct span that means no entry (``none``) or fits several alike (``tie``), these, and how many ids typed it."""
+    one = cut(typed_spans(spans))
+    lost = one.join(link_candidates(one, entries).where(F.col("canonical_name") == NONE), ["span", "type"])
+    return lost.groupBy("span", F.when(F.size("entries") > 1, "tie").otherwise("none").alias("why"), F.array_join("entries", "|").alias("entries")).agg(F.count("*").alias("n_spans"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.unicode import WHITE_SPACE
 from quillgraph.llm.answers import defects
 from quillgraph.llm.consensus import consensus
-from quillgraph.llm.linking import NONE, link_spans
+from quillgraph.llm.linking import link_spans, unmatched_spans
 from quillgraph.llm.mixing import mix
 from quillgraph.llm.packing import pack_items
 from quillgraph.llm.quantiles import EPS, day_summaries, rollup, run_values
@@ -50,11 +50,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of spans that mean no entry: each distinct one and how many ids typed it."""
-    spans = table(spark, sf_dir, "linked_spans")
-    none = link_spans(spans, table(spark, sf_dir, "graph_nodes")).where(F.col("canonical_name") == NONE)
-    typed = spans.where(F.col("span").isNotNull()).groupBy("span_id").agg(F.min("span").alias("span"))
-    return none.join(typed, "span_id").groupBy("span").agg(F.count("*").alias("n_spans"))
+    """The report of spans that mean no entry or fit several alike."""
+    return unmatched_spans(table(spark, sf_dir, "linked_spans"), table(spark, sf_dir, "graph_nodes"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
