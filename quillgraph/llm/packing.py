@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.plans.runtime import ship
+
 #: Items of a shard, on average; a shard leaves at most one badly filled container.
 SHARD_ITEMS = 50_000
 
@@ -72,6 +74,7 @@ def pack_items(items: DataFrame, key: str, size: str, capacities: list[int]) ->
     """
     if not capacities or min(capacities) < 1:
         raise ValueError("at least one capacity of 1 or more is needed")
+    ship(items.sparkSession)
     top = max(capacities)
     shards = max(1, -(-items.count() // SHARD_ITEMS))
     n = F.coalesce(F.col(size), F.lit(0))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.plans.runtime import cut
+from quillgraph.plans.runtime import cut, ship
 
 EPS = 0.005
 #: Share of EPS spent by each level: a partition, a fan-in of partitions, a day, a month, everything.
@@ -87,6 +87,7 @@ def _batches(keys: list[str], schema: pa.Schema, done: dict[tuple, Summary]) ->
 
 def partition_summaries(rows: DataFrame, keys: list[str], value: str, eps: float) -> DataFrame:
     """One summary per partition and group; null, NaN and infinite values are left out."""
+    ship(rows.sparkSession)
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

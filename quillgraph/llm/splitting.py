@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.unicode import PY_WORD
+from quillgraph.plans.runtime import ship
 
 #: Boundary kinds from strong to weak, and how full of the capacity a piece must be to be cut at one.
 KINDS = ("paragraph", "line", "sentence", "clause")
@@ -50,14 +51,14 @@ def boundaries(text: str, spans: list[tuple[int, int]]) -> tuple[list[int], ...]
     return out
 
 
-def pieces(text: str, capacity: int, overlap: int) -> list[tuple[int, int, str]]:
-    """``(first word, end word, kind)`` of each piece; one piece of kind ``whole`` if the text fits.
+def pieces(text: str, capacity: int, overlap: int, spans: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str]]:
+    """``(first word, end word, kind)`` of each piece; one piece of kind ``whole`` if the text fits. spans are the words' places, if known.
 
     Every piece but the first starts exactly ``overlap`` words before the previous one ends.
     """
     if capacity < 1 or not 0 <= overlap < capacity:
         raise ValueError("overlap must be at least 0 and less than the capacity")
-    spans = [m.span() for m in PY_WORD.finditer(text)]
+    spans = [m.span() for m in PY_WORD.finditer(text)] if spans is None else spans
     n = len(spans)
     if n <= capacity:
         return [(0, n, "whole")] if n else []
@@ -84,13 +85,14 @@ def split_texts(texts: DataFrame, key: str, text: str, capacity: int, overlap: i
     word once and in order. Texts within the capacity come out as one ``whole`` piece; null, empty and blank texts
     have none. Repeated rows are split alike. Stale counts in other columns are not read.
     """
+    ship(texts.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             rows: list[list] = [[] for _ in range(7)]
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                cuts = pieces(t, capacity, overlap) if t else []
-                spans = [m.span() for m in PY_WORD.finditer(t)] if cuts else []
+                spans = [m.span() for m in PY_WORD.finditer(t)] if t else []
+                cuts = pieces(t, capacity, overlap, spans) if spans else []
                 for i, (first, end, kind) in enumerate(cuts):
                     for column, v in zip(rows, (k, i, len(cuts), first, end - first, kind, t[spans[first][0] : spans[end - 1][1]]), strict=True):
                         column.append(v)
