@@ -61,3 +61,39 @@ def test_alpha_by_hand(spark):
 def test_empty(spark):
     c = consensus(df(spark, []))
     assert c.items.count() == 0 and c.annotators.count() == 0 and c.alpha is None
+
+
+def test_more_annotators_than_a_square_table_would_hold(spark):
+    rng = random.Random(8)
+    truth = {f"i{i:04d}": rng.choices(LABELS, (5, 3, 2, 1))[0] for i in range(1500)}
+    rows = []
+    for n, (i, t) in enumerate(truth.items()):
+        for tag, p in (("expert", 0.95), *((f"crowd{(n * 7 + j) % 2600}", 0.6) for j in range(4))):
+            rows.append((tag, i, "s" + str(n % 2100), t if rng.random() < p else rng.choice(LABELS), T0))
+    c = consensus(df(spark, rows))
+    got = {r.id: r.verdict for r in c.items.collect()}
+    assert c.annotators.count() == 2601 and c.converged
+    assert sum(got[i] == t for i, t in truth.items()) / len(truth) > 0.85
+
+
+def test_pairs_agree_with_brute_force():
+    import numpy as np
+    import pyarrow as pa
+
+    from quillgraph.llm.consensus import _PairSums, _same_item
+
+    rng = np.random.default_rng(4)
+    votes = [[{"tag": int(t), "vote": int(rng.integers(4))} for t in sorted(rng.choice(9, rng.integers(0, 7), replace=False))] for _ in range(60)]
+    b = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(60)]), pa.array([0] * 60), pa.array(votes, pa.list_(pa.struct([("tag", pa.int32()), ("vote", pa.int32())])))], names=["id", "stratum", "votes"])
+    vote = b.column(2).flatten().field(1).to_numpy()
+    sums, want = _PairSums(), {}
+    for codes, x in _same_item(b, lambda i, j: vote[i] == vote[j], nt=9):
+        sums.add(codes, x)
+    for v in votes:
+        for i in range(len(v)):
+            for j in range(i + 1, len(v)):
+                w = want.setdefault(v[i]["tag"] * 9 + v[j]["tag"], [0, 0])
+                w[0] += 1
+                w[1] += v[i]["vote"] == v[j]["vote"]
+    codes, x = sums.pack()
+    assert {int(c): [int(a), int(g)] for c, a, g in zip(codes, *x, strict=True)} == want
