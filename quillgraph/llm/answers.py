@@ -1,24 +1,25 @@
 """Defective question-answer pairs: empty, copied, refused, foreign or cut answers.
 
-Openings (whole first telling sentences) that name nothing of what the questions are about are clustered by MinHash
-over three-word shingles and verified (Jaccard of 0.5). A cluster that opens answers to several unrelated questions,
-in most of which nothing of substance follows, is a refusal template, whatever its words. An answer is a refusal when
-it opens with one and nothing of substance follows. A lexicon adds what the clusters cannot judge: phrases of up to
-three words, declining in the last sentence, and openings that do not recur. Copy, language and termination checks
-label the rest.
+First and last sentences that hardly name what the questions are about are clustered by MinHash over three-word
+shingles and verified (Jaccard of 0.5). A cluster recurring over several unrelated questions is a template. Whether it
+declines, its answers tell: they mostly cite nothing, where other answers mostly do, or nothing of substance follows
+in most of them. An answer is a refusal when it ends in such a template, or opens with one and nothing of substance
+follows. A lexicon is left for sentences that do not recur. Copy, language and termination checks label the rest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.endings import HEADING_WORDS, SHORT_TEXTS, ending_scores
@@ -30,8 +31,8 @@ from quillgraph.plans.runtime import cut, join_sized, spread
 SHINGLE, SIMILAR = 3, 0.5
 #: Pairs at SIMILAR meet in a band with a probability of 0.9999.
 BANDS, ROWS = 32, 2
-#: An opening shorter than this cannot be told from a brief answer; a word is topical if this share of the questions, and so many, use it; a sentence is bare up to this share of topical words.
-OPENING_LEAST, TOPIC_SHARE, TOPIC_LEAST, BARE_SHARE = 4, 0.0005, 3, 0.15
+#: An opening shorter than this cannot be told from a brief answer; a word is topical if this share of the questions, and so many, use it; a sentence is bare up to this share of topical words, and may be a template up to this one.
+OPENING_LEAST, TOPIC_SHARE, TOPIC_LEAST, BARE_SHARE, TEMPLATE_SHARE = 4, 0.0005, 3, 0.15, 0.3
 #: Unrelated questions a template must answer before it counts as one.
 TEMPLATE_PROMPTS = 3
 
@@ -99,9 +100,9 @@ def language(text: str) -> tuple[str | None, int]:
 
 def is_empty(answer: str | None) -> bool:
     text = plain(answer or "")
-    words = _WORD.findall(text) if len(text) < 200 else []
-    if len(text) >= 200 or len(words) > 3:
-        return not _WORD.search(text)
+    words = [m[0] for m in islice(_WORD.finditer(text), 4)]
+    if len(words) > 3:
+        return False
     return not words or all(w in EMPTY_WORDS for w in words) or "/".join(words) in EMPTY_WORDS or text.strip(" .:\"'[](){}") in EMPTY_WORDS
 
 
@@ -125,9 +126,6 @@ def foreign(question: str, answer: str) -> bool:
     if asked is None:
         return False
     body = _QUOTED.sub(" ", answer)
-    heard = Counter(k for w in re.findall(r"[^\W\d_]+", body.lower()) for k in _SPOKEN.get(w, ()))
-    if heard[asked] > 2 * (heard.total() - heard[asked]) and heard[asked] > 3:
-        return False  # hardly a word of another language
     own = other = 0
     for s in _SENTENCE.split(body if body.strip() else answer):
         spoken, n = language(s)
@@ -155,20 +153,36 @@ def declines(answer: str) -> tuple[bool, bool]:
     return first_telling(sentences), first_telling(reversed(sentences))
 
 
+def _masked(words: list[str]) -> str:
+    return " ".join(re.sub(r"\d+", "0", w) for w in words)
+
+
 def opening(answer: str) -> str:
     """The first sentence, and the next ones until it has four words, digits masked."""
+    return _ends(_SENTENCE.split(plain(answer)))[0]
+
+
+def _ends(sentences: list[str]) -> tuple[str, str, list[str]]:
+    """The opening, the last sentence of three words or more behind it (or nothing), and all sentences behind the opening."""
     words: list[str] = []
-    for s in _SENTENCE.split(plain(answer)):
+    i = 0
+    for i, s in enumerate(sentences, 1):  # noqa: B007
         words += _WORD.findall(s)
         if len(words) >= OPENING_LEAST:
             break
-    return " ".join(re.sub(r"\d+", "0", w) for w in words)
+    rest = sentences[i:]
+    last = next((w for s in reversed(rest) if len(w := _WORD.findall(s)) >= 3), [])
+    return _masked(words), _masked(last), rest
 
 
-def is_bare(sentence: str, topics: frozenset[str]) -> bool:
+def is_bare(sentence: str, topics: frozenset[str], share: float = BARE_SHARE) -> bool:
     """Whether the sentence has no number and hardly a word that questions are about."""
+    return not any(c.isdigit() for c in sentence) and topical_share(sentence, topics) <= share
+
+
+def topical_share(sentence: str, topics: frozenset[str]) -> float:
     words = _WORD.findall(sentence)
-    return not any(c.isdigit() for c in sentence) and sum(w in topics for w in words) <= BARE_SHARE * len(words)
+    return sum(w in topics for w in words) / max(1, len(words))
 
 
 def topical_words(questions: DataFrame) -> frozenset[str]:
@@ -191,20 +205,36 @@ def _brief(answer: str) -> bool:
     return 0 < len(words) <= 4 and not any(words[-1] in s for s in _SETS.values())
 
 
+_CHECKS = {c: "boolean" for c in ("empty", "copied", "foreign", "first", "last", "bare", "alone", "plain", "brief", "ended", "opens", "closes")} | {"opening": "string", "closing": "string"}
+
+
 def _checked(parts: Iterator[pa.RecordBatch], topics: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """Of key, question and answer: the checks of a pair by itself, and its opening and closing sentence.
+
+    alone: a bare opening, and nothing of substance with it; plain: nothing of substance behind the opening; ended: with a
+    full stop; opens and closes: the opening or closing may be part of a template, which a sentence that breaks off is not.
+    """
     for b in parts:
-        out: dict[str, list] = {"empty": [], "copied": [], "foreign": [], "first": [], "last": [], "only": [], "bare": [], "alone": [], "brief": [], "opening": []}
+        out: dict[str, list] = {c: [] for c in _CHECKS}
         for q, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             q, a = q or "", a or ""
             empty = is_empty(a)
             first, last = declines(a)
-            n = len([s for s in _SENTENCE.split(a) if len(_WORD.findall(s)) >= 3 and not ASIDE.search(s)])
-            start = opening(a)
-            bare = start.count(" ") >= OPENING_LEAST - 1 and is_bare(start, topics)
-            telling = [s for s in _SENTENCE.split(plain(a)) if len(_WORD.findall(s)) >= 3 and not is_bare(s, topics) and not ASIDE.search(s)] if bare else []
-            for k, v in (("empty", empty), ("copied", not empty and copies(q, a)), ("foreign", not empty and foreign(q, a)), ("first", first), ("last", last), ("only", n <= 1), ("bare", bare), ("alone", bare and not telling), ("brief", _brief(a)), ("opening", start)):
-                out[k].append(v)
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[k], pa.string() if k == "opening" else pa.bool_()) for k in out)], names=["key", *out])
+            sentences = _SENTENCE.split(plain(a))
+            start, end, rest = _ends(sentences)
+            tells = lambda s: len(_WORD.findall(s)) >= 3 and not is_bare(s, topics) and not ASIDE.search(s)
+            bare, brief = start.count(" ") >= OPENING_LEAST - 1 and is_bare(start, topics), _brief(a)
+            text = plain(_MARK.sub("", a)).rstrip(" \t\r\n\"'”’»)]")
+            ended = text.endswith((".", "!", "?")) and not text.endswith("..")
+            row = {
+                "empty": empty, "copied": not empty and copies(q, a), "foreign": not empty and foreign(q, a), "first": first, "last": last, "bare": bare,
+                "alone": bare and not any(map(tells, sentences)), "plain": not any(map(tells, rest)), "brief": brief, "ended": ended,
+                "opens": bare or brief or first or topical_share(start, topics) <= TEMPLATE_SHARE, "closes": ended and end != "" and topical_share(end, topics) <= TEMPLATE_SHARE,
+                "opening": start, "closing": end,
+            }
+            for c, v in row.items():
+                out[c].append(v)
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[c], pa.string() if t == "string" else pa.bool_()) for c, t in _CHECKS.items())], names=["key", *out])
 
 
 def _shingles(text: str) -> list[int]:
@@ -227,13 +257,14 @@ def _signed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def opening_templates(checked: DataFrame) -> DataFrame:
-    """``opening, prompts, declining, alone``: of each opening's cluster the distinct prompts, the share that declines by the lexicon, and the share after which nothing of substance follows (null without a column ``alone``).
+    """``opening, prompts, declining, alone, n, uncited``: of each opening's cluster the distinct prompts, the share that declines by the lexicon, the share after which nothing of substance follows (null without a column ``alone``), its answers, and those of them that cite nothing (null without a column ``uncited``).
 
     One row per distinct opening, so equal openings are never paired; links between different openings are all kept.
     """
     alone = F.sum(F.col("alone").cast("int")) if "alone" in checked.columns else F.lit(None).cast("bigint")
+    uncited = F.sum(F.col("uncited").cast("int")) if "uncited" in checked.columns else F.lit(None).cast("bigint")
     checked = checked.where(F.col("opening") != "")
-    each = checked.groupBy("opening").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("d"), alone.alias("x"))
+    each = checked.groupBy("opening").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("d"), alone.alias("x"), uncited.alias("u"))
     signed = cut(each.join(each.select("opening").mapInArrow(_signed, "opening string, shingles array<bigint>, bands array<bigint>"), "opening"))
     banded = signed.select("opening", "shingles", F.explode("bands").alias("band"))
     a, b = (banded.select(F.col("opening").alias(x), F.col("shingles").alias(f"s_{x}"), "band") for x in ("a", "b"))
@@ -248,10 +279,34 @@ def opening_templates(checked: DataFrame) -> DataFrame:
         label = new.select("opening", "label")
         if not new.where("moved").limit(1).count():
             break
-    sums = signed.join(label, "opening").groupBy("label").agg((F.sum("d") / F.sum("n")).alias("declining"), (F.sum("x") / F.sum("n")).alias("alone"))
+    sums = signed.join(label, "opening").groupBy("label").agg((F.sum("d") / F.sum("n")).alias("declining"), (F.sum("x") / F.sum("n")).alias("alone"), F.sum("n").alias("n"), F.sum("u").alias("uncited"))
     # a question answered with two openings of a cluster counts once
     prompts = checked.select("opening", "prompt").join(label, "opening").groupBy("label").agg(F.countDistinct("prompt").alias("prompts"))
-    return label.join(sums, "label").join(prompts, "label").select("opening", "prompts", "declining", "alone")
+    return label.join(sums, "label").join(prompts, "label").select("opening", "label", "prompts", "declining", "alone", "n", "uncited")
+
+
+def citing_nothing(templates: DataFrame, base: float) -> Column:
+    """Whether a template's answers (n, uncited) cite nothing as those of declining templates do rather than as all answers do.
+
+    The rates of the two kinds are read from the templates themselves, beginning with those of which most cite
+    nothing; a template is then judged by its likelihood under both and by how many of each kind there are.
+    """
+    clusters = cut(templates.where(F.col("uncited").isNotNull()).groupBy("label").agg(F.max("n").alias("n"), F.max("uncited").alias("u")))
+    n, u = F.col("n"), F.col("u")
+    declines_: Column = u > n / 2
+    low, high, odds = base, None, 1.0
+    for _ in range(3):
+        r = {x.d: x for x in clusters.groupBy(declines_.alias("d")).agg(F.sum("n").alias("n"), F.sum("u").alias("u")).collect()}
+        if True not in r:
+            return F.lit(False)
+        high = (r[True].u + 1) / (r[True].n + 2)
+        low = (r[False].u + base) / (r[False].n + 1) if False in r else base
+        odds = r[True].n / (r[False].n if False in r else 1)
+        if high <= low:
+            return F.lit(False)
+        declines_ = u * math.log(high / low) + (n - u) * math.log((1 - high) / (1 - low)) + math.log(odds) > 0
+    n, u = F.col("n"), F.col("uncited")
+    return F.coalesce(u * math.log(high / low) + (n - u) * math.log((1 - high) / (1 - low)) + math.log(odds) > 0, F.lit(False))
 
 
 def finish_class(reason: str = "finish_reason"):
@@ -267,15 +322,25 @@ def defects(answers: DataFrame) -> DataFrame:
     copied; a null answer is empty. stratum out-of-scope and unanswerable may be declined. An empty table gives an
     empty result; further columns are not read.
     """
-    rows = answers.select(F.col("answer_id").alias("key"), "question", "answer", "stratum", finish_class().alias("finish")).dropDuplicates(["key"])
+    cited = F.col("n_citations") if "n_citations" in answers.columns else F.lit(None)
+    chosen = answers.select(F.col("answer_id").alias("key"), "question", "answer", "stratum", finish_class().alias("finish"), cited.cast("int").alias("cited"))
+    # of differing rows of one id the least counts
+    rows = chosen.groupBy("key").agg(F.min(F.struct("question", "answer", "stratum", "finish", "cited")).alias("r")).select("key", "r.*")
     rows = spread(cut(rows))
     topics = topical_words(rows.select("question"))
-    marks = rows.select("key", "question", "answer").mapInArrow(lambda parts: _checked(parts, topics), f"key {rows.schema['key'].dataType.simpleString()}, empty boolean, copied boolean, foreign boolean, first boolean, last boolean, only boolean, bare boolean, alone boolean, brief boolean, opening string")
-    marks = cut(marks.join(rows.select("key", F.xxhash64(F.lower(F.coalesce("question", F.lit("")))).alias("prompt"), F.coalesce(F.lower(F.trim("stratum")), F.lit("")).alias("stratum"), "finish"), "key"))
-    # an opening with substance is no template; brief ones tell which short answers recur
-    recurring = opening_templates(marks.where(F.col("bare") | F.col("brief") | F.col("first"))).where(F.col("prompts") >= TEMPLATE_PROMPTS)
-    templates = recurring.select("opening", (F.col("declining") >= 0.5).alias("template"), (F.col("alone") >= 0.5).alias("stands"), F.lit(True).alias("recurs"))
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in _CHECKS.items())
+    marks = rows.select("key", "question", "answer").mapInArrow(lambda parts: _checked(parts, topics), schema)
+    marks = cut(marks.join(rows.select("key", F.xxhash64(F.lower(F.coalesce("question", F.lit("")))).alias("prompt"), F.coalesce(F.lower(F.trim("stratum")), F.lit("")).alias("stratum"), "finish", (F.col("cited") == 0).alias("uncited")), "key"))
+    # an empty answer or a copied question opens with no template of its own; brief ones tell which short answers recur
+    units = marks.where(~F.col("empty") & ~F.col("copied"))
+    units = units.where("opens").select("opening", "prompt", "first", "alone", "uncited").unionByName(units.where("closes").select(F.col("closing").alias("opening"), "prompt", F.lit(False).alias("first"), F.lit(False).alias("alone"), "uncited"))
+    recurring = cut(opening_templates(units).where(F.col("prompts") >= TEMPLATE_PROMPTS))
+    base = marks.where(~F.col("empty") & F.col("uncited").isNotNull()).agg(F.avg(F.col("uncited").cast("int")).alias("u")).first().u
+    silent = citing_nothing(recurring, base) if base else F.lit(False)
+    templates = cut(recurring.select("opening", silent.alias("silent"), (F.col("alone") >= 0.5).alias("stands"), F.lit(True).alias("recurs")))
     judged = join_sized(marks, templates, ["opening"], "left")
+    closers = templates.select(F.col("opening").alias("closing"), F.lit(True).alias("closes"), F.col("silent").alias("shuts"), F.lit(True).alias("shut"))
+    judged = join_sized(judged, closers, ["closing", "closes"], "left")
     # marks of citations behind the last sentence are no part of its end
     bare = rows.where(F.col("answer").isNotNull()).select("key", F.regexp_replace("answer", r"(?:\s*(?:\[\d{1,3}\]|(?<=[.?!\]”\"])\s*\([^()\n]{0,60}(?:\([^()]{0,8}\)[^()\n]{0,20})*\)))+\s*$", "").alias("text"))
     ends = ending_scores(bare, "key", "text", SHORT_TEXTS).where(F.col("ends") != "none")
@@ -286,8 +351,10 @@ def defects(answers: DataFrame) -> DataFrame:
     post = bins.groupBy("source").applyInPandas(lambda g: _posteriors(g), "source string, open boolean, cut_word boolean, bin double, prior double, posterior double, theta double, alpha double")
     post = cut(post.select(F.col("source").alias("group"), "open", "cut_word", "bin", "posterior"))
     stops = join_sized(ends, post, ["group", "open", "cut_word", "bin"]).select("key", "posterior")
-    # the clusters judge by content; the lexicon adds closings, phrases too short to tell and openings that do not recur
-    declined = (F.coalesce("stands", F.lit(False)) & F.col("alone")) | F.col("last") | (F.coalesce("template", F.lit(False)) & F.col("only"))
+    # templates judge by citations and content; the lexicon is asked only where neither end of the answer recurs
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    alone = F.col("last") & ~yes("recurs") & ~yes("shut")
+    declined = yes("shuts") | (yes("silent") & F.col("plain") & (F.col("ended") | F.col("brief"))) | (yes("stands") & F.col("alone")) | alone
     stopped = (F.col("posterior") >= 0.5) & ~(F.col("brief") & F.coalesce("recurs", F.lit(False)))  # a brief answer given to many questions is whole
     excused = F.regexp_replace("stratum", r"[^a-z]+", "").isin("outofscope", "unanswerable")
     defect = F.when(F.col("empty"), "empty").when(F.col("copied"), "copies_question").when(declined, F.when(~excused, "refusal").otherwise("(excused)")).when(F.col("foreign"), "other_language").when(stopped, "truncated")

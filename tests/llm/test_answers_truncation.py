@@ -194,3 +194,26 @@ def test_closing_phrases_in_brackets_and_long_ones_are_no_cuts(spark):
     got = {r.doc_id for r in out}
     whole = {i for i, t, s in closed if t.endswith(tuple(tail.values()))}
     assert len(whole) > 20 and not got & whole and len([i for i in got if i >= 20_000]) >= 10
+
+
+def test_templates_that_cite_nothing_decline_without_a_lexicon(spark):
+    rng = random.Random(11)
+    rows = [(i, f"Which duty has the {rng.choice(WHO)} number {i} regarding the {rng.choice(NOUNS)}?", " ".join(sentence(rng) for _ in range(3)), rng.choice([0, 1, 2, 3, 4, 5, 6, 7])) for i in range(300)]
+    ask = lambda i: rows[i][1]
+    said = ["Nope, next please.", "Zilch.", "My lips are sealed on that matter."]
+    assert not any(A.declines(s)[1] for s in said)
+    rows += [(1000 + 20 * k + i, ask(20 * k + i), s, 0 if i else 2) for k, s in enumerate(said) for i in range(8)]
+    rows += [(2000 + i, ask(100 + i), f"{sentence(rng)} That is all there is and it settles nothing for you.", 0 if i else 1) for i in range(9)]  # declining at the end
+    rows += [(3000 + i, ask(150 + i), s, i % 8) for s in ("Only if agreed.",) for i in range(16)]  # as brief, but cited
+    rows += [(3100 + i, ask(180 + i), f"{sentence(rng)} This holds without any exception at all.", 1 + i) for i in range(9)]
+    rows += [(3200 + i, ask(200 + i), f"My lips are sealed on that matter. {sentence(rng)} {sentence(rng)}", 3) for i in range(2)]  # answers after all
+    df = spark.createDataFrame([(*r, "COMPLETE", "two-hop") for r in rows], "answer_id bigint, question string, answer string, n_citations int, finish_reason string, stratum string")
+    got = {r.answer_id for r in A.defects(df).collect() if r.defect == "refusal"}
+    want = {r[0] for r in rows if 1000 <= r[0] < 3000}
+    assert want <= got and not {i for i in got - want if i >= 1000} and len(got - want) <= 3
+
+
+def test_empty_and_foreign_read_whole_texts():
+    assert A.is_empty("null" + "-" * 300) and not A.is_empty("null " * 60 + "duty")
+    de = "Betreiber müssen Protokolle rechtzeitig aufbewahren, prüfen, ordnen, melden und vollständig übermitteln lassen. "
+    assert A.foreign("What must the provider do with the log of the plan?", "It is the law of the land. " + de * 4)
