@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.endings import HEADING_WORDS, SHORT_TEXTS, ending_scores
 from quillgraph.llm.truncation import _posteriors
+from quillgraph.operators.graph import components
 from quillgraph.plans.runtime import cut, join_sized, spread
 
 #: A refusal varies in a phrase of two to four words before and after its core of four to eight ("With regret, ... at
@@ -31,8 +32,10 @@ from quillgraph.plans.runtime import cut, join_sized, spread
 SHINGLE, SIMILAR = 3, 0.5
 #: Pairs at SIMILAR meet in a band with a probability of 0.9999.
 BANDS, ROWS = 32, 2
-#: An opening shorter than this cannot be told from a brief answer; a word is topical if this share of the questions, and so many, use it; a sentence is bare up to this share of topical words, and may be a template up to this one.
+#: An opening shorter than this cannot be told from a brief answer; a word is topical if this share of the questions, and so many, use it; a sentence without numbers is bare up to this share of topical words, and may be a template up to this one.
 OPENING_LEAST, TOPIC_SHARE, TOPIC_LEAST, BARE_SHARE, TEMPLATE_SHARE = 4, 0.0005, 3, 0.15, 0.3
+#: A closing sentence of so few words may be a template although it has numbers.
+SHORT_WORDS = 8
 #: Unrelated questions a template must answer before it counts as one.
 TEMPLATE_PROMPTS = 3
 
@@ -229,7 +232,7 @@ def _checked(parts: Iterator[pa.RecordBatch], topics: frozenset[str]) -> Iterato
             row = {
                 "empty": empty, "copied": not empty and copies(q, a), "foreign": not empty and foreign(q, a), "first": first, "last": last, "bare": bare,
                 "alone": bare and not any(map(tells, sentences)), "plain": not any(map(tells, rest)), "brief": brief, "ended": ended,
-                "opens": bare or brief or first or topical_share(start, topics) <= TEMPLATE_SHARE, "closes": ended and end != "" and topical_share(end, topics) <= TEMPLATE_SHARE,
+                "opens": brief or first or (start != "" and is_bare(start, topics, TEMPLATE_SHARE)), "closes": ended and end != "" and (is_bare(end, topics, TEMPLATE_SHARE) or (len(end.split()) <= SHORT_WORDS and topical_share(end, topics) <= TEMPLATE_SHARE)),
                 "opening": start, "closing": end,
             }
             for c, v in row.items():
@@ -265,20 +268,18 @@ def opening_templates(checked: DataFrame) -> DataFrame:
     uncited = F.sum(F.col("uncited").cast("int")) if "uncited" in checked.columns else F.lit(None).cast("bigint")
     checked = checked.where(F.col("opening") != "")
     each = checked.groupBy("opening").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("d"), alone.alias("x"), uncited.alias("u"))
-    signed = cut(each.join(each.select("opening").mapInArrow(_signed, "opening string, shingles array<bigint>, bands array<bigint>"), "opening"))
-    banded = signed.select("opening", "shingles", F.explode("bands").alias("band"))
-    a, b = (banded.select(F.col("opening").alias(x), F.col("shingles").alias(f"s_{x}"), "band") for x in ("a", "b"))
+    signed = each.join(each.select("opening").mapInArrow(_signed, "opening string, shingles array<bigint>, bands array<bigint>"), "opening")
+    signed = cut(signed.withColumn("id", F.monotonically_increasing_id()))
+    # pairs that meet in any band are found by number and verified once each
+    banded = signed.select("id", F.explode("bands").alias("band"))
+    a, b = (banded.select(F.col("id").alias(x), "band") for x in ("a", "b"))
+    met = a.join(b, "band").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    sets = [signed.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in ("a", "b")]
     both = F.size(F.array_intersect("s_a", "s_b"))
     alike = both >= SIMILAR * (F.size("s_a") + F.size("s_b") - both)
-    links = cut(a.join(b, "band").where(F.col("a") < F.col("b")).where(alike).select("a", "b").distinct())
-    edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = signed.select("opening", F.col("opening").alias("label"))
-    while True:  # least opening of the cluster, until none moves
-        near = edges.join(label, edges["b"] == label["opening"]).groupBy("a").agg(F.min("label").alias("least"))
-        new = cut(label.join(near, label["opening"] == near["a"], "left").select("opening", F.least("label", F.coalesce("least", "label")).alias("label"), (F.col("least") < F.col("label")).alias("moved")))
-        label = new.select("opening", "label")
-        if not new.where("moved").limit(1).count():
-            break
+    links = cut(met.join(sets[0], "a").join(sets[1], "b").where(alike).select(F.col("a").alias("head"), F.col("b").alias("tail")))
+    clusters = components(links).select(F.col("name").alias("id"), "component")
+    label = cut(signed.select("id", "opening").join(clusters, "id", "left").select("opening", F.coalesce("component", "id").alias("label")))
     sums = signed.join(label, "opening").groupBy("label").agg((F.sum("d") / F.sum("n")).alias("declining"), (F.sum("x") / F.sum("n")).alias("alone"), F.sum("n").alias("n"), F.sum("u").alias("uncited"))
     # a question answered with two openings of a cluster counts once
     prompts = checked.select("opening", "prompt").join(label, "opening").groupBy("label").agg(F.countDistinct("prompt").alias("prompts"))
