@@ -118,3 +118,22 @@ def test_empty(make):
 def test_cover(spark):
     p = spark.createDataFrame([(1, "definition_of", ["DEFINED_IN"]), (2, "path_between", ["IMPOSES"])], "qid int, template string, edges array<string>")
     assert {r.qid: r.hit for r in G.cover(p).collect()} == {1: True, 2: False}
+
+
+def _dense(make):
+    """A graph whose legs meet in hubs: every obligation applies to all and is imposed by both articles, on many chunks."""
+    o, a, to = ("log it", "o2"), ("aia art. 26(9)", "gdpr art. 35"), ("deployer", "sys")
+    edges = [("APPLIES_TO", x, y, f"c{i}") for x in o for y in to for i in range(5)] + [("IMPOSES", x, y, f"c{i}") for x in a for y in o for i in range(3, 8)]
+    edges += [("CLASSIFIED_AS", "sys", "high", "c9"), ("ENFORCED_BY", "o2", "deployer", "c1"), ("PENALIZED_UNDER", "log it", "gdpr art. 35", "c1"), ("DEFINED_IN", "o2", "aia annex viii", "c2")]
+    return make([*edges, ("INTERACTS_WITH", *a, "c1"), ("INTERACTS_WITH", a[1], a[0], "c1"), ("INTERACTS_WITH", a[0], a[0], "c2")])
+
+
+def test_rows_of_calls_are_counted_without_joining_them(make, spark):
+    edges = _dense(make).edges
+    for t, build in G.BUILDERS.items():
+        want = {r[0]: r[1] for r in build(edges).groupBy(G.ANCHORS[t]).count().collect()}
+        names = [*want, "nothing"]
+        calls = spark.createDataFrame([(i, 0, t, n, None) for i, n in enumerate(names)], "qid int, call int, template string, a string, b string")
+        assert {names[r.qid]: r.n_rows for r in G.report(calls, edges).collect()} == want | {"nothing": 0}
+        plan = G.row_counts(edges, t)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_set" not in plan  # no leg gathers its chunks to be counted
