@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graph as G
+from quillgraph.plans.runtime import cut
 
 NODES = [("SystemType", "sys", "Sys", []), ("RiskCategory", "high", "High", []), ("Obligation", "log it", "log it", ["the logging"]), ("Obligation", "o2", "o2", []), ("Article", "aia art. 26(9)", "AIA Art. 26(9)", []), ("Article", "gdpr art. 35", "GDPR Art. 35", []), ("ActorRole", "deployer", "deployer", []), ("Annex", "aia annex viii", "AIA Annex VIII", [])]
 T0 = dt.datetime(2025, 1, 1)
@@ -137,3 +138,11 @@ def test_rows_of_calls_are_counted_without_joining_them(make, spark):
         assert {names[r.qid]: r.n_rows for r in G.report(calls, edges).collect()} == want | {"nothing": 0}
         plan = G.row_counts(edges, t)._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_set" not in plan  # no leg gathers its chunks to be counted
+
+
+def test_legs_told_alone_are_those_of_the_rows(make):
+    edges = cut(_dense(make).edges)
+    for t, build in G.BUILDERS.items():
+        alone = G.told_alone(edges, t)
+        assert {tuple(r) for r in alone.collect()} == {tuple(r) for r in G.told(build(edges), t).collect()}
+        assert "Join Inner" not in alone._jdf.queryExecution().optimizedPlan().toString()  # nothing is multiplied
