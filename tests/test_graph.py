@@ -146,3 +146,21 @@ def test_legs_told_alone_are_those_of_the_rows(make):
         alone = G.told_alone(edges, t)
         assert {tuple(r) for r in alone.collect()} == {tuple(r) for r in G.told(build(edges), t).collect()}
         assert "Join Inner" not in alone._jdf.queryExecution().optimizedPlan().toString()  # nothing is multiplied
+
+
+def test_search_words_a_shared_sentence_once_and_joins_no_chunks(make, spark, monkeypatch):
+    g = _dense(make)
+    labels = spark.createDataFrame([(f"c{i}", f"L{i}") for i in range(8)] + [("c9", None)], "chunk_id string, citation_label string")
+    kept = []
+    monkeypatch.setattr(G, "cut", lambda df: kept.append(df.columns) or cut(df))
+    plan = [("obligations_for_role", "deployer"), ("obligations_for_system", "sys"), ("cross_regulation", "gdpr art. 35")]
+    calls = [(q, i, *plan[i], None) for q in (1, 2) for i in range(3)] + [(3, 0, *plan[1], None)]
+    said, _ = G.search(spark.createDataFrame(calls, "qid int, call int, template string, a string, b string"), g, labels, strict=False)
+    got = {q: {(r.call, r.statement, r.n_chunks) for r in said.where(F.col("qid") == q).collect()} for q in (1, 2, 3)}
+    imposed = {(f"{a} imposes: {o}.", 5) for a in ("AIA Art. 26(9)", "GDPR Art. 35") for o in ("log it", "o2")}
+    system = {(f"{o} applies to Sys.", 5) for o in ("log it", "o2")}
+    assert got[3] == {(0, *x) for x in imposed | system}  # the classification's chunk has no label
+    role = imposed | {(f"{o} applies to deployer.", 5) for o in ("log it", "o2")}
+    meets = {("AIA Art. 26(9) interacts with GDPR Art. 35.", 1), ("GDPR Art. 35 interacts with AIA Art. 26(9).", 1)}
+    assert got[1] == got[2] == {(0, *x) for x in role} | {(1, *x) for x in system} | {(2, *x) for x in meets}
+    assert not any("imposes_chunks" in c for c in kept)
