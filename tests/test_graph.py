@@ -164,3 +164,14 @@ def test_search_words_a_shared_sentence_once_and_joins_no_chunks(make, spark, mo
     meets = {("AIA Art. 26(9) interacts with GDPR Art. 35.", 1), ("GDPR Art. 35 interacts with AIA Art. 26(9).", 1)}
     assert got[1] == got[2] == {(0, *x) for x in role} | {(1, *x) for x in system} | {(2, *x) for x in meets}
     assert not any("imposes_chunks" in c for c in kept)
+
+
+def test_provenance_within_the_chunks_asked_for(make, spark):
+    edges = cut(_dense(make).edges)
+    calls = [(i, 0, t, a, None) for i, (t, a) in enumerate([("obligations_for_role", "deployer"), ("obligations_for_system", "sys"), ("enforcement_chain", "log it"), ("definition_of", "o2"), ("cross_regulation", "gdpr art. 35"), ("cross_regulation", "sys"), ("path_between", "sys")])]
+    calls = spark.createDataFrame(calls, "qid int, call int, template string, a string, b string")
+    whole = {(r.qid, r.chunk) for r in G.provenance(calls, edges).collect()}
+    assert whole == {(q, f"c{i}") for q in (0, 1) for i in range(8)} | {(1, "c9"), (3, "c2"), (4, "c1")}
+    asked = {(q, c) for q in range(7) for c in ("c1", "c5", "c9")}
+    some = {(r.qid, r.chunk) for r in G.provenance(calls, edges, spark.createDataFrame(sorted(asked), "qid int, chunk string")).collect()}
+    assert some == whole & asked | {(q, None) for q, _ in whole}
