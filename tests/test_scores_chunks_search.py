@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +246,16 @@ def test_better_of_two_answers_and_labels_shown(spark):
     kept = spark.createDataFrame([(1, "d0")], "qid int, document_id string")
     each = cite.fan_out(kept, spark.createDataFrame([(1, "d0", ["c1", "c2"])], "qid int, document_id string, provenance array<string>"), spark.createDataFrame([("c1", "L1")], "chunk_id string, citation_label string"))
     assert {(r.chunk_id, r.citation_label) for r in each.collect()} == {("c1", "L1"), ("c2", None)}
+
+
+def test_bm25_places_are_those_of_the_whole_lists(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["seal", "the", "list", "fee", "plan", "duty"]
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(rng.choices(words, k=rng.randint(0, 6)))) for i in range(120)] + [("none", None)], "k string, t string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(rng.choices([*words, "absent"], k=3))) for i in range(12)], "qid int, question string")
+    wanted = spark.createDataFrame([(i, f"d{j:03}") for i in range(13) for j in rng.sample(range(130), 30)], "qid int, key string")
+    want = {tuple(r) for r in L.bm25(docs, "k", "t", q, 10).join(wanted, ["qid", "key"]).select("qid", "pos", "key").collect()}
+    assert want and {tuple(r) for r in L.bm25_places(docs, "k", "t", q, wanted, 10).collect()} == want
+    monkeypatch.setattr(L, "PLACED", 5)
+    assert {tuple(r) for r in L.bm25_places(docs, "k", "t", q, wanted, 10).collect()} == want
+    assert L.bm25_places(docs, "k", "t", q.limit(0), wanted, 10).count() == 0
